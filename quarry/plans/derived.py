@@ -77,11 +77,14 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     split = hash split on the row key (train/val/test).
     """
     li = read_table(spark, sf, "lineitem")
-    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    # (orderkey, linenumber) repeats in the driver data; with part and
+    # supplier the key is unique
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in
+                             ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     p0 = F.col("l_discount") * 5
     p1 = F.col("l_tax") * 5
     return li.select(
-        key.cast("bigint").alias("key"),
+        key.alias("key"),
         F.when(F.col("l_returnflag") == "A", 0)
          .when(F.col("l_returnflag") == "N", 1).otherwise(2).cast("double").alias("label"),
         F.when(F.col("l_discount") >= 0.07, 0)
@@ -184,14 +187,14 @@ SELECT event_id, json_extract_string(props, '$.k') AS k_str,
        event_type, props
 FROM events""",
     "scored": f"""
-SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS key,
+SELECT concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS key,
        CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS DOUBLE) AS label,
        CAST(CASE WHEN l_discount >= 0.07 THEN 0 WHEN l_tax >= 0.04 THEN 1 ELSE 2 END AS DOUBLE) AS prediction,
        l_discount * 5 AS p0, l_tax * 5 AS p1, 1 - l_discount * 5 - l_tax * 5 AS p2,
        CAST(l_linestatus = 'F' AS DOUBLE) AS bin_label,
        l_discount * 10 AS bin_score,
        CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END AS bin_pred,
-       {_SPLIT_SQL.format(k='l_orderkey * 10 + l_linenumber')} AS split
+       {_SPLIT_SQL.format(k="concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))")} AS split
 FROM lineitem""",
     "emb_features": "SELECT vec_id, "
     + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(EMB_DIM))
