@@ -22,7 +22,8 @@ def q(c: str) -> str:
 
 
 def r4(expr: str, dp: int = 4) -> str:
-    return f"round(CAST({expr} AS DOUBLE), {dp})"
+    # "+ 0.0" turns a rounded -0.0 into 0.0, as Spark's decimal rounding does
+    return f"(round(CAST({expr} AS DOUBLE), {dp}) + 0.0)"
 
 
 def profile_sql(table: str, cols: Sequence[tuple[str, str]]) -> str:
