@@ -89,13 +89,13 @@ class PrepModel:
             return [code.cast("double").alias(c)]
         return [F.coalesce(code, F.lit(-1.0)).alias(c)]
 
-    def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """Kept columns + features (+ encoded ``label``)."""
+    def transform(self, df: DataFrame, keep: Sequence[str] = (), with_label: bool = True) -> DataFrame:
+        """Kept columns + features (+ encoded ``label`` unless scoring)."""
         cols = [F.col(k) for k in keep]
         cols += [self.num_expr(c).alias(c) for c in self.numeric]
         for c in self.categorical:
             cols += self.cat_exprs(c)
-        t = self.spec.target
+        t = self.spec.target if with_label else None
         if t:
             m = F.create_map(*[e for i, k in enumerate(self.classes) for e in (F.lit(k), F.lit(float(i)))])
             cols.append(m[F.col(t).cast("string")].alias("label"))
