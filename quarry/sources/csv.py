@@ -50,10 +50,12 @@ def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
 
 
 def _needs_latin1(spark: SparkSession, path: str, sample_lines: int = 1000) -> bool:
-    """A2: Spark decodes bad UTF-8 to U+FFFD instead of failing, so look for
-    the replacement character in a bounded sample of lines."""
+    """A2: Spark does not fail on bad UTF-8 (the CSV reader yields U+FFFD,
+    the text reader keeps the raw bytes), so test a bounded sample of lines
+    for invalid UTF-8 or replacement characters."""
     rows = spark.read.text(path).limit(sample_lines)
-    return rows.where(F.col("value").contains(REPLACEMENT_CHAR)).limit(1).count() > 0
+    bad = ~F.is_valid_utf8("value") | F.col("value").contains(REPLACEMENT_CHAR)
+    return rows.where(bad).limit(1).count() > 0
 
 
 def read_csv(spark: SparkSession, path: str, infer_schema: bool = True,
