@@ -82,3 +82,50 @@ def a8_run_summary(spark, sf):
                        models=res, final_test=_results(spark, sf, "test"))
     p = SK.write_json(s, os.path.join(checkpoint_dir(spark), "exports", f"summary-{uuid.uuid4().hex}"))
     return spark.read.json(p)
+
+
+@query("a2_latin1_roundtrip", r"""
+SELECT doc_id, lang, source, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents""")
+def a2_latin1_roundtrip(spark, sf):
+    """documents written in ISO-8859-1 (one line per row) and read back: the
+    loader detects invalid UTF-8 and falls back to Latin-1."""
+    d = read_table(spark, sf, "documents").select(
+        "doc_id", "lang", "source", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    p = SK.write_csv(d, _out(spark, "documents-latin1"), encoding="ISO-8859-1")
+    r = IO.load_file(spark, p)
+    return r.select(F.col("doc_id").cast("bigint"), "lang", "source", "text")
+
+
+@query("a3_strip_column_names", """
+SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
+def a3_strip_column_names(spark, sf):
+    """customer written with space-padded header names, loaded with names stripped."""
+    c = read_table(spark, sf, "customer")
+    padded = c.toDF(*[f"  {n} " for n in c.columns])
+    p = SK.write_csv(padded, _out(spark, "customer-padded"))
+    d = IO.load_file(spark, p)
+    return d.select(F.col("c_custkey").cast("bigint"), "c_name",
+                    F.col("c_nationkey").cast("bigint"), F.col("c_acctbal").cast("double"),
+                    "c_mktsegment")
+
+
+@query("a5_load_errors")
+def a5_load_errors(spark, sf):
+    """Typed load errors: an unsupported extension and a table with no rows
+    (customer rows whose every value is NULL – none – after A4)."""
+    out = []
+    c = read_table(spark, sf, "customer")
+    p = SK.write_csv(c, _out(spark, "customer").replace(".csv", ".xlsx"))
+    try:
+        IO.load_file(spark, p)
+        out.append(("unsupported_extension", None))
+    except IO.LoadError as e:
+        out.append(("unsupported_extension", str(e)))
+    nulls = c.select(*[F.lit(None).cast(t).alias(n) for n, t in c.dtypes])
+    p2 = SK.write_csv(nulls, _out(spark, "customer-nulls"))
+    try:
+        IO.load_file(spark, p2)
+        out.append(("empty_table", None))
+    except IO.LoadError as e:
+        out.append(("empty_table", str(e)))
+    return spark.createDataFrame(out, "case string, error string")

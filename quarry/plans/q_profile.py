@@ -224,3 +224,13 @@ def a11_preview(spark, sf):
     return (read_table(spark, sf, "orders")
             .select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
             .orderBy("o_orderkey").limit(10))
+
+
+@query("b13_completeness", W("orders_wide") + f"""
+, p AS ({null_profile_sql('orders_wide', [c for c, _ in ORDERS_WIDE_COLS])})
+SELECT (SELECT count(*) FROM orders_wide) AS n_rows, count(*) AS n_cols, CAST(sum(n_null) AS BIGINT) AS n_null_cells,
+  round((1 - sum(n_null) / ((SELECT count(*) FROM orders_wide) * count(*))) * 100, 1) AS completeness_pct
+FROM p""")
+def b13_completeness(spark, sf):
+    return P.dataset_shape(D.orders_wide(spark, sf)).select(
+        "n_rows", "n_cols", "n_null_cells", "completeness_pct")
