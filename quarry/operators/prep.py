@@ -137,9 +137,19 @@ def _typed_modes(df: DataFrame, cols: Sequence[str], as_double: bool) -> dict:
 
 
 def fit_prep(df: DataFrame, spec: PrepSpec, prof: P.TableProfile | None = None,
-             train_filter: Column | None = None) -> PrepModel:
-    """Fit all parameters on the training rows (``train_filter``)."""
+             train_filter: Column | None = None, checkpoint: bool = True) -> PrepModel:
+    """Fit all parameters on the training rows (``train_filter``).
+
+    Fitting takes ~10 small aggregate passes over the training rows; with
+    ``checkpoint`` the (column-pruned) training rows are written once to the
+    shared checkpoint folder, so the passes re-read them instead of
+    replaying the upstream joins/windows, and a lost executor does not
+    trigger a replay either.
+    """
     train = df.where(train_filter) if train_filter is not None else df
+    if checkpoint:
+        from quarry.session import cut_lineage
+        train = cut_lineage(train)
     prof = prof or P.collect_profile(train)
     excl = set(spec.exclude) | ({spec.target} if spec.target else set())
     nulls = P.null_profile(train).collect()

@@ -311,6 +311,15 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     cols = list(cols)
     if not cols:
         return df.sparkSession.createDataFrame([], "variable string, q array<double>")
+    if isinstance(method, dict):  # per-column distinct estimates known already
+        small = [c for c in cols if method[c] <= QUANTILE_MAP_MAX_DISTINCT]
+        big = [c for c in cols if c not in small]
+        parts = ([quantiles(df, small, probs, "map")] if small else []) + \
+                ([quantiles(df, big, probs, "rank")] if big else [])
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     if method == "auto":
         est = df.agg(*[F.approx_count_distinct(c).alias(f"_a{i}")
                        for i, c in enumerate(cols)]).first()
@@ -373,15 +382,18 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
     """One row per numeric variable – count, mean, std (ddof 1), min,
     q25, q50, q75, max (4 dp)."""
     cols = list(cols or numeric_columns(df))
+    # one pass: moments + a distinct estimate that picks the quantile method
     wide = df.agg(*[e for i, c in enumerate(cols) for e in (
         F.count(c).alias(f"_n{i}"), F.avg(c).alias(f"_m{i}"),
         F.stddev_samp(c).alias(f"_s{i}"), F.min(F.col(c).cast("double")).alias(f"_lo{i}"),
-        F.max(F.col(c).cast("double")).alias(f"_hi{i}"))])
-    mom = wide.select(_stack([F.struct(
-        F.lit(c).alias("variable"), F.col(f"_n{i}").alias("count"),
-        F.col(f"_m{i}").alias("mean"), F.col(f"_s{i}").alias("std"),
-        F.col(f"_lo{i}").alias("min"), F.col(f"_hi{i}").alias("max"))
-        for i, c in enumerate(cols)]))
+        F.max(F.col(c).cast("double")).alias(f"_hi{i}"),
+        F.approx_count_distinct(c).alias(f"_a{i}"))]).first()  # one row
+    mom = df.sparkSession.createDataFrame(
+        [(c, wide[f"_n{i}"], wide[f"_m{i}"], wide[f"_s{i}"], wide[f"_lo{i}"], wide[f"_hi{i}"])
+         for i, c in enumerate(cols)],
+        "variable string, count long, mean double, std double, min double, max double")
+    if method == "auto":
+        method = {c: wide[f"_a{i}"] for i, c in enumerate(cols)}
     q = quantiles(df, cols, [0.25, 0.5, 0.75], method)
     return mom.join(F.broadcast(q), "variable").select(
         "variable", "count", rnd(F.col("mean")).alias("mean"), rnd(F.col("std")).alias("std"),
@@ -394,18 +406,21 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None,
                     method: str = "auto") -> DataFrame:
     """Per numeric column totals, distinct share and moments incl. G1/G2."""
     cols = list(cols or numeric_columns(df))
+    # one pass: counts, moments, G1/G2 and the distinct estimate (one row)
     wide = df.agg(F.count(F.lit(1)).alias("_n"), *[e for i, c in enumerate(cols) for e in (
         F.count(c).alias(f"_v{i}"), F.avg(c).alias(f"_m{i}"),
         F.stddev_samp(c).alias(f"_s{i}"), F.min(F.col(c).cast("double")).alias(f"_lo{i}"),
         F.max(F.col(c).cast("double")).alias(f"_hi{i}"),
         skew_g1(F.col(c).cast("double")).alias(f"_g1{i}"),
-        kurt_g2(F.col(c).cast("double")).alias(f"_g2{i}"))])
-    mom = wide.select(_stack([F.struct(
-        F.lit(c).alias("variable"), F.col("_n").alias("n_total"),
-        F.col(f"_v{i}").alias("n_valid"), F.col(f"_m{i}").alias("mean"),
-        F.col(f"_s{i}").alias("std"), F.col(f"_lo{i}").alias("min"),
-        F.col(f"_hi{i}").alias("max"), F.col(f"_g1{i}").alias("skew"),
-        F.col(f"_g2{i}").alias("kurt")) for i, c in enumerate(cols)]))
+        kurt_g2(F.col(c).cast("double")).alias(f"_g2{i}"),
+        F.approx_count_distinct(c).alias(f"_a{i}"))]).first()
+    mom = df.sparkSession.createDataFrame(
+        [(c, wide["_n"], wide[f"_v{i}"], wide[f"_m{i}"], wide[f"_s{i}"], wide[f"_lo{i}"],
+          wide[f"_hi{i}"], wide[f"_g1{i}"], wide[f"_g2{i}"]) for i, c in enumerate(cols)],
+        "variable string, n_total long, n_valid long, mean double, std double, min double, "
+        "max double, skew double, kurt double")
+    if method == "auto":
+        method = {c: wide[f"_a{i}"] for i, c in enumerate(cols)}
     q = quantiles(df, cols, [0.25, 0.5, 0.75], method)
     u = distinct_counts(df, cols).withColumnRenamed("column_name", "variable")
     j = mom.join(F.broadcast(q), "variable").join(F.broadcast(u), "variable", "left")

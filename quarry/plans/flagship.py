@@ -12,6 +12,7 @@ from quarry.operators import prep as C
 from quarry.operators import profile as P
 from quarry.operators import split as S
 from quarry.plans import derived as D
+from quarry.session import cut_lineage
 
 TARGET = "quality"
 
@@ -20,7 +21,8 @@ def prepared(spark: SparkSession, sf: str, seed: int = 42):
     """Split + fitted preparation of ``doc_quality``.
     Returns (transformed frame with split, PrepModel)."""
     d = D.doc_quality(spark, sf)
-    sp = S.stratified_split(d, "doc_id", TARGET, S.SplitPlan(70, 50), seed)
+    # the split (join + bucketed ranks) feeds every later pass: write it once
+    sp = cut_lineage(S.stratified_split(d, "doc_id", TARGET, S.SplitPlan(70, 50), seed))
     prof = P.collect_profile(sp.where(F.col("split") == "train").drop("split"))
     spec = C.PrepSpec(target=TARGET, exclude=("doc_id", "split"), scaler="standard",
                       encoder="onehot")
