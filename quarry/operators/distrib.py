@@ -158,10 +158,19 @@ def box_stats(df: DataFrame, col: str, group: str | None = None) -> DataFrame:
     x = F.col(col).cast("double")
     g = F.col(group).cast("string") if group else F.lit("all")
     base = df.select(g.alias("grp"), x.alias("x")).where(F.col("x").isNotNull())
-    q = base.groupBy("grp").agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("q"),
-                                F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"))
-    f = q.select("grp", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                 F.col("q")[2].alias("q3"), "mean", "n")
+    st = base.groupBy("grp").agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"),
+                                 F.approx_count_distinct("x").alias("_hll"))
+    # exact quartiles: per-group value maps while every group has few
+    # distinct values, else the memory-bounded rank route (a hot group
+    # with many distinct values never sits in one task's map)
+    mx = st.agg(F.max("_hll")).first()[0] or 0
+    if mx <= P.QUANTILE_MAP_MAX_DISTINCT:
+        q = base.groupBy("grp").agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("q"))
+    else:
+        q = P.rank_quantiles_long(base.select(F.col("grp").alias("variable"), "x"),
+                                  [0.25, 0.5, 0.75]).withColumnRenamed("variable", "grp")
+    f = st.join(q, "grp").select("grp", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
+                                 F.col("q")[2].alias("q3"), "mean", "n")
     f = f.withColumns({"lf": F.col("q1") - IQR_K * (F.col("q3") - F.col("q1")),
                        "uf": F.col("q3") + IQR_K * (F.col("q3") - F.col("q1"))})
     inside = (F.col("x") >= F.col("lf")) & (F.col("x") <= F.col("uf"))

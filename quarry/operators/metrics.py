@@ -225,40 +225,77 @@ def per_class_roc(df: DataFrame, label: str, score_cols: Sequence[str],
 
 
 def macro_roc(df: DataFrame, label: str, score_cols: Sequence[str],
-              classes: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+              classes: Sequence[float], n_buckets: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Macro-average ROC – union grid of all classes' FPRs, each class's
     TPR linearly interpolated at every grid point (the last point at an
     equal FPR wins), averaged; AUC by the trapezoid rule over the grid.
 
-    Returns (curve(fpr, tpr), auc one row). Work per class is a window over
-    its distinct-score points, not over rows.
+    Returns (curve(fpr, tpr), auc one row). Scale: curve points are first
+    reduced to one row per (class, FPR) (first/last TPR), then every scan
+    over the FPR order is segmented into ``n_buckets`` equal-width FPR
+    buckets – windows run per (class, bucket) and the values carried across
+    bucket borders come from a (class x bucket) summary table, bounded by
+    k * n_buckets rows. No window ever sees all points of a class.
     """
-    pts = roc_points(per_class_roc(df, label, score_cols, classes))
     k = len(classes)
-    grid = pts.select("fpr").distinct()
-    cls = pts.select("class").distinct()
-    # every class gets every grid x: grid (distinct FPRs) x k classes rows
+    B = n_buckets
+    bkt = lambda c: F.least(F.floor(F.col(c) * B), F.lit(B - 1)).cast("int")
+    pts = roc_points(per_class_roc(df, label, score_cols, classes))
+    cp = pts.groupBy("class", "fpr").agg(F.min("tpr").alias("t_first"),
+                                         F.max("tpr").alias("t_last")).withColumn("bkt", bkt("fpr"))
+    grid = cp.select("fpr").distinct()
     gx = grid.select("fpr", F.explode(F.array(*[F.lit(float(c)) for c in classes])).alias("class"))
-    curve = pts.select("class", "fpr", "tpr", F.lit(0).alias("kind"))
-    u = curve.unionByName(gx.select("class", "fpr", F.lit(None).cast("double").alias("tpr"),
-                                    F.lit(1).alias("kind")))
-    o = Window.partitionBy("class").orderBy("fpr", "kind", F.col("tpr").asc_nulls_last())
-    prev = o.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    nxt = o.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    gx = gx.withColumn("bkt", bkt("fpr"))
+    # per (class, bucket): last and first curve point -> carries (bounded table)
+    summ = cp.groupBy("class", "bkt").agg(
+        F.max_by(F.struct("fpr", "t_last"), "fpr").alias("last_pt"),
+        F.min_by(F.struct("fpr", "t_first"), "fpr").alias("first_pt"))
+    wb = Window.partitionBy("class").orderBy("bkt")
+    # carries over the union of curve and grid buckets (a grid bucket may
+    # hold no curve point of the class)
+    cb = (summ.select("class", "bkt", "last_pt", "first_pt")
+          .unionByName(gx.select("class", "bkt").distinct()
+                       .select("class", "bkt", F.lit(None).cast(summ.schema["last_pt"].dataType).alias("last_pt"),
+                               F.lit(None).cast(summ.schema["first_pt"].dataType).alias("first_pt")))
+          .groupBy("class", "bkt").agg(F.first("last_pt", ignorenulls=True).alias("last_pt"),
+                                       F.first("first_pt", ignorenulls=True).alias("first_pt")))
+    carry = cb.select(
+        "class", "bkt",
+        F.last("last_pt", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1))
+        .alias("prev_pt"),
+        F.first("first_pt", ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing))
+        .alias("next_pt"))
+    u = (cp.select("class", "bkt", "fpr", "t_first", "t_last", F.lit(0).alias("kind"))
+         .unionByName(gx.select("class", "bkt", "fpr", F.lit(None).cast("double").alias("t_first"),
+                                F.lit(None).cast("double").alias("t_last"), F.lit(1).alias("kind"))))
+    o = Window.partitionBy("class", "bkt").orderBy("fpr", "kind")
     cf = F.when(F.col("kind") == 0, F.col("fpr"))
-    u = u.select("class", "fpr", "kind",
-                 F.last("tpr", ignorenulls=True).over(prev).alias("t_lo"),
-                 F.last(cf, ignorenulls=True).over(prev).alias("f_lo"),
-                 F.first("tpr", ignorenulls=True).over(nxt).alias("t_hi"),
-                 F.first(cf, ignorenulls=True).over(nxt).alias("f_hi"))
+    u = u.select("class", "bkt", "fpr", "kind",
+                 F.last("t_last", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, 0)).alias("t_lo"),
+                 F.last(cf, ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, 0)).alias("f_lo"),
+                 F.first("t_first", ignorenulls=True).over(o.rowsBetween(0, Window.unboundedFollowing)).alias("t_hi"),
+                 F.first(cf, ignorenulls=True).over(o.rowsBetween(0, Window.unboundedFollowing)).alias("f_hi"))
+    u = u.where(F.col("kind") == 1).join(F.broadcast(carry), ["class", "bkt"], "left")
+    u = u.select("class", "fpr",
+                 F.coalesce("t_lo", F.col("prev_pt.t_last")).alias("t_lo"),
+                 F.coalesce("f_lo", F.col("prev_pt.fpr")).alias("f_lo"),
+                 F.coalesce("t_hi", F.col("next_pt.t_first")).alias("t_hi"),
+                 F.coalesce("f_hi", F.col("next_pt.fpr")).alias("f_hi"))
     interp = (F.when(F.col("f_hi").isNull() | (F.col("f_lo") == F.col("fpr")), F.col("t_lo"))
                .otherwise(F.col("t_lo") + (F.col("fpr") - F.col("f_lo"))
                           * (F.col("t_hi") - F.col("t_lo")) / (F.col("f_hi") - F.col("f_lo"))))
-    g = u.where(F.col("kind") == 1).groupBy("fpr").agg((F.sum(interp) / k).alias("tpr"))
-    # trapezoid over the grid (distinct FPRs: bounded by distinct scores)
-    wo = Window.orderBy("fpr")
-    tr = g.select("fpr", "tpr", F.lag("fpr").over(wo).alias("pf"), F.lag("tpr").over(wo).alias("pt"))
-    auc = tr.agg(F.sum((F.col("fpr") - F.col("pf")) * (F.col("tpr") + F.col("pt")) / 2).alias("auc"))
+    g = u.groupBy("fpr").agg((F.sum(interp) / k).alias("tpr")).withColumn("bkt", bkt("fpr"))
+    # trapezoid: previous grid point inside the bucket, else the last point
+    # of the nearest earlier bucket (bucket summary: <= n_buckets rows)
+    gs = g.groupBy("bkt").agg(F.max_by(F.struct("fpr", "tpr"), "fpr").alias("lastg"))
+    gcarry = gs.select("bkt", F.last("lastg", ignorenulls=True).over(
+        Window.orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)).alias("prevg"))
+    wg = Window.partitionBy("bkt").orderBy("fpr")
+    tr = g.select("bkt", "fpr", "tpr", F.lag("fpr").over(wg).alias("pf"),
+                  F.lag("tpr").over(wg).alias("pt")).join(F.broadcast(gcarry), "bkt", "left")
+    pf = F.coalesce("pf", F.col("prevg.fpr"))
+    pt = F.coalesce("pt", F.col("prevg.tpr"))
+    auc = tr.agg(F.sum((F.col("fpr") - pf) * (F.col("tpr") + pt) / 2).alias("auc"))
     return (g.select(rnd(F.col("fpr")).alias("fpr"), rnd(F.col("tpr")).alias("tpr")),
             auc.select(rnd(F.col("auc")).alias("macro_auc")))
 

@@ -346,7 +346,15 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 def _rank_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x"))
-        for c in cols])).alias("p")).select("p.*").where(F.col("x").isNotNull())
+        for c in cols])).alias("p")).select("p.*")
+    return rank_quantiles_long(long, probs)
+
+
+def rank_quantiles_long(long: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles of ``x`` per ``variable`` (any string key: a column
+    name or a group value) from rows (variable, x): value counts with
+    partial aggregation, then bucketed exact running counts."""
+    long = long.where(F.col("x").isNotNull())
     counts = long.groupBy("variable", "x").agg(F.count(F.lit(1)).alias("cnt"))
     cum = running_sums(counts, ["variable"], "x", ["cnt"], inclusive_ties=True)
     n = counts.groupBy("variable").agg(F.sum("cnt").alias("n"))
