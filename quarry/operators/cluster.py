@@ -267,37 +267,52 @@ def bisecting(df: DataFrame, features: Sequence[str], k: int, seed: int = 42) ->
 
 
 def _linkage(points: np.ndarray, weights: np.ndarray, method: str):
-    """Agglomerate a small set of weighted points (micro-clusters).
-    Returns merge rows (left, right, height, size) with scipy-style ids."""
-    n = len(points)
-    clusters = {i: ([i], points[i].copy(), float(weights[i])) for i in range(n)}
+    """Agglomerate m (<= 300) weighted points – the micro-cluster centroids –
+    with Lance-Williams updates on an m x m distance matrix (O(m^2) memory,
+    O(m^3) vectorised time). Masses act as cluster sizes, so 'average' is
+    UPGMA over the rows behind each centroid and 'ward' starts from
+    sqrt(2 w_i w_j / (w_i + w_j)) * ||c_i - c_j||. Returns merge rows
+    (left, right, height, size) with ids in merge-table convention (new
+    cluster ids continue after the m leaves)."""
+    m = len(points)
+    diff = points[:, None, :] - points[None, :, :]
+    d = np.sqrt((diff ** 2).sum(-1))
+    w = weights.astype(float).copy()
+    if method == "ward":
+        d = np.sqrt(2 * w[:, None] * w[None, :] / (w[:, None] + w[None, :])) * d
+    np.fill_diagonal(d, np.inf)
+    ids = list(range(m))
+    alive = np.ones(m, dtype=bool)
     merges = []
-    nxt = n
-    while len(clusters) > 1:
-        ids = list(clusters)
-        best = None
-        for ai in range(len(ids)):
-            for bi in range(ai + 1, len(ids)):
-                a, b = clusters[ids[ai]], clusters[ids[bi]]
-                pa, pb = points[a[0]], points[b[0]]
-                if method == "ward":
-                    wa, wb = a[2], b[2]
-                    h = np.sqrt(2 * wa * wb / (wa + wb)) * np.linalg.norm(a[1] - b[1])
-                else:
-                    dd = np.sqrt(((pa[:, None, :] - pb[None, :, :]) ** 2).sum(-1))
-                    h = {"single": dd.min(), "complete": dd.max()}.get(method)
-                    if h is None:  # average, weighted by micro-cluster mass
-                        wa_, wb_ = weights[a[0]], weights[b[0]]
-                        h = float((dd * wa_[:, None] * wb_[None, :]).sum() / (wa_.sum() * wb_.sum()))
-                if best is None or h < best[0]:
-                    best = (float(h), ids[ai], ids[bi])
-        h, x, y = best
-        a, b = clusters.pop(x), clusters.pop(y)
-        w = a[2] + b[2]
-        cen = (a[1] * a[2] + b[1] * b[2]) / w
-        clusters[nxt] = (a[0] + b[0], cen, w)
-        merges.append((x, y, h, len(a[0]) + len(b[0])))
-        nxt += 1
+    for step in range(m - 1):
+        sub = np.where(alive[:, None] & alive[None, :], d, np.inf)
+        i, j = divmod(int(np.argmin(sub)), m)
+        if i > j:
+            i, j = j, i
+        h = float(d[i, j])
+        wi, wj = w[i], w[j]
+        if method == "single":
+            new = np.minimum(d[i], d[j])
+        elif method == "complete":
+            new = np.maximum(d[i], d[j])
+        elif method == "average":
+            new = (wi * d[i] + wj * d[j]) / (wi + wj)
+        elif method == "ward":
+            wk = w
+            new = np.sqrt(np.maximum(((wk + wi) * d[i] ** 2 + (wk + wj) * d[j] ** 2 - wk * h ** 2)
+                                     / (wk + wi + wj), 0.0))
+        else:
+            raise ValueError(f"unknown linkage {method!r}")
+        merges.append((ids[i], ids[j], h, int(wi + wj)))
+        # slot i becomes the merged cluster, slot j retires
+        d[i, :] = new
+        d[:, i] = new
+        d[i, i] = np.inf
+        alive[j] = False
+        d[j, :] = np.inf
+        d[:, j] = np.inf
+        w[i] = wi + wj
+        ids[i] = m + step
     return merges
 
 

@@ -18,6 +18,7 @@ from quarry.functions.ranking import running_sums
 from quarry.functions.stats import rnd
 
 METRICS = ("accuracy", "precision", "recall", "f1", "auc")
+MAX_CLASSES = 1000  # class lists are collected to build k x k grids: bounded
 
 
 def confusion_counts(df: DataFrame, label: str = "label",
@@ -94,7 +95,10 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
     """
     cm = confusion_counts(df, label, prediction)
     if classes is None:
-        classes = [r["label"] for r in cm.select("label").distinct().orderBy("label").collect()]
+        classes = [r["label"] for r in cm.select("label").distinct().orderBy("label")
+                   .limit(MAX_CLASSES + 1).collect()]
+        if len(classes) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes")
     classes = [float(c) for c in classes]
     pc = per_class(cm)
     n = F.sum("support")
@@ -145,7 +149,9 @@ def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "pre
     cm = confusion_counts(df, label, prediction)
     if classes is None:
         classes = sorted({r[0] for r in cm.select("label").union(cm.select("prediction"))
-                          .distinct().collect()})
+                          .distinct().limit(MAX_CLASSES + 1).collect()})
+        if len(classes) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes")
     classes = [float(c) for c in classes]
     grid = cm.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in classes]))
                                            .alias("label")).select(

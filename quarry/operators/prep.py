@@ -25,6 +25,7 @@ NULL_DROP_PCT = 50.0
 DEFAULT_EXCLUDE_ROLES = ("id_like", "text", "datetime")
 DEFAULT_EXCLUDE_MAX = 5
 DICT_INLINE_MAX = 10_000
+MAX_CLASSES = 1000  # class lists are collected: bounded
 NUM_IMPUTE = ("median", "mean", "most_frequent", "constant")
 CAT_IMPUTE = ("most_frequent", "constant")
 SCALERS = ("standard", "minmax", "robust", "none")
@@ -228,19 +229,32 @@ def fit_prep(df: DataFrame, spec: PrepSpec, prof: P.TableProfile | None = None,
     classes: list[str] = []
     if spec.target:
         classes = sorted(r[0] for r in df.where(F.col(spec.target).isNotNull())
-                         .select(F.col(spec.target).cast("string")).distinct().collect())
+                         .select(F.col(spec.target).cast("string")).distinct()
+                         .limit(MAX_CLASSES + 1).collect())
+        if len(classes) > MAX_CLASSES:
+            raise ValueError(f"target {spec.target!r} has more than {MAX_CLASSES} classes")
     return PrepModel(spec, numeric, categorical, dropped, num_fill, cat_fill, center, scale,
                      categories, classes)
 
 
-def dictionary_encode(df: DataFrame, col: str, train: DataFrame, unknown: float = -1.0) -> DataFrame:
+def dictionary_encode(df: DataFrame, col: str, train: DataFrame, unknown: float = -1.0,
+                      n_buckets: int = 1024, seed: int = 42) -> DataFrame:
     """C11 for high-cardinality columns: dictionary (value -> sorted code)
     built with exact bucketed ranks and joined back; the join strategy is
-    left to Catalyst/AQE (broadcast only when the measured size allows)."""
+    left to Catalyst/AQE (broadcast only when the measured size allows).
+
+    Rank buckets are string boundaries taken from a bounded seeded sample of
+    the distinct values (<= 50 000 values), so values sharing long prefixes
+    still spread evenly over the buckets."""
     from quarry.functions.ranking import row_rank
     vals = train.select(F.col(col).cast("string").alias("value")).where("value IS NOT NULL").distinct()
-    # bucket = first three UTF-8 bytes, right-padded: monotone in string order
-    bkt = F.conv(F.rpad(F.substring(F.hex("value"), 1, 6), 6, "0"), 16, 10).cast("long")
+    n = vals.count()
+    frac = min(1.0, 20.0 * n_buckets / max(n, 1))
+    smp = sorted(r[0] for r in vals.sample(fraction=frac, seed=seed).limit(50_000).collect())
+    step = max(1, len(smp) // n_buckets)
+    bounds = sorted(set(smp[step::step]))
+    bkt = (F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("value")))
+           if bounds else F.lit(0))
     dic = row_rank(vals.withColumn("_g", F.lit(0)), ["_g"], "value", bucket=bkt)
     dic = dic.select(F.col("value").alias("_v"), F.col("rank0").cast("double").alias("_code"))
     out = df.join(dic, F.col(col).cast("string") == F.col("_v"), "left")

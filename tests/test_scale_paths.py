@@ -51,3 +51,21 @@ def test_macro_roc_bucket_invariance(spark):
     c2, a2 = M.macro_roc(df, "label", ["p0", "p1", "p2"], [0.0, 1.0, 2.0], n_buckets=64)
     assert sorted(c1.collect()) == sorted(c2.collect())
     assert a1.first()[0] == pytest.approx(a2.first()[0], abs=1e-9)
+
+
+def test_dictionary_encode_sorted_codes(spark):
+    from quarry.operators.prep import dictionary_encode
+    vals = [f"Customer#{i:06d}" for i in range(3000)]
+    train = spark.createDataFrame([(v,) for v in vals], "c string")
+    new = spark.createDataFrame([(vals[5],), (vals[2999],), ("zz",)], "c string")
+    got = [r[0] for r in dictionary_encode(new, "c", train, n_buckets=16).orderBy("c").collect()]
+    assert sorted(got) == sorted([5.0, 2999.0, -1.0])
+
+
+def test_linkage_heights():
+    import numpy as np
+    from quarry.operators.cluster import _linkage
+    pts, w = np.array([[0.0], [1.0], [10.0], [12.0]]), np.ones(4)
+    last = {m: _linkage(pts, w, m)[-1][2] for m in ("single", "complete", "average", "ward")}
+    assert last["single"] == 9.0 and last["complete"] == 12.0 and last["average"] == 10.5
+    assert abs(last["ward"] - 14.8492) < 1e-4
