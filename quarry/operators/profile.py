@@ -9,6 +9,7 @@ long tables with one row per column, small enough to broadcast or collect.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -31,8 +32,9 @@ DATE_NAME_HINTS = ["date", "fecha", "time", "tiempo", "year", "año", "mes",
 TARGET_MAX_CLASSES = 20
 
 # Above this many distinct values per column the exact quantile switches from
-# Spark's value->count map (held in one task) to the bucketed rank method.
+# Spark's value->count map (held in one task) to the bracket method.
 QUANTILE_MAP_MAX_DISTINCT = 1_000_000
+QUARTILES = [0.25, 0.5, 0.75]
 
 _NUM = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
         T.DoubleType, T.DecimalType, T.BooleanType)
@@ -300,40 +302,40 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 # --- quantiles ------------------------------------------------------------------
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-              method: str = "auto") -> DataFrame:
+              method: str = "auto", pre: dict | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles: (variable, q array in probs order).
 
     ``map``: Spark ``percentile`` (value->count map merged in one task per
-    column: fine while the column has few distinct values). ``rank``: value
-    counts + bucketed running counts, memory bounded for any cardinality.
-    ``auto`` picks per column from an HLL distinct estimate.
+    column: fine while the column has few distinct values). ``bracket``: a
+    sketch brackets each target rank, one scan counts the rows below each
+    bracket, and a running count over the few candidates inside finds the
+    exact order statistics (``bracket_quantiles``); memory bounded for any
+    cardinality and no shuffle of the data. ``rank``: value counts +
+    bucketed running counts over all values (the bracket method's fallback
+    when a sketch misses). ``auto`` (or a dict of per-column distinct
+    estimates) picks map or bracket per column. ``pre`` holds the counts and
+    sketch values of ``bracket_aggs`` when an earlier pass computed them.
     """
     cols = list(cols)
     if not cols:
         return df.sparkSession.createDataFrame([], "variable string, q array<double>")
-    if isinstance(method, dict):  # per-column distinct estimates known already
+    if isinstance(method, dict) or method == "auto":
+        # per-column route from an HLL distinct estimate: the value map while
+        # a column has at most QUANTILE_MAP_MAX_DISTINCT values, else brackets
+        if method == "auto":
+            r = df.agg(*[F.approx_count_distinct(c).alias(f"_a{i}")
+                         for i, c in enumerate(cols)]).first()
+            method = {c: r[f"_a{i}"] for i, c in enumerate(cols)}
         small = [c for c in cols if method[c] <= QUANTILE_MAP_MAX_DISTINCT]
         big = [c for c in cols if c not in small]
         parts = ([quantiles(df, small, probs, "map")] if small else []) + \
-                ([quantiles(df, big, probs, "rank")] if big else [])
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    if method == "auto":
-        est = df.agg(*[F.approx_count_distinct(c).alias(f"_a{i}")
-                       for i, c in enumerate(cols)]).first()
-        small = [c for i, c in enumerate(cols) if est[f"_a{i}"] <= QUANTILE_MAP_MAX_DISTINCT]
-        big = [c for c in cols if c not in small]
-        parts = []
-        if small:
-            parts.append(quantiles(df, small, probs, "map"))
-        if big:
-            parts.append(quantiles(df, big, probs, "rank"))
+                ([bracket_quantiles(df, big, probs)] if big else [])
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
+    if method == "bracket":
+        return bracket_quantiles(df, cols, probs, pre)
     if method == "map":
         wide = df.agg(*[F.percentile(F.col(c).cast("double"), list(probs)).alias(f"_q{i}")
                         for i, c in enumerate(cols)])
@@ -343,6 +345,133 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return _rank_quantiles(df, cols, probs)
 
 
+# Sketch accuracy of the brackets (rank error <= n / accuracy) and their
+# half-width in probability units: a bracket spans about 2 * 4 / accuracy of
+# the rows, so ~0.08 % of a column's values are ever ranked exactly.
+BRACKET_ACCURACY = 10_000
+BRACKET_HALF_WIDTH = 4.0 / BRACKET_ACCURACY
+# Brackets holding at most this many rows are ranked by one window per
+# (column, target); wider ones by bucketed running counts.
+BRACKET_WINDOW_ROWS = 2_000_000
+
+
+def _widened(probs: Sequence[float]) -> list[float]:
+    out = []
+    for p in probs:
+        out += [max(0.0, p - BRACKET_HALF_WIDTH), min(1.0, p + BRACKET_HALF_WIDTH)]
+    return out
+
+
+def bracket_aggs(cols: Sequence[str], probs: Sequence[float]) -> list[Column]:
+    """Aggregates that a moments pass can carry for ``bracket_quantiles``:
+    ``_bn{i}`` = non-null count, ``_bk{i}`` = sketch values around each
+    target (one sketch per column, bounded by the accuracy)."""
+    out = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        out += [F.count(x).alias(f"_bn{i}"),
+                F.percentile_approx(x, _widened(probs), BRACKET_ACCURACY).alias(f"_bk{i}")]
+    return out
+
+
+def bracket_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                      pre: dict | None = None) -> DataFrame:
+    """Exact quantiles with three bounded jobs and no shuffle of the data.
+
+    1. (or ``pre``) per column: non-null count n and a percentile sketch
+       giving a bracket [a, b] around the rows of 0-based rank floor/ceil of
+       p*(n-1) for every target p.
+    2. One aggregate scan counts the rows below and inside every bracket
+       (one row). The wanted ranks must fall inside the bracket; a column
+       failing the check (the sketch missed) uses the rank method instead.
+    3. One scan keeps only rows inside some bracket (a filter next to the
+       scan) and counts them per (column, target, value). A running count
+       over those candidates picks the exact order statistics, interpolated
+       like Spark ``percentile`` / pandas ``quantile``. The running count is
+       one window per (column, target) while every bracket holds at most
+       BRACKET_WINDOW_ROWS rows, else the bucketed ``running_sums``.
+    """
+    spark = df.sparkSession
+    cols, probs = list(cols), [float(p) for p in probs]
+    if pre is None:
+        r = df.agg(*bracket_aggs(cols, probs)).first()
+        pre = {c: (r[f"_bn{i}"], r[f"_bk{i}"]) for i, c in enumerate(cols)}
+    live = [c for c in cols if pre[c][0]]
+    empty = [c for c in cols if not pre[c][0]]
+    out = None
+    if live:
+        below, inside = {}, {}
+        for i, c in enumerate(live):
+            x = F.col(c).cast("double")
+            bk = pre[c][1]
+            for j, p in enumerate(probs):
+                a, b = bk[2 * j], bk[2 * j + 1]
+                below[i, j] = (x < F.lit(a)) if p - BRACKET_HALF_WIDTH > 0 else F.lit(False)
+                inside[i, j] = ((x >= F.lit(a)) if p - BRACKET_HALF_WIDTH > 0 else x.isNotNull()) \
+                    & ((x <= F.lit(b)) if p + BRACKET_HALF_WIDTH < 1 else F.lit(True))
+        keys = list(below)
+        # one codegen'd scan: rows below / inside each bracket (one row)
+        sz = df.agg(*[e for n, k in enumerate(keys) for e in (
+            F.count(F.when(below[k], 1)).alias(f"_b{n}"),
+            F.count(F.when(inside[k], 1)).alias(f"_i{n}"))]).first()
+        targets, bad, widest = [], set(), 0
+        for n, (i, j) in enumerate(keys):
+            c = live[i]
+            pos = probs[j] * (pre[c][0] - 1)
+            lo, hi = math.floor(pos), math.ceil(pos)
+            nb, ni = sz[f"_b{n}"], sz[f"_i{n}"]
+            if not (nb <= lo and hi < nb + ni):
+                bad.add(c)
+            widest = max(widest, ni)
+            targets.append((i, j, lo - nb, hi - nb, float(pos - lo)))
+        good = [i for i, c in enumerate(live) if c not in bad]
+        if good:
+            gk = [k for k in keys if k[0] in good]
+            # only rows inside some bracket survive the filter (~0.1 % per
+            # target); they are unpivoted to (column, target, value) counts
+            hit_any = F.lit(False)
+            for k in gk:
+                hit_any = hit_any | inside[k]
+            cand = (df.where(hit_any)
+                    .select(F.inline(F.array(*[F.when(inside[k], F.struct(
+                        F.lit(k[0]).alias("v"), F.lit(k[1]).alias("j"),
+                        F.col(live[k[0]]).cast("double").alias("x"))) for k in gk])))
+                    .where(F.col("v").isNotNull())
+                    .groupBy("v", "j", "x").agg(F.count(F.lit(1)).alias("cnt")))
+            # columns x targets rows: a bounded broadcast
+            tgt = spark.createDataFrame(
+                [t for t in targets if t[0] in good],
+                "v int, j int, rlo long, rhi long, frac double")
+            if widest <= BRACKET_WINDOW_ROWS:
+                # every (column, target) window holds at most that many rows
+                w = Window.partitionBy("v", "j").orderBy("x").rowsBetween(
+                    Window.unboundedPreceding, Window.currentRow)
+                inb = (cand.withColumn("cum", F.sum("cnt").over(w))
+                       .withColumn("before", F.col("cum") - F.col("cnt")))
+            else:
+                # wide brackets (very large tables): bucketed running counts
+                inb = (running_sums(cand, ["v", "j"], "x", ["cnt"])
+                       .withColumnsRenamed({"cum_cnt": "cum", "before_cnt": "before"}))
+            inb = inb.join(F.broadcast(tgt), ["v", "j"])
+            at = lambda r: (F.col("before") <= F.col(r)) & (F.col(r) < F.col("cum"))
+            pick = inb.where(at("rlo") | at("rhi")).groupBy("v", "j").agg(
+                F.max(F.when(at("rlo"), F.col("x"))).alias("vlo"),
+                F.max(F.when(at("rhi"), F.col("x"))).alias("vhi"),
+                F.first("frac").alias("frac"))
+            names = F.element_at(F.array(*[F.lit(c) for c in live]), F.col("v") + 1)
+            out = pick.groupBy(names.alias("variable")).agg(
+                F.transform(F.array_sort(F.collect_list(F.struct(
+                    "j", (F.col("vlo") + F.col("frac") * (F.col("vhi") - F.col("vlo")))
+                    .alias("qv")))), lambda s: s["qv"]).alias("q"))
+        if bad:
+            rk = _rank_quantiles(df, [c for c in live if c in bad], probs)
+            out = rk if out is None else out.unionByName(rk)
+    if empty:
+        e = spark.createDataFrame([(c, None) for c in empty], "variable string, q array<double>")
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
 def _rank_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x"))
@@ -402,7 +531,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
         "variable string, count long, mean double, std double, min double, max double")
     if method == "auto":
         method = {c: wide[f"_a{i}"] for i, c in enumerate(cols)}
-    q = quantiles(df, cols, [0.25, 0.5, 0.75], method)
+    q = quantiles(df, cols, QUARTILES, method)
     return mom.join(F.broadcast(q), "variable").select(
         "variable", "count", rnd(F.col("mean")).alias("mean"), rnd(F.col("std")).alias("std"),
         rnd(F.col("min")).alias("min"), rnd(F.col("q")[0]).alias("q25"),
@@ -429,7 +558,7 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None,
         "max double, skew double, kurt double")
     if method == "auto":
         method = {c: wide[f"_a{i}"] for i, c in enumerate(cols)}
-    q = quantiles(df, cols, [0.25, 0.5, 0.75], method)
+    q = quantiles(df, cols, QUARTILES, method)
     u = distinct_counts(df, cols).withColumnRenamed("column_name", "variable")
     j = mom.join(F.broadcast(q), "variable").join(F.broadcast(u), "variable", "left")
     n_null = F.col("n_total") - F.col("n_valid")

@@ -42,6 +42,13 @@ def b10_describe_rank_method(spark, sf):
                       method="rank")
 
 
+@query("b10_describe_bracket_method", describe_sql("lineitem", LINEITEM_NUM))
+def b10_describe_bracket_method(spark, sf):
+    """Same statistics through the bracket quantile route (the route every
+    column with more than a million distinct values takes)."""
+    return P.describe(read_table(spark, sf, "lineitem"), LINEITEM_NUM, method="bracket")
+
+
 # --- B8 numeric summary ---------------------------------------------------------------
 
 @query("b8_numeric_summary",

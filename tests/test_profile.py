@@ -18,7 +18,7 @@ def test_stats5_summary(spark):
     assert (o["lower"], o["upper"], o["n_outliers"]) == (-1.0, 7.0, 1)
 
 
-@pytest.mark.parametrize("method", ["map", "rank"])
+@pytest.mark.parametrize("method", ["map", "rank", "bracket"])
 def test_quantile_methods_agree(spark, method):
     df = spark.range(0, 1001).select((F.col("id") * 0.37 % 17).alias("x"))
     exp = df.select(F.percentile("x", [0.1, 0.25, 0.5, 0.9])).first()[0]

@@ -69,3 +69,20 @@ def test_linkage_heights():
     last = {m: _linkage(pts, w, m)[-1][2] for m in ("single", "complete", "average", "ward")}
     assert last["single"] == 9.0 and last["complete"] == 12.0 and last["average"] == 10.5
     assert abs(last["ward"] - 14.8492) < 1e-4
+
+
+@pytest.mark.parametrize("window_rows", [2_000_000, 0])
+def test_bracket_quantiles_equal_percentile(spark, monkeypatch, window_rows):
+    # a hot value holding a third of the rows, a spread column and NULLs
+    df = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.col("id") * 0.731 % 509).alias("hot"),
+        ((F.col("id") * 7919) % 6007).cast("double").alias("spread"),
+        F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id") / 9.0).alias("nulls"))
+    probs = [0.0, 0.001, 0.25, 0.5, 0.333, 0.75, 0.999, 1.0]
+    exp = {r["variable"]: r["q"] for r in P.quantiles(df, df.columns, probs, "map").collect()}
+    monkeypatch.setattr(P, "BRACKET_WINDOW_ROWS", window_rows)
+    monkeypatch.setattr(P, "QUANTILE_MAP_MAX_DISTINCT", 0)
+    got = {r["variable"]: r["q"] for r in P.quantiles(df, df.columns, probs).collect()}
+    assert set(got) == set(exp)
+    for c in exp:
+        assert got[c] == pytest.approx(exp[c], abs=1e-9)
