@@ -22,21 +22,21 @@ MAX_CLASSES = 1000  # class lists are collected to build k x k grids: bounded
 
 
 def confusion_counts(df: DataFrame, label: str = "label",
-                     prediction: str = "prediction") -> DataFrame:
+                     prediction: str = "prediction", groups: Sequence[str] = ()) -> DataFrame:
     return (df.where(F.col(label).isNotNull())
-            .groupBy(F.col(label).cast("double").alias("label"),
+            .groupBy(*groups, F.col(label).cast("double").alias("label"),
                      F.col(prediction).cast("double").alias("prediction"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def per_class(cm: DataFrame) -> DataFrame:
+def per_class(cm: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Per class: tp, support (true count), predicted count, precision,
     recall, f1 (0 when a denominator is 0). Input: confusion counts."""
-    t = cm.groupBy(F.col("label").alias("class")).agg(
+    t = cm.groupBy(*groups, F.col("label").alias("class")).agg(
         F.sum("n").alias("support"),
         F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("tp"))
-    p = cm.groupBy(F.col("prediction").alias("class")).agg(F.sum("n").alias("predicted"))
-    j = t.join(p, "class", "full").fillna(0, ["support", "tp", "predicted"])
+    p = cm.groupBy(*groups, F.col("prediction").alias("class")).agg(F.sum("n").alias("predicted"))
+    j = t.join(p, [*groups, "class"], "full").fillna(0, ["support", "tp", "predicted"])
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     j = j.withColumns({"precision": prec, "recall": rec})
@@ -46,86 +46,98 @@ def per_class(cm: DataFrame) -> DataFrame:
     return j.withColumn("f1", f1)
 
 
-def binary_auc(df: DataFrame, label: str, score: str, positive: float = 1.0) -> DataFrame:
-    """Exact binary AUC with averaged ties: one row (auc)."""
-    return _ovr_auc(df.select(F.lit(positive).alias("class"),
+def binary_auc(df: DataFrame, label: str, score: str, positive: float = 1.0,
+               groups: Sequence[str] = ()) -> DataFrame:
+    """Exact binary AUC with averaged ties: one row (auc) per group."""
+    return _ovr_auc(df.select(*groups, F.lit(positive).alias("class"),
                               (F.col(label).cast("double") == positive).alias("pos"),
-                              F.col(score).cast("double").alias("s"))).select("auc")
+                              F.col(score).cast("double").alias("s")), groups).select(*groups, "auc")
 
 
-def _score_counts(long: DataFrame) -> DataFrame:
+def _score_counts(long: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """(class, s) -> pos/neg counts from rows (class, pos, s)."""
-    return long.groupBy("class", "s").agg(
+    return long.groupBy(*groups, "class", "s").agg(
         F.count(F.when(F.col("pos"), 1)).alias("pos"),
         F.count(F.when(~F.col("pos"), 1)).alias("neg"))
 
 
-def _ovr_auc(long: DataFrame) -> DataFrame:
+def _ovr_auc(long: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Per class AUC from rows (class, pos bool, s score)."""
-    sc = _score_counts(long)
-    cum = running_sums(sc, ["class"], "s", ["neg"], inclusive_ties=True)
+    sc = _score_counts(long, groups)
+    cum = running_sums(sc, [*groups, "class"], "s", ["neg"], inclusive_ties=True)
     # neg strictly below s = before_neg; ties count one half
     term = F.col("pos") * (F.col("before_neg") + F.col("neg") * 0.5)
-    return cum.groupBy("class").agg(
+    return cum.groupBy(*groups, "class").agg(
         F.sum(term).alias("_num"), F.sum("pos").alias("P"), F.sum("neg").alias("N")
-    ).select("class", "P", "N", F.when((F.col("P") > 0) & (F.col("N") > 0),
+    ).select(*groups, "class", "P", "N", F.when((F.col("P") > 0) & (F.col("N") > 0),
                                        F.col("_num") / (F.col("P") * F.col("N"))).alias("auc"))
 
 
 def multiclass_auc(df: DataFrame, label: str, score_cols: Sequence[str],
-                   classes: Sequence[float]) -> DataFrame:
+                   classes: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
     """One-vs-rest AUC per class (score column i belongs to classes[i])."""
-    long = df.where(F.col(label).isNotNull()).select(F.explode(F.array(*[
+    long = df.where(F.col(label).isNotNull()).select(*groups, F.explode(F.array(*[
         F.struct(F.lit(float(c)).alias("class"),
                  (F.col(label).cast("double") == float(c)).alias("pos"),
                  F.col(s).cast("double").alias("s"))
-        for c, s in zip(classes, score_cols)])).alias("x")).select("x.*")
-    return _ovr_auc(long)
+        for c, s in zip(classes, score_cols)])).alias("x")).select(*groups, "x.*")
+    return _ovr_auc(long, groups)
 
 
 def classification_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction",
                            score_cols: Sequence[str] | None = None,
-                           classes: Sequence[float] | None = None) -> DataFrame:
-    """F8: one row – accuracy, precision, recall, f1, auc (4 dp).
+                           classes: Sequence[float] | None = None,
+                           groups: Sequence[str] = ()) -> DataFrame:
+    """F8: one row – accuracy, precision, recall, f1, auc (4 dp) – per group.
 
     Two classes: values of the positive (last sorted) class and binary AUC
     on ``score_cols[-1]``. More: support-weighted averages and the
     support-weighted one-vs-rest AUC over the classes present. AUC falls
     back to 0.5 when no score is given or it is undefined.
+
+    ``groups`` evaluates many (model, split) slices of one long table in the
+    same jobs: every count and running sum is keyed by the group columns
+    too, so N models cost one scan instead of N.
     """
-    cm = confusion_counts(df, label, prediction)
+    groups = list(groups)
+    cm = confusion_counts(df, label, prediction, groups)
     if classes is None:
         classes = [r["label"] for r in cm.select("label").distinct().orderBy("label")
                    .limit(MAX_CLASSES + 1).collect()]
         if len(classes) > MAX_CLASSES:
             raise ValueError(f"more than {MAX_CLASSES} classes")
     classes = [float(c) for c in classes]
-    pc = per_class(cm)
+    pc = per_class(cm, groups)
     n = F.sum("support")
     acc = F.sum("tp") / n
     if len(classes) == 2:
         pos = classes[-1]
         pick = lambda c: F.max(F.when(F.col("class") == pos, F.col(c)))
-        agg = pc.agg(acc.alias("accuracy"), F.coalesce(pick("precision"), F.lit(0.0)).alias("precision"),
+        agg = pc.groupBy(*groups).agg(acc.alias("accuracy"), F.coalesce(pick("precision"), F.lit(0.0)).alias("precision"),
                      F.coalesce(pick("recall"), F.lit(0.0)).alias("recall"),
                      F.coalesce(pick("f1"), F.lit(0.0)).alias("f1"))
     else:
         wavg = lambda c: F.sum(F.col("support") * F.col(c)) / n
-        agg = pc.agg(acc.alias("accuracy"), wavg("precision").alias("precision"),
+        agg = pc.groupBy(*groups).agg(acc.alias("accuracy"), wavg("precision").alias("precision"),
                      wavg("recall").alias("recall"), wavg("f1").alias("f1"))
     if score_cols:
         if len(classes) == 2:
-            a = binary_auc(df, label, score_cols[-1], classes[-1])
-            auc = a.select(F.coalesce(F.col("auc"), F.lit(0.5)).alias("auc"))
+            a = binary_auc(df, label, score_cols[-1], classes[-1], groups)
+            auc = a.select(*groups, F.coalesce(F.col("auc"), F.lit(0.5)).alias("auc"))
         else:
-            a = multiclass_auc(df, label, score_cols, classes)
-            auc = a.where(F.col("auc").isNotNull()).agg(
+            a = multiclass_auc(df, label, score_cols, classes, groups)
+            auc = a.where(F.col("auc").isNotNull()).groupBy(*groups).agg(
                 F.coalesce(F.sum(F.col("auc") * F.col("P")) / F.sum("P"), F.lit(0.5)).alias("auc"))
-        # both sides are single rows: a one-row x one-row join on a constant key
-        agg = agg.withColumn("_k", F.lit(1)).join(auc.withColumn("_k", F.lit(1)), "_k").drop("_k")
+        if groups:
+            # one row per group on both sides (bounded by the group count)
+            agg = agg.join(auc, groups, "left").withColumn(
+                "auc", F.coalesce(F.col("auc"), F.lit(0.5)))
+        else:
+            # both sides are single rows: a one-row x one-row join on a constant key
+            agg = agg.withColumn("_k", F.lit(1)).join(auc.withColumn("_k", F.lit(1)), "_k").drop("_k")
     else:
         agg = agg.withColumn("auc", F.lit(0.5))
-    return agg.select(*[rnd(F.col(m)).alias(m) for m in METRICS])
+    return agg.select(*groups, *[rnd(F.col(m)).alias(m) for m in METRICS])
 
 
 def metrics_long(df: DataFrame, model: str, **kw) -> DataFrame:

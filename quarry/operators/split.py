@@ -161,7 +161,12 @@ def baseline_predict(df: DataFrame, key: str, classes: list[tuple[float, int]],
     u = seeded uniform of the key; the class table (k rows) is inlined as a
     CASE expression, so scoring is a narrow map.
     """
-    u = seeded_uniform(seed, F.col(key))
+    pred = baseline_expr(seeded_uniform(seed, F.col(key)), classes, strategy)
+    return df.withColumn("prediction", pred.cast("double"))
+
+
+def baseline_expr(u, classes: list[tuple[float, int]], strategy: str):
+    """The prediction of one baseline strategy for the uniform ``u``."""
     if strategy == "most_frequent":
         best = min(classes, key=lambda c: (-c[1], c[0]))[0]
         pred = F.lit(best)
@@ -181,4 +186,4 @@ def baseline_predict(df: DataFrame, key: str, classes: list[tuple[float, int]],
         pred = pred.otherwise(F.lit(classes[-1][0]))
     else:
         raise ValueError(f"unknown baseline strategy {strategy!r}")
-    return df.withColumn("prediction", pred.cast("double"))
+    return pred.cast("double")

@@ -4,6 +4,7 @@ class scores, so every metric is checkable in SQL before any model exists."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import seeded_order_sql
@@ -34,26 +35,31 @@ def _train_mode(spark, sf):
     return S.fit_baseline(tr, "label")
 
 
-def _model_frames(spark, sf, split="val"):
-    """(name, DataFrame with label/prediction/p0..p2) for the three models."""
-    d = _scored(spark, sf, split)
+def _results_by_split(spark, sf, splits=("val",)):
+    """(split, model, metrics) for the three models on the given splits.
+
+    The models differ only in their prediction/score columns, so one scan
+    of ``scored`` is unpivoted to (model, label, prediction, scores) and
+    every metric is computed per (split, model) in the same jobs.
+    """
+    d = D.scored(spark, sf).where(F.col("split").isin(*splits))
     mode = min(_train_mode(spark, sf), key=lambda c: (-c[1], c[0]))[0]
-    third = 1.0 / 3
-    return [
-        ("discount_rule", d),
-        ("argmax_rule", d.withColumn("prediction", _argmax_col())),
-        ("most_frequent", d.withColumn("prediction", F.lit(mode))
-         .withColumns({s: F.lit(third) for s in SCORES})),
-    ]
+    third = F.lit(1.0 / 3)
+    variants = {
+        "discount_rule": (F.col("prediction"), *[F.col(c) for c in SCORES]),
+        "argmax_rule": (_argmax_col(), *[F.col(c) for c in SCORES]),
+        "most_frequent": (F.lit(float(mode)), third, third, third),
+    }
+    long = d.select("split", "label", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("model"), pred.cast("double").alias("prediction"),
+                 *[sc.cast("double").alias(c) for sc, c in zip(scores, SCORES)])
+        for name, (pred, *scores) in variants.items()])))
+    return M.classification_metrics(long, "label", "prediction", SCORES, CLASSES,
+                                    groups=["split", "model"])
 
 
 def _results(spark, sf, split="val"):
-    out = None
-    for name, d in _model_frames(spark, sf, split):
-        m = M.classification_metrics(d, "label", "prediction", SCORES, CLASSES).select(
-            F.lit(name).alias("model"), "*")
-        out = m if out is None else out.unionByName(m)
-    return out
+    return _results_by_split(spark, sf, (split,)).select("model", *M.METRICS)
 
 
 # --- SQL building blocks --------------------------------------------------------------
@@ -362,10 +368,14 @@ LATERAL (SELECT 'accuracy' AS metric, r.accuracy AS val, t.accuracy AS test FROM
 
 @query("g10_test_evaluation", _test_eval_sql())
 def g10_test_evaluation(spark, sf):
-    val = _results(spark, sf, "val")
-    best = val.orderBy(F.desc("f1"), "model").first()["model"]
-    test = _results(spark, sf, "test").where(F.col("model") == best)
-    v = val.where(F.col("model") == best)
+    # val and test in the same jobs; the best validation model (F1 desc,
+    # then name) is picked by a window over the (model x split) table
+    res = _results_by_split(spark, sf, ("val", "test"))
+    val = res.where(F.col("split") == "val").drop("split")
+    first = val.select("model", F.row_number().over(
+        Window.orderBy(F.desc("f1"), "model")).alias("_r")).where("_r = 1").select("model")
+    v = val.join(first, "model")
+    test = res.where(F.col("split") == "test").drop("split").join(first, "model")
     lv = v.select("model", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("val"))
                                                for m in M.METRICS])).alias("x")).select("model", "x.*")
     lt = test.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("test"))
