@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.ranking import running_sums
 from quarry.functions.stats import rnd
+from quarry.session import cut_lineage
 
 METRICS = ("accuracy", "precision", "recall", "f1", "auc")
 MAX_CLASSES = 1000  # class lists are collected to build k x k grids: bounded
@@ -261,6 +262,10 @@ def macro_roc(df: DataFrame, label: str, score_cols: Sequence[str],
     pts = roc_points(per_class_roc(df, label, score_cols, classes))
     cp = pts.groupBy("class", "fpr").agg(F.min("tpr").alias("t_first"),
                                          F.max("tpr").alias("t_last")).withColumn("bkt", bkt("fpr"))
+    # the curve table (classes x distinct FPRs) feeds six branches below:
+    # written once to the shared checkpoint folder instead of recomputing
+    # the scan, score counts and running sums for each branch
+    cp = cut_lineage(cp)
     grid = cp.select("fpr").distinct()
     gx = grid.select("fpr", F.explode(F.array(*[F.lit(float(c)) for c in classes])).alias("class"))
     gx = gx.withColumn("bkt", bkt("fpr"))

@@ -8,6 +8,7 @@ from quarry.functions.hashing import seeded_order_sql, seeded_uniform, seeded_un
 from quarry.operators import metrics as M
 from quarry.operators import split as S
 from quarry.plans.catalog import query
+from quarry.session import cut_lineage
 from quarry.sources.tables import read_table
 
 PLAN = S.SplitPlan(70, 50)
@@ -95,8 +96,11 @@ def f6_stratified_folds(spark, sf):
 # --- baselines D7-D10 -----------------------------------------------------------------
 
 def _labelled_split(spark, sf):
-    """Stratified split with the target encoded to its sorted class code."""
-    d = _orders_split(spark, sf)
+    """Stratified split with the target encoded to its sorted class code.
+
+    The baselines read the split three times (class list, fit on train,
+    score val), so it is written once to the shared checkpoint folder."""
+    d = cut_lineage(_orders_split(spark, sf))
     classes = [r[0] for r in d.select("o_orderstatus").distinct().orderBy("o_orderstatus").collect()]
     code = F.lit(None).cast("double")
     for i, c in enumerate(classes):

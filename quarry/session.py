@@ -58,12 +58,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared (HDFS/S3/…) folder and we use it
-    as is. Only when it is unset (tests, local runs) do we create one of our
+    as is; a cluster session without it is an error. Only a local-mode
+    session (tests, local runs) with the setting unset gets a folder of our
     own under the system temp folder.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            # a machine-local folder is not visible to other executors and
+            # is lost with its node: a cluster must name a shared folder
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder "
+                               "(HDFS, S3, ...) before running multi-pass jobs")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
