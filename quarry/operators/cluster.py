@@ -12,6 +12,7 @@ broadcast sample matrix with numpy – pairs are never materialised as rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ from quarry.operators import prep as C
 from quarry.session import cut_lineage
 
 SILHOUETTE_MAX_ROWS = 2000
+# restarts / sweep points fitted as concurrent Spark jobs
+FIT_PARALLELISM = 4
 SAMPLE_DEFAULT = 5000
 NULL_MAX_PCT = 50.0
 
@@ -96,18 +99,30 @@ def kmeans(df: DataFrame, features: Sequence[str], k: int, init: str = "k-means|
     depend on the restart that won. Returns (assigned frame, centroids, cost)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.storagelevel import StorageLevel
     va = VectorAssembler(inputCols=list(features), outputCol="features")
-    x = va.transform(df)
-    best = None
-    for i in range(n_init):
-        km = KMeans(k=k, initMode=init, maxIter=max_iter, seed=seed + i, featuresCol="features")
-        m = km.fit(x)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    m, cost = best
-    sizes = m.summary.clusterSizes
-    cents = [list(map(float, c)) for c in m.clusterCenters()]
+    # the restarts share one assembled feature frame (spills to disk when
+    # it does not fit) and run as concurrent Spark jobs, like
+    # CrossValidator(parallelism=...): each fit is distributed on its own
+    x = va.transform(df).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(i):
+        m = KMeans(k=k, initMode=init, maxIter=max_iter, seed=seed + i,
+                   featuresCol="features").fit(x)
+        return m.summary.trainingCost, i, m
+
+    try:
+        if n_init > 1:
+            with ThreadPoolExecutor(max_workers=min(n_init, FIT_PARALLELISM)) as ex:
+                fits = list(ex.map(fit, range(n_init)))
+        else:
+            fits = [fit(0)]
+        # least cost, the earliest restart on ties
+        cost, _, m = min(fits, key=lambda f: (f[0], f[1]))
+        sizes = m.summary.clusterSizes  # a job over the persisted frame
+        cents = [list(map(float, c)) for c in m.clusterCenters()]
+    finally:
+        x.unpersist()
     order = sorted(range(len(cents)), key=lambda j: (-sizes[j], cents[j]))
     cents = [cents[j] for j in order]
     return assign(df, features, cents), cents, float(cost)
@@ -116,14 +131,19 @@ def kmeans(df: DataFrame, features: Sequence[str], k: int, init: str = "k-means|
 def k_sweep(df: DataFrame, features: Sequence[str], k_max: int, key: str,
             n_init: int = 1, seed: int = 42, sil_rows: int = SILHOUETTE_MAX_ROWS) -> DataFrame:
     """(k, wcss, silhouette) for k = 2..k_max. The feature frame is
-    checkpointed once (shared folder) and reused by every fit."""
+    checkpointed once (shared folder) and reused by every fit; the k values
+    are fitted as concurrent jobs."""
     base = cut_lineage(df.select(key, *features))
-    rows = []
-    for k in range(2, k_max + 1):
+
+    def point(k):
         a, cents, _ = kmeans(base, features, k, n_init=n_init, seed=seed)
         w = a.agg(F.sum("sq_dist")).first()[0]
         s = silhouette(a, key, features, "cluster", sil_rows, seed).first()["silhouette"]
-        rows.append((k, float(w), None if s is None else float(s)))
+        return (k, float(w), None if s is None else float(s))
+
+    # the sweep points are independent fits: concurrent Spark jobs
+    with ThreadPoolExecutor(max_workers=FIT_PARALLELISM) as ex:
+        rows = list(ex.map(point, range(2, k_max + 1)))
     return df.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette double")
 
 
