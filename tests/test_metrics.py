@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import metrics as M
 from quarry.operators import insights as I
@@ -48,3 +49,19 @@ def test_recommendations_default(spark):
                               "n_rows long, null_cells long, n_categorical int, f1 double, "
                               "precision double, recall double, silhouette double")
     assert [r["rule"] for r in I.recommendations(f).collect()] == ["no_issues"]
+
+
+@pytest.mark.parametrize("classes", [[0.0, 1.0], [0.0, 1.0, 2.0]])
+def test_grouped_metrics_equal_per_group(spark, classes):
+    k = len(classes)
+    rows = [(m, float(i % k), float((i * 7 + len(m)) % k), *[((i * (j + 3)) % 11) / 10.0 for j in range(k)])
+            for m in ("a", "bb", "ccc") for i in range(300)]
+    df = spark.createDataFrame(rows, "model string, label double, prediction double, "
+                               + ", ".join(f"p{j} double" for j in range(k)))
+    scores = [f"p{j}" for j in range(k)]
+    got = {r["model"]: tuple(r[m] for m in M.METRICS) for r in
+           M.classification_metrics(df, "label", "prediction", scores, classes, groups=["model"]).collect()}
+    for m in ("a", "bb", "ccc"):
+        one = M.classification_metrics(df.where(F.col("model") == m), "label", "prediction",
+                                       scores, classes).first()
+        assert got[m] == tuple(one[x] for x in M.METRICS)
