@@ -26,6 +26,7 @@ from quarry.operators import prep as C
 from quarry.session import cut_lineage
 
 SILHOUETTE_MAX_ROWS = 2000
+SIL_CHUNK_ROWS = 32
 # restarts / sweep points fitted as concurrent Spark jobs
 FIT_PARALLELISM = 4
 SAMPLE_DEFAULT = 5000
@@ -188,7 +189,12 @@ def _sil_partition(sample_x: np.ndarray, sample_c: np.ndarray):
                 continue
             x = np.stack(pdf["_x"].to_numpy())
             c = pdf["_c"].to_numpy()
-            d = np.sqrt(np.maximum(((x[:, None, :] - sample_x[None, :, :]) ** 2).sum(-1), 0.0))
+            # rows x sample distance block, built in row chunks so the
+            # (rows, sample, dims) difference tensor stays small
+            d = np.empty((len(x), len(sample_x)))
+            for i0 in range(0, len(x), SIL_CHUNK_ROWS):
+                blk = x[i0:i0 + SIL_CHUNK_ROWS, None, :] - sample_x[None, :, :]
+                d[i0:i0 + SIL_CHUNK_ROWS] = np.sqrt(np.maximum((blk ** 2).sum(-1), 0.0))
             a = np.zeros(len(pdf))
             b = np.full(len(pdf), np.inf)
             for u in uniq:
