@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.stats import rnd
 from quarry.operators import metrics as M
-from quarry.session import checkpoint_dir, cut_lineage
+from quarry.session import FIT_PARALLELISM, checkpoint_dir, cut_lineage
 
 CRITERIA = {"gini": "gini", "entropy": "entropy", "log_loss": "entropy"}
 MAX_FEATURES = {"sqrt": "sqrt", "log2": "log2", None: "all", "all": "all"}
@@ -161,12 +162,17 @@ def cross_validate(estimator_fn, df: DataFrame, features: Sequence[str], folds_c
     """fit per fold on the other folds, score the held-out fold with F8;
     mean and population std of the chosen metric (default weighted F1)."""
     base = cut_lineage(df)
-    vals = []
-    for f in range(k):
+
+    def fold_score(f):
         m = fit(estimator_fn(), base.where(F.col(folds_col) != f), features)
         p = m.transform(assemble(base.where(F.col(folds_col) == f), features))
         r = M.classification_metrics(p, "label", "prediction", classes=classes).first()
-        vals.append(float(r[metric]))
+        return float(r[metric])
+
+    # the folds are independent fits: concurrent Spark jobs over the
+    # checkpointed rows (as CrossValidator(parallelism=...) runs them)
+    with ThreadPoolExecutor(max_workers=min(k, FIT_PARALLELISM)) as ex:
+        vals = list(ex.map(fold_score, range(k)))
     mean = sum(vals) / len(vals)
     std = math.sqrt(sum((v - mean) ** 2 for v in vals) / len(vals))
     spark = df.sparkSession
@@ -194,16 +200,22 @@ def oob_accuracy(df: DataFrame, key: str, features: Sequence[str], n_trees: int
     movement), trains on weight > 0 rows with that weight, and votes on its
     weight = 0 rows; the majority OOB vote per row is scored."""
     base = cut_lineage(df.select(key, "label", *features))
-    votes = None
-    for t in range(n_trees):
+
+    def tree_votes(t):
         u = (F.abs(F.xxhash64(F.col(key).cast("string"), F.lit(seed), F.lit(t))) % 1_000_003) / 1_000_003.0
         b = base.withColumn("weight", _poisson1(u))
         est = decision_tree(max_depth=max_depth, max_features=max_features, seed=seed + t)
         est.setWeightCol("weight")
         m = est.fit(assemble(b.where(F.col("weight") > 0), features))
-        p = m.transform(assemble(b.where(F.col("weight") == 0), features)).select(
+        return m.transform(assemble(b.where(F.col("weight") == 0), features)).select(
             key, "label", F.col("prediction"))
-        votes = p if votes is None else votes.unionByName(p)
+
+    # independent tree fits run as concurrent Spark jobs; the votes stay lazy
+    with ThreadPoolExecutor(max_workers=FIT_PARALLELISM) as ex:
+        parts = list(ex.map(tree_votes, range(n_trees)))
+    votes = parts[0]
+    for p in parts[1:]:
+        votes = votes.unionByName(p)
     v = votes.groupBy(key, "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
     top = v.groupBy(key, "label").agg(
         F.min(F.struct((-F.col("n")).alias("k"), F.col("prediction").alias("p")))["p"].alias("vote"))

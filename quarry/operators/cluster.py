@@ -23,12 +23,10 @@ from pyspark.sql import types as T
 from quarry.functions.hashing import seeded_order
 from quarry.functions.stats import rnd
 from quarry.operators import prep as C
-from quarry.session import cut_lineage
+from quarry.session import FIT_PARALLELISM, cut_lineage
 
 SILHOUETTE_MAX_ROWS = 2000
 SIL_CHUNK_ROWS = 32
-# restarts / sweep points fitted as concurrent Spark jobs
-FIT_PARALLELISM = 4
 SAMPLE_DEFAULT = 5000
 NULL_MAX_PCT = 50.0
 

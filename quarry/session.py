@@ -12,6 +12,10 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+# Independent fits (restarts, sweep points, CV folds, bagged trees) run as
+# this many concurrent Spark jobs, like CrossValidator(parallelism=...).
+FIT_PARALLELISM = 4
+
 # Defaults applied only when the session does not define them already.
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
