@@ -151,12 +151,18 @@ def fit_prep(df: DataFrame, spec: PrepSpec, prof: P.TableProfile | None = None,
     if checkpoint:
         from quarry.session import cut_lineage
         train = cut_lineage(train)
+    own_prof = prof is None
     prof = prof or P.collect_profile(train)
     excl = set(spec.exclude) | ({spec.target} if spec.target else set())
-    nulls = P.null_profile(train).collect()
-    dropped = [r["column_name"] for r in nulls
-               if r["null_pct"] is not None and r["null_pct"] > spec.drop_null_pct
-               and r["column_name"] not in excl]
+    # null shares of the training rows: already in a profile made here
+    null_pct = (prof.null_pct if own_prof else
+                {r["column_name"]: r["null_pct"] for r in P.null_profile(train).collect()})
+    dropped = [c for c, v in null_pct.items()
+               if v is not None and v > spec.drop_null_pct and c not in excl]
+    # exact distinct counts (an upper bound when the profile covers more
+    # rows) pick the quantile route without another estimate pass
+    n_distinct = {c: prof.n_unique.get(c, P.QUANTILE_MAP_MAX_DISTINCT + 1) + 1
+                  for c in prof.order}
     keep = [c for c in prof.order if c not in excl and c not in dropped]
     numeric = [c for c in keep if prof.roles[c] == "numeric"]
     categorical = [c for c in keep if prof.roles[c] == "categorical"]
@@ -170,7 +176,8 @@ def fit_prep(df: DataFrame, spec: PrepSpec, prof: P.TableProfile | None = None,
     num_fill: dict[str, float] = {}
     if numeric:
         if spec.num_impute == "median":
-            q = {r["variable"]: r["q"][0] for r in P.quantiles(train, numeric, [0.5]).collect()}
+            q = {r["variable"]: r["q"][0] for r in P.quantiles(
+                train, numeric, [0.5], {c: n_distinct[c] for c in numeric}).collect()}
             num_fill = {c: float(q[c]) if q.get(c) is not None else 0.0 for c in numeric}
         elif spec.num_impute == "mean":
             r = train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in numeric]).first()
@@ -207,7 +214,8 @@ def fit_prep(df: DataFrame, spec: PrepSpec, prof: P.TableProfile | None = None,
                 center[c] = lo
                 scale[c] = (hi - lo) if hi != lo else 1.0
         elif spec.scaler == "robust":
-            q = {x["variable"]: x["q"] for x in P.quantiles(imp, numeric, [0.25, 0.5, 0.75]).collect()}
+            q = {x["variable"]: x["q"] for x in P.quantiles(
+                imp, numeric, [0.25, 0.5, 0.75], {c: n_distinct[c] for c in numeric}).collect()}
             for c in numeric:
                 q25, med, q75 = q[c]
                 center[c] = float(med)
