@@ -13,6 +13,7 @@ from quarry.operators import metrics as M
 from quarry.operators import split as S
 from quarry.plans import derived as D
 from quarry.plans.catalog import query
+from quarry.session import cut_lineage
 
 CLASSES = [0.0, 1.0, 2.0]
 SCORES = ["p0", "p1", "p2"]
@@ -370,7 +371,8 @@ LATERAL (SELECT 'accuracy' AS metric, r.accuracy AS val, t.accuracy AS test FROM
 def g10_test_evaluation(spark, sf):
     # val and test in the same jobs; the best validation model (F1 desc,
     # then name) is picked by a window over the (model x split) table
-    res = _results_by_split(spark, sf, ("val", "test"))
+    # (split x model) rows, read three times below: written once
+    res = cut_lineage(_results_by_split(spark, sf, ("val", "test")))
     val = res.where(F.col("split") == "val").drop("split")
     first = val.select("model", F.row_number().over(
         Window.orderBy(F.desc("f1"), "model")).alias("_r")).where("_r = 1").select("model")
