@@ -55,8 +55,11 @@ def _results_by_split(spark, sf, splits=("val",)):
         F.struct(F.lit(name).alias("model"), pred.cast("double").alias("prediction"),
                  *[sc.cast("double").alias(c) for sc, c in zip(scores, SCORES)])
         for name, (pred, *scores) in variants.items()])))
-    return M.classification_metrics(long, "label", "prediction", SCORES, CLASSES,
-                                    groups=["split", "model"])
+    # one row per (split, model): written once to the shared checkpoint
+    # folder, since readings, rankings and the test evaluation read it
+    # several times
+    return cut_lineage(M.classification_metrics(long, "label", "prediction", SCORES, CLASSES,
+                                                groups=["split", "model"]))
 
 
 def _results(spark, sf, split="val"):
@@ -371,8 +374,7 @@ LATERAL (SELECT 'accuracy' AS metric, r.accuracy AS val, t.accuracy AS test FROM
 def g10_test_evaluation(spark, sf):
     # val and test in the same jobs; the best validation model (F1 desc,
     # then name) is picked by a window over the (model x split) table
-    # (split x model) rows, read three times below: written once
-    res = cut_lineage(_results_by_split(spark, sf, ("val", "test")))
+    res = _results_by_split(spark, sf, ("val", "test"))
     val = res.where(F.col("split") == "val").drop("split")
     first = val.select("model", F.row_number().over(
         Window.orderBy(F.desc("f1"), "model")).alias("_r")).where("_r = 1").select("model")
