@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.hashing import seeded_order, seeded_uniform
 from quarry.functions.ranking import md5_bucket, row_rank, running_sums
@@ -67,13 +68,35 @@ def stratified_split(df: DataFrame, key: str, label: str, plan: SplitPlan = Spli
     go to test, the next ceil(rest·val/(train+val)) to val, the rest train.
     Rows with a NULL label are dropped (S3)."""
     d = df.where(F.col(label).isNotNull()).withColumn("_o", seeded_order(seed, F.col(key)))
-    d = row_rank(d, [label], "_o", bucket=md5_bucket(F.col("_o")), tie_breaker=[key])
-    counts = d.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))  # one row per class
+    counts, digits = _class_counts(d, label)
+    d = row_rank(d, [label], "_o", bucket=md5_bucket(F.col("_o"), digits), tie_breaker=[key])
     d = d.join(F.broadcast(counts), label)
     return d.withColumn("split", _assign(F.col("rank0"), F.col("_n"), plan)).drop(
         "_o", "rank0", "_n")
 
 
+# rows per (class, md5 bucket) rank window the bucket count aims at
+RANK_WINDOW_ROWS = 2_000_000
+
+
+def _class_counts(d: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """Rows per class (one row per class, collected: bounded by the class
+    count) and the md5 hex digits of the rank buckets: enough 16-way
+    buckets that the largest class has about RANK_WINDOW_ROWS rows per
+    window, between 1 and 4 digits (65 536 buckets: a class of 3e11 rows is
+    ranked in windows of ~5e6 rows)."""
+    from quarry.operators.metrics import MAX_CLASSES
+    rows = d.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label!r} has more than {MAX_CLASSES} classes")
+    top = max((r["_n"] for r in rows), default=0)
+    digits = 1
+    while digits < 4 and top > RANK_WINDOW_ROWS * 16 ** digits:
+        digits += 1
+    schema = T.StructType([d.schema[label], T.StructField("_n", T.LongType())])
+    return d.sparkSession.createDataFrame([(r[label], r["_n"]) for r in rows], schema), digits
+
+
 def hash_split(df: DataFrame, key: str, plan: SplitPlan = SplitPlan(), seed: int = 42) -> DataFrame:
     """Unstratified shuffled split as a narrow map: the md5 4-hex prefix
     is compared with fixed cut strings. Sizes are approximate by design
@@ -107,7 +130,8 @@ def ordered_split(df: DataFrame, order_col: str, plan: SplitPlan = SplitPlan(),
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """F6 folds: fold = rank-in-class (md5 order) mod k – stratified, seeded."""
     d = df.where(F.col(label).isNotNull()).withColumn("_o", seeded_order(seed, F.col(key)))
-    d = row_rank(d, [label], "_o", bucket=md5_bucket(F.col("_o")), tie_breaker=[key])
+    _, digits = _class_counts(d, label)
+    d = row_rank(d, [label], "_o", bucket=md5_bucket(F.col("_o"), digits), tie_breaker=[key])
     return d.withColumn("fold", (F.col("rank0") % k).cast("int")).drop("_o", "rank0")
 
 
