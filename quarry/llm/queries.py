@@ -27,3 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.jaccard_join import jaccard_components
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def tokenizer() -> tuple[dict[bytes, int], str]:
+    """Ranks and pattern that operator 9 is registered with."""
+    import public_tokenizers
+    from quarry.llm.byte_bpe import read_ranks
+    return read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+@query("op9_byte_bpe")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.byte_bpe import token_digests
+    return token_digests(table(spark, sf_dir, "documents"), *tokenizer())
