@@ -40,3 +40,9 @@ def tokenizer() -> tuple[dict[bytes, int], str]:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.byte_bpe import token_digests
     return token_digests(table(spark, sf_dir, "documents"), *tokenizer())
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.html_text import extract
+    return extract(table(spark, sf_dir, "pages"))
