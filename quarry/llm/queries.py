@@ -46,3 +46,45 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.html_text import extract
     return extract(table(spark, sf_dir, "pages"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         md5(concat_ws('|', '11', coalesce(CAST(doc_id AS VARCHAR), ''))) AS key
+  FROM documents),
+s AS (
+  SELECT source, sum(size) AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM d GROUP BY source),
+l AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+             - 2 * coalesce(sum(source_size) OVER (ORDER BY source_size / w, source NULLS LAST
+                                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY source_size / w, source NULLS LAST
+                           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s),
+t AS (SELECT source, source_size, least(source_size * 2.0::DOUBLE, max(level) OVER () * w) AS target FROM l),
+q AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT q.size, (upto + k * source_size) / target AS finish FROM q, (VALUES (0), (1)) AS v(k) WHERE size > 0),
+r AS (
+  SELECT finish, sum(sum(size)) OVER (ORDER BY finish) AS upto FROM c GROUP BY finish),
+e AS (SELECT max(finish) AS last FROM r WHERE upto <= (SELECT sum(size) FROM c) * 0.75)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE size * (
+         CASE WHEN upto / target <= last THEN 1 ELSE 0 END
+         + CASE WHEN (upto + source_size) / target <= last THEN 1 ELSE 0 END) END AS BIGINT) AS taken
+FROM q, e
+"""
+
+
+@query("op5_mix_sources", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.mixing import plan
+    from quarry.llm.storage import Stage
+    return plan(table(spark, sf_dir, "documents"), Stage(spark, "mix")).select(
+        "doc_id", "size", "source_size", "target", "taken")
