@@ -88,3 +88,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.storage import Stage
     return plan(table(spark, sf_dir, "documents"), Stage(spark, "mix")).select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.toxicity import scores
+    return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

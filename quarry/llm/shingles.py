@@ -38,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "p" not in _POWERS or len(_POWERS["p"]) < n + 1:
         for name, base in (("p", _BASE), ("q", _BASE_INVERSE)):
             a = np.full(max(n, SLICE) + 1, base, dtype=np.uint64)
@@ -60,7 +60,7 @@ def _slice_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.n
     after[breaks[breaks > 0] - 1] = True
     first = np.flatnonzero(~space & before)
     last = np.flatnonzero(~space & after) + 1
-    up, down = _powers(len(data))
+    up, down = powers(len(data))
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[:len(data)], out=total[1:])
     hashes = (total[last] - total[first]) * down[first]

@@ -82,6 +82,6 @@ def slot_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndar
     sent = df.mapInArrow(send, "shard int, steps binary")
     found = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(add, "shard int, bits binary")
     bits = np.zeros((SHARDS, width // 8), dtype=np.uint8)
-    for row in found.toLocalIterator():
+    for row in found.collect():  # 8 MB in all
         bits[row["shard"]] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
     return bits.ravel()
