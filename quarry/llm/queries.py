@@ -94,3 +94,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.toxicity import scores
     return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.secrets import secret_spans
+    return secret_spans(table(spark, sf_dir, "documents"))

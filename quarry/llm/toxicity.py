@@ -39,11 +39,13 @@ BITS = 18
 DIM = 8
 SAMPLE = 2500
 EPOCHS = 60
-RATE = 0.2
+RATE = 0.1
 #: Buckets that differ between the labels by fewer standard errors keep weight 0.
-CERTAIN = 4.5
+CERTAIN = 5.0
 #: Averages over a whole text are small; this keeps the steps of Adam in range.
 GAIN = 100.0
+#: Weightless subwords added to every average, so that a few words decide little.
+CALM = 200
 SLICE = 1 << 20
 
 _SYMBOL = np.full(256, 32, dtype=np.uint64)
@@ -120,7 +122,7 @@ def logits(texts: list, weight: np.ndarray, bias: float) -> np.ndarray:
             text = np.searchsorted(starts, place[:used], side="right") - 1
             total[first:first + len(starts)] += np.bincount(text, weight[bucket[:used]], len(starts))
             count[first:first + len(starts)] += np.bincount(text, minlength=len(starts))
-    return bias + total / np.maximum(1, count)
+    return bias + total / (CALM + count)
 
 
 def fit(texts: list, labels: np.ndarray, dim: int = DIM, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
@@ -132,7 +134,7 @@ def fit(texts: list, labels: np.ndarray, dim: int = DIM, epochs: int = EPOCHS) -
         found, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
         rows.append(np.full(len(found), i, dtype=np.int32))
         buckets.append(found.astype(np.int32))
-        values.append((times * (GAIN / max(1, times.sum()))).astype(np.float32))
+        values.append((times * (GAIN / (CALM + times.sum()))).astype(np.float32))
     row, bucket, value = map(np.concatenate, (rows, buckets, values))
     target = np.asarray(labels, dtype=np.float64)
     n, share = len(texts), target.mean()
