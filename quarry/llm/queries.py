@@ -100,3 +100,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.secrets import secret_spans
     return secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op7_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.fingerprints import fingerprints
+    return fingerprints(table(spark, sf_dir, "documents"))
