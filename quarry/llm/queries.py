@@ -106,3 +106,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.fingerprints import fingerprints
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op4_hnsw_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.hnsw import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
