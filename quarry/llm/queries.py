@@ -112,3 +112,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.hnsw import nearest
     return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+@query("op2_tool_call_linking")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.tool_calls import TOOLS, derived, format_chat
+    return format_chat(derived(table(spark, sf_dir, "conversations")), TOOLS)
