@@ -118,3 +118,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.tool_calls import TOOLS, derived, format_chat
     return format_chat(derived(table(spark, sf_dir, "conversations")), TOOLS)
+
+
+@query("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.licenses import license_scan
+    return license_scan(table(spark, sf_dir, "documents"))
