@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import seeded_order
+from quarry.llm.columns import hidden, shown
 from quarry.llm.storage import Stage
 
 WEIGHTS = (3, 1, 2)
@@ -117,8 +118,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     by finish time. Rows that share a doc_id share the smallest count of them."""
     per = plan(docs, Stage(docs.sparkSession, "mix")).groupBy("doc_id").agg(
         F.min("copies").alias("copies"), *(F.min(_finish(k)).alias(f"finish{k}") for k in range(REPEATS)))
-    per = per.where("copies > 0").select(F.col("doc_id").alias("_id"), F.slice(
-        F.array(*(f"finish{k}" for k in range(REPEATS))), F.lit(1), F.col("copies")).alias("_finishes"))
-    taken = docs.join(per, docs["doc_id"].cast("long").eqNullSafe(per["_id"])) \
-        .select(*(docs[c] for c in docs.columns), F.explode("_finishes").alias("_finish"))
-    return taken.repartitionByRange("_finish", "doc_id").sortWithinPartitions("_finish", "doc_id").select(docs.columns)
+    per = per.where("copies > 0").select("doc_id", F.slice(
+        F.array(*(f"finish{k}" for k in range(REPEATS))), F.lit(1), F.col("copies")).alias("finishes")).alias("p")
+    rows = hidden(docs, F.col("doc_id").cast("long").alias("doc_id")).alias("d")
+    taken = rows.join(per, F.expr("d.doc_id <=> p.doc_id")).select("d.*", F.explode("finishes").alias("finish"))
+    return shown(taken.repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id"), docs)

@@ -28,6 +28,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.columns import hidden, shown
+
 #: kind, pattern, group of the secret itself, its least length; in the order of equal starts.
 KINDS = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -39,7 +41,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 SAMPLE = 5000
 RATIO = 12.0
 PER_PAIR = 0.6
-SMOOTHING = 0.5
+#: Pairs back off to single characters, and those to equal chances.
+BACKOFF, SMOOTHING = 20.0, 0.5
 MASK = "[SECRET]"
 
 _FIRST, _WIDTH = 43, 80  # '+' to 'z'
@@ -107,10 +110,12 @@ def train(labelled: DataFrame) -> np.ndarray:
     pairs = codes.select("label", F.explode(F.arrays_zip(
         F.col("c").alias("a"), F.slice("c", F.lit(2), F.greatest(F.size("c"), F.lit(1))).alias("b"))).alias("p"))
     fine = f"p.a between 0 and {_WIDTH - 1} and p.b between 0 and {_WIDTH - 1}"
-    counts = np.full((2, _WIDTH, _WIDTH), SMOOTHING)
+    counts = np.zeros((2, _WIDTH, _WIDTH))
     for label, a, b, n in pairs.where(fine).groupBy("label", "p.a", "p.b").count().collect():  # 2 * 80 * 80 at most
         counts[label, a, b] += n
-    chance = counts / counts.sum(axis=2, keepdims=True)
+    single = counts.sum(axis=1) + SMOOTHING
+    single = single / single.sum(axis=1, keepdims=True)
+    chance = (counts + BACKOFF * single[:, None, :]) / (counts.sum(axis=2, keepdims=True) + BACKOFF)
     return np.log(chance[1] / chance[0]).ravel()
 
 
@@ -152,9 +157,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of the text replaced by ``MASK`` (overlapping
     spans by one) and ``n_chars``, if there is one, set to the new length."""
-    columns = [F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = find(docs.select(*columns, F.col("text").alias("text")), train(samples(docs)))
+    found = find(hidden(docs, F.col("text").cast("string").alias("text")), train(samples(docs)))
 
     def cut(acc, s):
         begin = F.greatest(acc["at"], s["start"])
@@ -166,8 +170,10 @@ def redact(docs: DataFrame) -> DataFrame:
     spans = F.array_sort(F.concat("base", "added"))
     folded = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut,
                          lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    found = found.withColumn("_new", F.when(F.size(spans) > 0, folded).otherwise(F.col("text")))
-    new = {"text": F.col("_new"), "n_chars": F.when(F.size(spans) > 0, F.length("_new").cast("long"))}
-    return found.select(*(
-        F.coalesce(new[c], F.col(f"_{i}")).alias(c) if c in new else F.col(f"_{i}").alias(c)
-        for i, c in enumerate(docs.columns)))
+    new = F.when(F.size(spans) > 0, folded)
+    found = found.withColumn("new", new)
+    columns = {"text": F.coalesce("new", "text")}
+    if "n_chars" in docs.columns:
+        old = F.col(f"_{docs.columns.index('n_chars')}")
+        columns["n_chars"] = F.when(F.isnotnull("new"), F.char_length("new").cast("long")).otherwise(old)
+    return shown(found, docs, **columns)

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.columns import hidden, shown
 from quarry.llm.shingles import powers
 
 SIZES = (3, 4, 5, 6)
@@ -227,6 +228,5 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that score below 0.5, with the columns of ``docs``."""
-    columns = [F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)]
-    marked = score(docs.select(*columns, F.col("text").cast("string").alias("text")), train(docs, labels))
-    return marked.where("score < 0.5").select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    marked = score(hidden(docs, F.col("text").cast("string").alias("text")), train(docs, labels))
+    return shown(marked.where("score < 0.5"), docs)
