@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 DP = 4  # decimals kept in reported statistics
 
 
+# Decimal notation only: Java's casts would also take suffixes such as 1d or 2f.
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def number(c: Column) -> Column:
+    """A string's number, or NULL."""
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+
+
 def rnd(c: Column, dp: int = DP) -> Column:
     return F.round(c.cast("double"), dp)
 
@@ -46,5 +60,5 @@ def nan_to_null(df, cols=None):
                and (cols is None or f.name in cols)]
     if not targets:
         return df
-    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double"))
+    return df.withColumns({c: F.nanvl(quoted(c), F.lit(None).cast("double"))
                            .cast(df.schema[c].dataType) for c in targets})

@@ -26,6 +26,8 @@ from quarry.operators import prep as C
 from quarry.session import FIT_PARALLELISM, cut_lineage
 
 SILHOUETTE_MAX_ROWS = 2000
+#: Micro-clusters that are agglomerated pairwise on the driver.
+MOST_MICRO = 300
 SIL_CHUNK_ROWS = 32
 SAMPLE_DEFAULT = 5000
 NULL_MAX_PCT = 50.0
@@ -153,7 +155,7 @@ def elbow_k(sweep: DataFrame) -> DataFrame:
     mm = s.agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("wcss").alias("w0"),
                F.max("wcss").alias("w1"), F.count(F.lit(1)).alias("n"))
     j = s.withColumn("_x", F.lit(1)).join(mm.withColumn("_x", F.lit(1)), "_x")
-    xn = (F.col("k") - F.col("k0")) / (F.col("k1") - F.col("k0"))
+    xn = F.coalesce(F.try_divide(F.col("k") - F.col("k0"), F.col("k1") - F.col("k0")), F.lit(0.0))
     yn = (F.col("wcss") - F.col("w0")) / F.when(F.col("w1") == F.col("w0"), 1.0).otherwise(
         F.col("w1") - F.col("w0"))
     # chord from the first point (x=0, y=yn(first)) to the last (x=1, y=yn(last))
@@ -204,7 +206,9 @@ def _sil_partition(sample_x: np.ndarray, sample_c: np.ndarray):
                 a = np.where(own, np.where(cnt > 1, s / np.maximum(cnt - 1, 1), 0.0), a)
                 b = np.where(own, b, np.minimum(b, s / cnt))
             single = np.array([(sample_c == ci).sum() == 1 for ci in c])
-            sil = np.where(single | ~np.isfinite(b), 0.0, (b - a) / np.maximum(a, b))
+            # rows at distance 0 of both clusters lie between them
+            most = np.maximum(a, b)
+            sil = np.where(single | ~np.isfinite(b) | (most == 0), 0.0, (b - a) / np.where(most == 0, 1.0, most))
             yield pd.DataFrame({"_k": pdf["_k"].to_numpy(), "s": sil})
     return fn
 
@@ -222,7 +226,6 @@ def silhouette_rows(assigned: DataFrame, key: str, features: Sequence[str], clus
     sc = local["_c"].to_numpy()
     spark = assigned.sparkSession
     bx = spark.sparkContext.broadcast((sx, sc))
-    fn_holder = {}
 
     def run(it):
         sx_, sc_ = bx.value
@@ -231,7 +234,6 @@ def silhouette_rows(assigned: DataFrame, key: str, features: Sequence[str], clus
     kt = samp.schema["_k"].dataType.simpleString()
     n_part = max(1, min(64, len(local) // 250))
     out = samp.repartition(n_part, "_k").mapInPandas(run, f"_k {kt}, s double")
-    del fn_holder
     return out.withColumnRenamed("_k", key)
 
 
@@ -346,7 +348,8 @@ def micro_cluster_hierarchy(df: DataFrame, key: str, features: Sequence[str], k:
     agglomeration of the m centroids only, cut into k groups; the centroid ->
     group map (m rows) is inlined back onto every row. Returns (assigned
     frame with ``cluster``, merge table, cut height)."""
-    m = min(m, 300)
+    if not 1 <= m <= MOST_MICRO:
+        raise ValueError(f"m must be between 1 and {MOST_MICRO}: the centroids are agglomerated pairwise")
     a, cents, _ = kmeans(df, features, m, n_init=1, seed=seed)
     sizes = {r["cluster"]: r["n"] for r in a.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
     ids = sorted(sizes)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import seeded_order
-from quarry.functions.stats import rnd
+from quarry.functions.stats import quoted, rnd
 from quarry.operators import profile as P
 
 IQR_K = 1.5
@@ -31,7 +33,7 @@ def null_map(df: DataFrame, key: str, n_rows: int = 200) -> DataFrame:
 
 # --- B17 IQR outliers ----------------------------------------------------------------
 
-def iqr_outliers(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
+def iqr_outliers(df: DataFrame, cols: Sequence[str], method: str = "bracket") -> DataFrame:
     """Per numeric column Tukey fences, outlier count and share.
 
     Quartiles come from one quantile job; the fences (one pair per column,
@@ -49,7 +51,7 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str], method: str = "auto") -> Da
     for i, c in enumerate(keep):
         q1, q3 = qs[c]
         lo, hi = q1 - IQR_K * (q3 - q1), q3 + IQR_K * (q3 - q1)
-        x = F.col(c).cast("double")
+        x = quoted(c).cast("double")
         aggs += [F.count(F.when((x < lo) | (x > hi), 1)).alias(f"_o{i}"),
                  F.count(x).alias(f"_n{i}"), F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
     wide = df.agg(*aggs)
@@ -68,21 +70,47 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str], method: str = "auto") -> Da
 # --- B18 / B19 correlations -----------------------------------------------------------
 
 def corr_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson r for each pair i<j (pairwise-complete): (i, j, var_a, var_b, r).
+    """Pearson r for each pair i<j (pairwise-complete): (i, j, var_a, var_b, r);
+    NULL where a column is constant on the pair's rows.
 
-    One aggregate with n(n-1)/2 ``corr`` expressions; each is a mergeable
-    partial aggregate, so the work is one map pass and a one-row final.
+    One scan finds each column's least value, which is taken off so that sums
+    stay small; a second one multiplies matrices per Arrow batch. A task sends
+    its sums once (columns squared numbers), added per pair: the plan does not
+    grow with the columns.
     """
-    cols = list(cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if not pairs:
-        return df.sparkSession.createDataFrame(
-            [], "i int, j int, var_a string, var_b string, r double")
-    wide = df.agg(*[F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double"))
-                    .alias(f"_r{i}_{j}") for i, j in pairs])
-    return wide.select(F.inline(F.array(*[F.struct(
-        F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("var_a"),
-        F.lit(cols[j]).alias("var_b"), F.col(f"_r{i}_{j}").alias("r")) for i, j in pairs])))
+    cols, spark = list(cols), df.sparkSession
+    if len(cols) < 2:
+        return spark.createDataFrame([], "i int, j int, var_a string, var_b string, r double")
+    wide = df.select(*(quoted(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)))
+    low = wide.agg(*(F.min(F.nanvl(f"c{k}", F.lit(None).cast("double"))) for k in range(len(cols)))).first()
+    low = np.array([0.0 if v is None or not np.isfinite(v) else v for v in low])
+    upper = np.triu_indices(len(cols), 1)
+    names = ["n", "sa", "sb", "saa", "sbb", "sab"]
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1) - low
+            here = np.isfinite(x)
+            x, m = np.where(here, x, 0.0), here.astype(float)
+            q = x * x
+            sums = np.stack([m.T @ m, x.T @ m, m.T @ x, q.T @ m, m.T @ q, x.T @ x])
+            total = sums if total is None else total + sums
+        if total is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(upper[0], pa.int32()), pa.array(upper[1], pa.int32()), *(pa.array(t[upper]) for t in total)],
+                ["i", "j", *names])
+
+    sums = wide.mapInArrow(run, "i int, j int, " + ", ".join(f"{n} double" for n in names)) \
+        .groupBy("i", "j").agg(*(F.sum(n).alias(n) for n in names))
+    va, vb = F.expr("n * saa - sa * sa"), F.expr("n * sbb - sb * sb")
+    # what rounding leaves of a constant is no variance
+    fine = (va > 1e-12 * F.col("n") * F.col("saa")) & (vb > 1e-12 * F.col("n") * F.col("sbb"))
+    pairs = spark.createDataFrame([(int(i), int(j), cols[i], cols[j]) for i, j in zip(*upper)],
+                                  "i int, j int, var_a string, var_b string")
+    # columns squared rows on either side
+    return pairs.join(sums.select("i", "j", F.when(fine, F.try_divide(
+        F.expr("n * sab - sa * sb"), F.sqrt(va) * F.sqrt(vb))).alias("r")), ["i", "j"], "left")
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -153,28 +181,22 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 
 def box_stats(df: DataFrame, col: str, group: str | None = None) -> DataFrame:
     """Q1, median, Q3, mean, whiskers (extreme in-fence values) and the
-    outlier count, per group. Fences are one row per group (bounded) and are
-    broadcast back for the whisker pass."""
+    outlier count, per group. Fences are one row per group; how they are joined
+    back for the whisker pass is left to their measured size."""
     x = F.col(col).cast("double")
     g = F.col(group).cast("string") if group else F.lit("all")
     base = df.select(g.alias("grp"), x.alias("x")).where(F.col("x").isNotNull())
-    st = base.groupBy("grp").agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"),
-                                 F.approx_count_distinct("x").alias("_hll"))
-    # exact quartiles: per-group value maps while every group has few
-    # distinct values, else the memory-bounded rank route (a hot group
-    # with many distinct values never sits in one task's map)
-    mx = st.agg(F.max("_hll")).first()[0] or 0
-    if mx <= P.QUANTILE_MAP_MAX_DISTINCT:
-        q = base.groupBy("grp").agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("q"))
-    else:
-        q = P.rank_quantiles_long(base.select(F.col("grp").alias("variable"), "x"),
-                                  [0.25, 0.5, 0.75]).withColumnRenamed("variable", "grp")
+    st = base.groupBy("grp").agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"))
+    # exact quartiles by the memory-bounded rank route: a hot group with many
+    # distinct values never sits in one task's map
+    q = P.rank_quantiles_long(base.select(F.col("grp").alias("variable"), "x"),
+                              [0.25, 0.5, 0.75]).withColumnRenamed("variable", "grp")
     f = st.join(q, "grp").select("grp", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                                  F.col("q")[2].alias("q3"), "mean", "n")
     f = f.withColumns({"lf": F.col("q1") - IQR_K * (F.col("q3") - F.col("q1")),
                        "uf": F.col("q3") + IQR_K * (F.col("q3") - F.col("q1"))})
     inside = (F.col("x") >= F.col("lf")) & (F.col("x") <= F.col("uf"))
-    w = base.join(F.broadcast(f.select("grp", "lf", "uf")), "grp").groupBy("grp").agg(
+    w = base.join(f.select("grp", "lf", "uf"), "grp").groupBy("grp").agg(
         F.min(F.when(inside, F.col("x"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("x"))).alias("upper_whisker"),
         F.count(F.when(~inside, 1)).alias("n_outliers"))

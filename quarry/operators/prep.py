@@ -4,11 +4,9 @@
 ``fit_prep`` learns every parameter from the TRAINING rows only (decision S2)
 in two aggregate jobs – imputation values, then scaling statistics of the
 imputed columns – and keeps them as a small ``PrepModel`` (one entry per
-column, one per category). ``PrepModel.transform`` is a single narrow
-``select``: parameters are inlined as literals, so scoring any number of
-rows needs no join and no shuffle. Category dictionaries above
-``DICT_INLINE_MAX`` entries are joined instead (Catalyst/AQE choose
-broadcast or sort-merge by their measured size).
+column, one per category). ``PrepModel.transform`` inlines the parameters as
+literals; category and class codes are joined from local tables, which Catalyst
+broadcasts by their known size or sorts beyond that. No dictionary size is refused.
 """
 
 from __future__ import annotations
@@ -24,8 +22,6 @@ from quarry.operators import profile as P
 NULL_DROP_PCT = 50.0
 DEFAULT_EXCLUDE_ROLES = ("id_like", "text", "datetime")
 DEFAULT_EXCLUDE_MAX = 5
-DICT_INLINE_MAX = 10_000
-MAX_CLASSES = 1000  # class lists are collected: bounded
 NUM_IMPUTE = ("median", "mean", "most_frequent", "constant")
 CAT_IMPUTE = ("most_frequent", "constant")
 SCALERS = ("standard", "minmax", "robust", "none")
@@ -82,7 +78,7 @@ class PrepModel:
         cats = self.categories[c]
         if self.spec.encoder == "onehot":
             return [(v == F.lit(k)).cast("double").alias(f"{c}_{k}") for k in cats]
-        code = F.create_map(*[e for i, k in enumerate(cats) for e in (F.lit(k), F.lit(float(i)))])[v]
+        code = F.col(f"_code_{c}")
         if self.spec.encoder == "ordinal":
             code = F.when(code.isNull(),
                           F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), v))
@@ -90,16 +86,26 @@ class PrepModel:
             return [code.cast("double").alias(c)]
         return [F.coalesce(code, F.lit(-1.0)).alias(c)]
 
+    @staticmethod
+    def _coded(df: DataFrame, value: Column, dictionary: list[str], name: str) -> DataFrame:
+        """``df`` with the place of ``value`` in the sorted dictionary (NULL if it
+        is not there): a join with a local table, whose size Catalyst knows."""
+        rows = df.sparkSession.createDataFrame([(k, float(i)) for i, k in enumerate(dictionary)],
+                                               f"`{name}_v` string, `{name}` double")
+        return df.join(rows, value == F.col(f"{name}_v"), "left").drop(f"{name}_v")
+
     def transform(self, df: DataFrame, keep: Sequence[str] = (), with_label: bool = True) -> DataFrame:
         """Kept columns + features (+ encoded ``label`` unless scoring)."""
         cols = [F.col(k) for k in keep]
         cols += [self.num_expr(c).alias(c) for c in self.numeric]
         for c in self.categorical:
+            if self.spec.encoder != "onehot":
+                df = self._coded(df, self.cat_value(c), self.categories[c], f"_code_{c}")
             cols += self.cat_exprs(c)
         t = self.spec.target if with_label else None
         if t:
-            m = F.create_map(*[e for i, k in enumerate(self.classes) for e in (F.lit(k), F.lit(float(i)))])
-            cols.append(m[F.col(t).cast("string")].alias("label"))
+            df = self._coded(df, F.col(t).cast("string"), self.classes, "_code")
+            cols.append(F.col("_code").alias("label"))
         out = df.select(*cols)
         return out.where(F.col("label").isNotNull()) if t else out
 
@@ -159,10 +165,6 @@ def fit_prep(df: DataFrame, spec: PrepSpec, prof: P.TableProfile | None = None,
                 {r["column_name"]: r["null_pct"] for r in P.null_profile(train).collect()})
     dropped = [c for c, v in null_pct.items()
                if v is not None and v > spec.drop_null_pct and c not in excl]
-    # exact distinct counts (an upper bound when the profile covers more
-    # rows) pick the quantile route without another estimate pass
-    n_distinct = {c: prof.n_unique.get(c, P.QUANTILE_MAP_MAX_DISTINCT + 1) + 1
-                  for c in prof.order}
     keep = [c for c in prof.order if c not in excl and c not in dropped]
     numeric = [c for c in keep if prof.roles[c] == "numeric"]
     categorical = [c for c in keep if prof.roles[c] == "categorical"]
@@ -177,7 +179,7 @@ def fit_prep(df: DataFrame, spec: PrepSpec, prof: P.TableProfile | None = None,
     if numeric:
         if spec.num_impute == "median":
             q = {r["variable"]: r["q"][0] for r in P.quantiles(
-                train, numeric, [0.5], {c: n_distinct[c] for c in numeric}).collect()}
+                train, numeric, [0.5]).collect()}
             num_fill = {c: float(q[c]) if q.get(c) is not None else 0.0 for c in numeric}
         elif spec.num_impute == "mean":
             r = train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in numeric]).first()
@@ -215,7 +217,7 @@ def fit_prep(df: DataFrame, spec: PrepSpec, prof: P.TableProfile | None = None,
                 scale[c] = (hi - lo) if hi != lo else 1.0
         elif spec.scaler == "robust":
             q = {x["variable"]: x["q"] for x in P.quantiles(
-                imp, numeric, [0.25, 0.5, 0.75], {c: n_distinct[c] for c in numeric}).collect()}
+                imp, numeric, [0.25, 0.5, 0.75]).collect()}
             for c in numeric:
                 q25, med, q75 = q[c]
                 center[c] = float(med)
@@ -226,11 +228,6 @@ def fit_prep(df: DataFrame, spec: PrepSpec, prof: P.TableProfile | None = None,
         imp = train.select(*[F.coalesce(F.col(c).cast("string"), F.lit(cat_fill[c])).alias(c)
                              for c in categorical])
         vc = P.value_counts(imp, categorical)
-        n_cat = vc.groupBy("variable").count().collect()
-        big = [r["variable"] for r in n_cat if r["count"] > DICT_INLINE_MAX]
-        if big:
-            raise ValueError(f"categorical columns {big} exceed {DICT_INLINE_MAX} categories; "
-                             "use dictionary_encode() for high-cardinality columns")
         for r in vc.select("variable", "value").collect():
             categories[r["variable"]].append(r["value"])
         categories = {c: sorted(v) for c, v in categories.items()}
@@ -238,9 +235,7 @@ def fit_prep(df: DataFrame, spec: PrepSpec, prof: P.TableProfile | None = None,
     if spec.target:
         classes = sorted(r[0] for r in df.where(F.col(spec.target).isNotNull())
                          .select(F.col(spec.target).cast("string")).distinct()
-                         .limit(MAX_CLASSES + 1).collect())
-        if len(classes) > MAX_CLASSES:
-            raise ValueError(f"target {spec.target!r} has more than {MAX_CLASSES} classes")
+                         .collect())
     return PrepModel(spec, numeric, categorical, dropped, num_fill, cat_fill, center, scale,
                      categories, classes)
 
@@ -252,13 +247,13 @@ def dictionary_encode(df: DataFrame, col: str, train: DataFrame, unknown: float
     left to Catalyst/AQE (broadcast only when the measured size allows).
 
     Rank buckets are string boundaries taken from a bounded seeded sample of
-    the distinct values (<= 50 000 values), so values sharing long prefixes
+    the distinct values (about 20 a bucket), so values sharing long prefixes
     still spread evenly over the buckets."""
     from quarry.functions.ranking import row_rank
     vals = train.select(F.col(col).cast("string").alias("value")).where("value IS NOT NULL").distinct()
     n = vals.count()
     frac = min(1.0, 20.0 * n_buckets / max(n, 1))
-    smp = sorted(r[0] for r in vals.sample(fraction=frac, seed=seed).limit(50_000).collect())
+    smp = sorted(r[0] for r in vals.sample(fraction=frac, seed=seed).collect())
     step = max(1, len(smp) // n_buckets)
     bounds = sorted(set(smp[step::step]))
     bkt = (F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("value")))

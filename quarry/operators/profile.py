@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.ranking import running_sums
-from quarry.functions.stats import kurt_g2, rnd, skew_g1
+from quarry.functions.stats import kurt_g2, number, quoted, rnd, skew_g1
+from quarry.session import cut_lineage
 
 # Fixed values that must equal the reference's rules.
 MAX_CATEGORICAL_UNIQUE = 50
@@ -31,9 +32,14 @@ DATE_NAME_HINTS = ["date", "fecha", "time", "tiempo", "year", "año", "mes",
                    "month", "day", "dia", "timestamp", "created", "updated"]
 TARGET_MAX_CLASSES = 20
 
-# Above this many distinct values per column the exact quantile switches from
-# Spark's value->count map (held in one task) to the bracket method.
-QUANTILE_MAP_MAX_DISTINCT = 1_000_000
+# Date notations beside ISO: day first, and named months; (shape, Spark pattern).
+DATE_SHAPES = [
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"), (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})?$", "d/M/yyyy H:mm[:ss]"),
+]
 QUARTILES = [0.25, 0.5, 0.75]
 
 _NUM = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -61,11 +67,13 @@ def string_columns(df: DataFrame) -> list[str]:
 
 def _date_ok(c: Column) -> Column:
     # a separator is required: Spark reads a bare "1995" as a timestamp
-    return c.rlike("[-/:]") & c.try_cast("timestamp").isNotNull()
+    # and day-first or named-month dates as pandas would
+    return (c.rlike("[-/:]") & c.try_cast("timestamp").isNotNull()) | F.coalesce(
+        *(F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt))) for shape, fmt in DATE_SHAPES)).isNotNull()
 
 
 def _num_ok(c: Column) -> Column:
-    return c.try_cast("double").isNotNull()
+    return number(c).isNotNull()
 
 
 def _stack(row_structs: list[Column]) -> Column:
@@ -93,11 +101,11 @@ def numeric_string_shares(df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "column_name string, parse_share double, converted boolean")
     wide = df.agg(F.count(F.lit(1)).alias("_n"),
-                  *[F.count(F.col(c).try_cast("double")).alias(f"_p{i}")
+                  *[F.count(number(quoted(c))).alias(f"_p{i}")
                     for i, c in enumerate(cols)])
     long = wide.select(_stack([
         F.struct(F.lit(c).alias("column_name"),
-                 (F.col(f"_p{i}") / F.col("_n")).alias("parse_share"))
+                 F.try_divide(F.col(f"_p{i}"), F.col("_n")).alias("parse_share"))
         for i, c in enumerate(cols)]))
     return long.withColumn("converted",
                            F.coalesce(F.col("parse_share") > NUMERIC_STRING_SHARE, F.lit(False)))
@@ -109,7 +117,7 @@ def convert_numeric_strings(df: DataFrame) -> DataFrame:
     conv = [r["column_name"] for r in shares.where("converted").select("column_name").collect()]
     if not conv:
         return df
-    return df.withColumns({c: F.col(c).try_cast("double") for c in conv})
+    return df.withColumns({c: number(quoted(c)) for c in conv})
 
 
 # --- B2-B6, B11 column roles ----------------------------------------------------
@@ -124,7 +132,7 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     spark = df.sparkSession
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
-        col = F.col(c)
+        col = quoted(c)
         aggs.append(F.count(col).alias(f"_v{i}"))
         if isinstance(dtype_of(df, c), T.StringType):
             aggs.append(F.count(F.when(_date_ok(col), 1)).alias(f"_d{i}"))
@@ -187,7 +195,7 @@ def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         return df.sparkSession.createDataFrame([], "column_name string, n_unique bigint")
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"),
-                 F.md5(F.col(c).cast("string")).alias("h")) for c in cols])).alias("p")
+                 F.md5(quoted(c).cast("string")).alias("h")) for c in cols])).alias("p")
     ).select("p.column_name", "p.h").where(F.col("h").isNotNull())
     return (pairs.distinct().groupBy("column_name")
             .agg(F.count(F.lit(1)).alias("n_unique")))
@@ -247,7 +255,7 @@ def column_catalogue(df: DataFrame) -> DataFrame:
 def null_profile(df: DataFrame) -> DataFrame:
     """Per column null count, null % (2 dp), has_nulls."""
     wide = df.agg(F.count(F.lit(1)).alias("_n"),
-                  *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"_z{i}")
+                  *[F.count(F.when(quoted(c).isNull(), 1)).alias(f"_z{i}")
                     for i, c in enumerate(df.columns)])
     return wide.select(_stack([
         F.struct(F.lit(c).alias("column_name"), F.col(f"_z{i}").alias("n_null"),
@@ -290,10 +298,11 @@ def dataset_shape(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows minus distinct rows (NULLs equal), as a one-row table.
 
-    Rows are grouped by an md5 of their JSON form, so the shuffle moves 16
-    bytes per row even when rows hold long texts.
+    Rows are grouped by an md5 of their JSON form (timestamps to the microsecond),
+    so the shuffle moves 16 bytes per row even when rows hold long texts.
     """
-    h = F.md5(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    h = F.md5(F.to_json(F.struct(*[quoted(c) for c in df.columns]), exact))
     g = df.groupBy(h.alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
     return g.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias("n_rows"),
                  F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("n_duplicates"))
@@ -302,42 +311,25 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 # --- quantiles ------------------------------------------------------------------
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-              method: str = "auto", pre: dict | None = None) -> DataFrame:
+              method: str = "bracket", pre: dict | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles: (variable, q array in probs order).
 
-    ``map``: Spark ``percentile`` (value->count map merged in one task per
-    column: fine while the column has few distinct values). ``bracket``: a
-    sketch brackets each target rank, one scan counts the rows below each
-    bracket, and a running count over the few candidates inside finds the
-    exact order statistics (``bracket_quantiles``); memory bounded for any
-    cardinality and no shuffle of the data. ``rank``: value counts +
-    bucketed running counts over all values (the bracket method's fallback
-    when a sketch misses). ``auto`` (or a dict of per-column distinct
-    estimates) picks map or bracket per column. ``pre`` holds the counts and
-    sketch values of ``bracket_aggs`` when an earlier pass computed them.
+    One route at every size, ``bracket``: a sketch brackets each target rank,
+    one scan counts the rows below each bracket, and a running count over the
+    few candidates inside finds the exact order statistics
+    (``bracket_quantiles``); memory bounded for any cardinality and no shuffle
+    of the data. ``rank`` (value counts and bucketed running counts over all
+    values) is what a column falls back to when a sketch misses; ``map`` (Spark's
+    ``percentile``) serves as a check on small data. ``pre`` holds the counts
+    and sketch values of ``bracket_aggs`` when an earlier pass computed them.
     """
     cols = list(cols)
     if not cols:
         return df.sparkSession.createDataFrame([], "variable string, q array<double>")
-    if isinstance(method, dict) or method == "auto":
-        # per-column route from an HLL distinct estimate: the value map while
-        # a column has at most QUANTILE_MAP_MAX_DISTINCT values, else brackets
-        if method == "auto":
-            r = df.agg(*[F.approx_count_distinct(c).alias(f"_a{i}")
-                         for i, c in enumerate(cols)]).first()
-            method = {c: r[f"_a{i}"] for i, c in enumerate(cols)}
-        small = [c for c in cols if method[c] <= QUANTILE_MAP_MAX_DISTINCT]
-        big = [c for c in cols if c not in small]
-        parts = ([quantiles(df, small, probs, "map")] if small else []) + \
-                ([bracket_quantiles(df, big, probs)] if big else [])
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
     if method == "bracket":
         return bracket_quantiles(df, cols, probs, pre)
     if method == "map":
-        wide = df.agg(*[F.percentile(F.col(c).cast("double"), list(probs)).alias(f"_q{i}")
+        wide = df.agg(*[F.percentile(quoted(c).cast("double"), list(probs)).alias(f"_q{i}")
                         for i, c in enumerate(cols)])
         return wide.select(_stack([F.struct(F.lit(c).alias("variable"),
                                             F.col(f"_q{i}").alias("q"))
@@ -350,9 +342,6 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 # the rows, so ~0.08 % of a column's values are ever ranked exactly.
 BRACKET_ACCURACY = 10_000
 BRACKET_HALF_WIDTH = 4.0 / BRACKET_ACCURACY
-# Brackets holding at most this many rows are ranked by one window per
-# (column, target); wider ones by bucketed running counts.
-BRACKET_WINDOW_ROWS = 2_000_000
 
 
 def _widened(probs: Sequence[float]) -> list[float]:
@@ -368,7 +357,7 @@ def bracket_aggs(cols: Sequence[str], probs: Sequence[float]) -> list[Column]:
     target (one sketch per column, bounded by the accuracy)."""
     out = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = quoted(c).cast("double")
         out += [F.count(x).alias(f"_bn{i}"),
                 F.percentile_approx(x, _widened(probs), BRACKET_ACCURACY).alias(f"_bk{i}")]
     return out
@@ -388,8 +377,7 @@ def bracket_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
        scan) and counts them per (column, target, value). A running count
        over those candidates picks the exact order statistics, interpolated
        like Spark ``percentile`` / pandas ``quantile``. The running count is
-       one window per (column, target) while every bracket holds at most
-       BRACKET_WINDOW_ROWS rows, else the bucketed ``running_sums``.
+       bucketed (``running_sums``).
     """
     spark = df.sparkSession
     cols, probs = list(cols), [float(p) for p in probs]
@@ -402,7 +390,7 @@ def bracket_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
     if live:
         below, inside = {}, {}
         for i, c in enumerate(live):
-            x = F.col(c).cast("double")
+            x = quoted(c).cast("double")
             bk = pre[c][1]
             for j, p in enumerate(probs):
                 a, b = bk[2 * j], bk[2 * j + 1]
@@ -414,7 +402,7 @@ def bracket_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
         sz = df.agg(*[e for n, k in enumerate(keys) for e in (
             F.count(F.when(below[k], 1)).alias(f"_b{n}"),
             F.count(F.when(inside[k], 1)).alias(f"_i{n}"))]).first()
-        targets, bad, widest = [], set(), 0
+        targets, bad = [], set()
         for n, (i, j) in enumerate(keys):
             c = live[i]
             pos = probs[j] * (pre[c][0] - 1)
@@ -422,7 +410,6 @@ def bracket_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
             nb, ni = sz[f"_b{n}"], sz[f"_i{n}"]
             if not (nb <= lo and hi < nb + ni):
                 bad.add(c)
-            widest = max(widest, ni)
             targets.append((i, j, lo - nb, hi - nb, float(pos - lo)))
         good = [i for i, c in enumerate(live) if c not in bad]
         if good:
@@ -435,23 +422,15 @@ def bracket_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
             cand = (df.where(hit_any)
                     .select(F.inline(F.array(*[F.when(inside[k], F.struct(
                         F.lit(k[0]).alias("v"), F.lit(k[1]).alias("j"),
-                        F.col(live[k[0]]).cast("double").alias("x"))) for k in gk])))
+                        quoted(live[k[0]]).cast("double").alias("x"))) for k in gk])))
                     .where(F.col("v").isNotNull())
                     .groupBy("v", "j", "x").agg(F.count(F.lit(1)).alias("cnt")))
             # columns x targets rows: a bounded broadcast
             tgt = spark.createDataFrame(
                 [t for t in targets if t[0] in good],
                 "v int, j int, rlo long, rhi long, frac double")
-            if widest <= BRACKET_WINDOW_ROWS:
-                # every (column, target) window holds at most that many rows
-                w = Window.partitionBy("v", "j").orderBy("x").rowsBetween(
-                    Window.unboundedPreceding, Window.currentRow)
-                inb = (cand.withColumn("cum", F.sum("cnt").over(w))
-                       .withColumn("before", F.col("cum") - F.col("cnt")))
-            else:
-                # wide brackets (very large tables): bucketed running counts
-                inb = (running_sums(cand, ["v", "j"], "x", ["cnt"])
-                       .withColumnsRenamed({"cum_cnt": "cum", "before_cnt": "before"}))
+            inb = (running_sums(cand, ["v", "j"], "x", ["cnt"])
+                   .withColumnsRenamed({"cum_cnt": "cum", "before_cnt": "before"}))
             inb = inb.join(F.broadcast(tgt), ["v", "j"])
             at = lambda r: (F.col("before") <= F.col(r)) & (F.col(r) < F.col("cum"))
             pick = inb.where(at("rlo") | at("rhi")).groupBy("v", "j").agg(
@@ -474,7 +453,7 @@ def bracket_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
 
 def _rank_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x"))
+        F.struct(F.lit(c).alias("variable"), quoted(c).cast("double").alias("x"))
         for c in cols])).alias("p")).select("p.*")
     return rank_quantiles_long(long, probs)
 
@@ -514,57 +493,61 @@ def rank_quantiles_long(long: DataFrame, probs: Sequence[float]) -> DataFrame:
 
 # --- B8, B9, B10 ---------------------------------------------------------------
 
+def _moments(df: DataFrame, cols: Sequence[str], more=lambda x: []) -> tuple[DataFrame, DataFrame, dict]:
+    """(doubles, one row per column, sketches) of one pass that also carries the
+    quantile sketches. Every type is cast to double first; the one row per
+    column never leaves Spark but for the sketches."""
+    wide = df.select(*(F.nanvl(quoted(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols))
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(cols):
+        x = quoted(c)
+        aggs.append(F.struct(F.lit(c).alias("variable"), F.count(x).alias("n_valid"), F.avg(x).alias("mean"),
+                             F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+                             *more(x)).alias(f"_s{i}"))
+    row = cut_lineage(wide.agg(*aggs, *bracket_aggs(cols, QUARTILES)))
+    first = row.select(*(f"_bn{i}" for i in range(len(cols))), *(f"_bk{i}" for i in range(len(cols)))).first()
+    pre = {c: (first[f"_bn{i}"], first[f"_bk{i}"]) for i, c in enumerate(cols)}
+    long = row.select(F.col("_n").alias("n_total"), F.inline(F.array(*(f"_s{i}" for i in range(len(cols))))))
+    return wide, long, pre
+
+
+_DESCRIBED = ("variable string, count long, mean double, std double, min double, q25 double, q50 double, "
+              "q75 double, max double")
+
+
 def describe(df: DataFrame, cols: Sequence[str] | None = None,
-             method: str = "auto") -> DataFrame:
+             method: str = "bracket") -> DataFrame:
     """One row per numeric variable – count, mean, std (ddof 1), min,
-    q25, q50, q75, max (4 dp)."""
+    q25, q50, q75, max (4 dp). No numeric column: no row."""
     cols = list(cols or numeric_columns(df))
-    # one pass: moments + a distinct estimate that picks the quantile method
-    wide = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.count(c).alias(f"_n{i}"), F.avg(c).alias(f"_m{i}"),
-        F.stddev_samp(c).alias(f"_s{i}"), F.min(F.col(c).cast("double")).alias(f"_lo{i}"),
-        F.max(F.col(c).cast("double")).alias(f"_hi{i}"),
-        F.approx_count_distinct(c).alias(f"_a{i}"))]).first()  # one row
-    mom = df.sparkSession.createDataFrame(
-        [(c, wide[f"_n{i}"], wide[f"_m{i}"], wide[f"_s{i}"], wide[f"_lo{i}"], wide[f"_hi{i}"])
-         for i, c in enumerate(cols)],
-        "variable string, count long, mean double, std double, min double, max double")
-    if method == "auto":
-        method = {c: wide[f"_a{i}"] for i, c in enumerate(cols)}
-    q = quantiles(df, cols, QUARTILES, method)
+    if not cols:
+        return df.sparkSession.createDataFrame([], _DESCRIBED)
+    wide, mom, pre = _moments(df, cols)
+    q = quantiles(wide, cols, QUARTILES, method, pre)
     return mom.join(F.broadcast(q), "variable").select(
-        "variable", "count", rnd(F.col("mean")).alias("mean"), rnd(F.col("std")).alias("std"),
+        "variable", F.col("n_valid").alias("count"), rnd(F.col("mean")).alias("mean"), rnd(F.col("std")).alias("std"),
         rnd(F.col("min")).alias("min"), rnd(F.col("q")[0]).alias("q25"),
         rnd(F.col("q")[1]).alias("q50"), rnd(F.col("q")[2]).alias("q75"),
         rnd(F.col("max")).alias("max"))
 
 
 def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None,
-                    method: str = "auto") -> DataFrame:
+                    method: str = "bracket") -> DataFrame:
     """Per numeric column totals, distinct share and moments incl. G1/G2."""
     cols = list(cols or numeric_columns(df))
-    # one pass: counts, moments, G1/G2 and the distinct estimate (one row)
-    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[e for i, c in enumerate(cols) for e in (
-        F.count(c).alias(f"_v{i}"), F.avg(c).alias(f"_m{i}"),
-        F.stddev_samp(c).alias(f"_s{i}"), F.min(F.col(c).cast("double")).alias(f"_lo{i}"),
-        F.max(F.col(c).cast("double")).alias(f"_hi{i}"),
-        skew_g1(F.col(c).cast("double")).alias(f"_g1{i}"),
-        kurt_g2(F.col(c).cast("double")).alias(f"_g2{i}"),
-        F.approx_count_distinct(c).alias(f"_a{i}"))]).first()
-    mom = df.sparkSession.createDataFrame(
-        [(c, wide["_n"], wide[f"_v{i}"], wide[f"_m{i}"], wide[f"_s{i}"], wide[f"_lo{i}"],
-          wide[f"_hi{i}"], wide[f"_g1{i}"], wide[f"_g2{i}"]) for i, c in enumerate(cols)],
-        "variable string, n_total long, n_valid long, mean double, std double, min double, "
-        "max double, skew double, kurt double")
-    if method == "auto":
-        method = {c: wide[f"_a{i}"] for i, c in enumerate(cols)}
-    q = quantiles(df, cols, QUARTILES, method)
-    u = distinct_counts(df, cols).withColumnRenamed("column_name", "variable")
+    if not cols:
+        return df.sparkSession.createDataFrame([], (
+            "variable string, n_total long, n_valid long, n_null long, null_pct double, n_unique long, "
+            "unique_pct double, mean double, std double, min double, q25 double, median double, q75 double, "
+            "max double, skew double, kurt double"))
+    wide, mom, pre = _moments(df, cols, lambda x: [skew_g1(x).alias("skew"), kurt_g2(x).alias("kurt")])
+    q = quantiles(wide, cols, QUARTILES, method, pre)
+    u = distinct_counts(wide, cols).withColumnRenamed("column_name", "variable")
     j = mom.join(F.broadcast(q), "variable").join(F.broadcast(u), "variable", "left")
     n_null = F.col("n_total") - F.col("n_valid")
     return j.select(
         "variable", "n_total", "n_valid", n_null.alias("n_null"),
-        F.round(n_null * 100.0 / F.col("n_total"), 2).alias("null_pct"),
+        F.round(F.try_divide(n_null * 100.0, F.col("n_total")), 2).alias("null_pct"),
         F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
         F.round(F.when(F.col("n_valid") > 0, F.coalesce("n_unique", F.lit(0)) * 100.0
                        / F.col("n_valid")).otherwise(0.0), 2).alias("unique_pct"),
@@ -582,7 +565,7 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     a third of all rows costs one row per task in the shuffle.
     """
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value"))
+        F.struct(F.lit(c).alias("variable"), quoted(c).cast("string").alias("value"))
         for c in cols])).alias("p")).select("p.*").where(F.col("value").isNotNull())
     return long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("count"))
 

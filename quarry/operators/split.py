@@ -3,8 +3,10 @@
 
 Every assignment is a pure function of (seed, key, class counts), so it is
 reproducible, layout independent and survives recomputation after executor
-loss. Ranks inside a class use md5-prefix buckets (``row_rank``): a class
-holding a third of the table is spread over 65 536 buckets, never one task.
+loss. Only cut points are computed, never ranks of all rows: rows are counted per
+(class, md5 prefix), the prefixes that hold a cut are refined, and a row is
+assigned by comparing its md5 with the cuts of its class. No payload column is
+exchanged while the cut table is small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.hashing import seeded_order, seeded_uniform
-from quarry.functions.ranking import md5_bucket, row_rank, running_sums
+from quarry.functions.ranking import running_sums
+from quarry.session import cut_lineage
 
 SPLITS = ("train", "val", "test")
 
@@ -62,45 +65,73 @@ def _assign(rank0: Column, n: Column, plan: SplitPlan, test_first: bool = True)
     return F.when(rank0 < ntr, "train").when(rank0 < ntr + nv, "val").otherwise("test")
 
 
+#: Classes up to which the cuts (a few short strings a class) are broadcast.
+BROADCAST_CLASSES = 10_000
+PREFIX = 4
+
+
+def md5_cuts(d: DataFrame, label: str, order: Column, ranks: Sequence[Column]) -> DataFrame:
+    """(label, cuts): for each class the md5 strings of which the first one has
+    ``ranks[0]`` rows up to and with it, and so on ('' for none). ``ranks`` are
+    expressions in ``n``, the rows of the class.
+
+    Three narrow steps: rows per (class, md5 prefix), a table of at most 65 536
+    rows a class; the prefixes that hold a cut; the rows in those, ranked."""
+    keyed = d.select(F.col(label).alias("c"), order.alias("o"))
+    counts = keyed.groupBy("c", F.substring("o", 1, PREFIX).alias("p")).agg(F.count(F.lit(1)).alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.select("c", "p", (upto - F.col("rows")).alias("before"), upto.alias("upto"),
+                           F.sum("rows").over(Window.partitionBy("c")).alias("n"))
+    wanted = counts.select("c", "p", "before", F.posexplode(F.array(*ranks)).alias("j", "r"), "upto").where("before < r and r <= upto")
+    rows = keyed.withColumn("p", F.substring("o", 1, PREFIX)).join(wanted.select("c", "p").distinct(), ["c", "p"])
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("c", "p").orderBy("o")))
+    found = rows.join(wanted, ["c", "p"]).where("k = r - before").select("c", "j", "o")
+    none = counts.select("c").distinct().select("c", F.explode(F.array(*map(F.lit, range(len(ranks))))).alias("j"))
+    return none.join(found, ["c", "j"], "left").groupBy("c").agg(F.transform(F.array_sort(F.collect_list(
+        F.struct("j", F.coalesce("o", F.lit("")).alias("o")))), lambda x: x["o"]).alias("cuts")) \
+        .withColumnRenamed("c", label)
+
+
+def _with_cuts(d: DataFrame, label: str, order: Column, ranks: Sequence[Column]) -> DataFrame:
+    """``d`` with its class's ``_cuts``. The cut table has one row a class; it is
+    counted, and broadcast only while it is small."""
+    cuts = cut_lineage(md5_cuts(d, label, order, ranks)).withColumnRenamed("cuts", "_cuts")
+    return d.join(F.broadcast(cuts) if cuts.count() <= BROADCAST_CLASSES else cuts, label)
+
+
+def _split_at(order: Column) -> Column:
+    return (F.when(order <= F.col("_cuts")[0], "test").when(order <= F.col("_cuts")[1], "val").otherwise("train"))
+
+
+def _split_ranks(plan: SplitPlan) -> list[Column]:
+    nt = plan.n_test(F.col("n"))
+    return [nt, nt + plan.n_val(F.col("n") - nt)]
+
+
 def stratified_split(df: DataFrame, key: str, label: str, plan: SplitPlan = SplitPlan(),
                      seed: int = 42) -> DataFrame:
-    """Per class, rows ranked by md5(seed|key); the first ceil(n·test)
-    go to test, the next ceil(rest·val/(train+val)) to val, the rest train.
-    Rows with a NULL label are dropped (S3)."""
-    d = df.where(F.col(label).isNotNull()).withColumn("_o", seeded_order(seed, F.col(key)))
-    counts, digits = _class_counts(d, label)
-    d = row_rank(d, [label], "_o", bucket=md5_bucket(F.col("_o"), digits), tie_breaker=[key])
-    d = d.join(F.broadcast(counts), label)
-    return d.withColumn("split", _assign(F.col("rank0"), F.col("_n"), plan)).drop(
-        "_o", "rank0", "_n")
-
-
-# rows per (class, md5 bucket) rank window the bucket count aims at
-RANK_WINDOW_ROWS = 2_000_000
-
-
-def _class_counts(d: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """Rows per class (one row per class, collected: bounded by the class
-    count) and the md5 hex digits of the rank buckets: enough 16-way
-    buckets that the largest class has about RANK_WINDOW_ROWS rows per
-    window, between 1 and 4 digits (65 536 buckets: a class of 3e11 rows is
-    ranked in windows of ~5e6 rows)."""
-    from quarry.operators.metrics import MAX_CLASSES
-    rows = d.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label!r} has more than {MAX_CLASSES} classes")
-    top = max((r["_n"] for r in rows), default=0)
-    digits = 1
-    while digits < 4 and top > RANK_WINDOW_ROWS * 16 ** digits:
-        digits += 1
-    schema = T.StructType([d.schema[label], T.StructField("_n", T.LongType())])
-    return d.sparkSession.createDataFrame([(r[label], r["_n"]) for r in rows], schema), digits
+    """Per class, in the order of md5(seed|key): the first ceil(n·test)
+    rows go to test, the next ceil(rest·val/(train+val)) to val, the rest train.
+    Rows with a NULL label are dropped (S3); rows with equal keys stay together."""
+    d = df.where(F.col(label).isNotNull())
+    order = seeded_order(seed, F.col(key))
+    return _with_cuts(d, label, order, _split_ranks(plan)).withColumn("split", _split_at(order)) \
+        .select(*df.columns, "split")
+
+
+def shuffled_split(df: DataFrame, key: str, plan: SplitPlan = SplitPlan(), seed: int = 42) -> DataFrame:
+    """Unstratified shuffled split with exact sizes: the same cuts, of all
+    rows as one class; they are two literals in a narrow map."""
+    order = seeded_order(seed, F.col(key))
+    row = md5_cuts(df.withColumn("_all", F.lit(0)), "_all", order, _split_ranks(plan)).first()
+    cuts = F.array(*map(F.lit, row["cuts"] if row else ["", ""]))
+    return df.withColumn("_cuts", cuts).withColumn("split", _split_at(order)).select(*df.columns, "split")
 
 
 def hash_split(df: DataFrame, key: str, plan: SplitPlan = SplitPlan(), seed: int = 42) -> DataFrame:
-    """Unstratified shuffled split as a narrow map: the md5 4-hex prefix
-    is compared with fixed cut strings. Sizes are approximate by design
-    (binomial), the assignment is exact and engine-neutral; no shuffle."""
+    """Shuffled split of approximate sizes as a narrow map without any pass
+    before it: the md5 4-hex prefix is compared with fixed cut strings (for
+    streams and for data whose size is not known)."""
     c1 = f"{65536 * plan.train_pm // 1000:04x}"
     c2 = f"{65536 * (plan.train_pm + plan.val_pm) // 1000:04x}"
     h = F.substring(seeded_order(seed, F.col(key)), 1, 4)
@@ -128,11 +159,13 @@ def ordered_split(df: DataFrame, order_col: str, plan: SplitPlan = SplitPlan(),
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """F6 folds: fold = rank-in-class (md5 order) mod k – stratified, seeded."""
-    d = df.where(F.col(label).isNotNull()).withColumn("_o", seeded_order(seed, F.col(key)))
-    _, digits = _class_counts(d, label)
-    d = row_rank(d, [label], "_o", bucket=md5_bucket(F.col("_o"), digits), tie_breaker=[key])
-    return d.withColumn("fold", (F.col("rank0") % k).cast("int")).drop("_o", "rank0")
+    """F6 folds: floor(rank·k/n) of the rank in the class by md5 order –
+    stratified, seeded, by the same cuts as D1."""
+    d = df.where(F.col(label).isNotNull())
+    order = seeded_order(seed, F.col(key))
+    ranks = [F.expr(f"({j} * n + {k - 1}) div {k}") for j in range(1, k)]
+    fold = F.size(F.filter("_cuts", lambda c: c < order)) if k > 1 else F.lit(0)
+    return _with_cuts(d, label, order, ranks).withColumn("fold", fold.cast("int")).select(*df.columns, "fold")
 
 
 # --- D4-D6 reports ------------------------------------------------------------------

@@ -197,19 +197,13 @@ def _label_sql():
 @query("c11_label_encoding", _label_sql())
 def c11_label_encoding(spark, sf):
     d, m = _fit(spark, sf, encoder="label")
-    exprs = []
-    for c in m.categorical:
-        exprs += m.cat_exprs(c)
-    return d.select("o_orderkey", *exprs)
+    return m.transform(d, keep=["o_orderkey"], with_label=False).select("o_orderkey", *m.categorical)
 
 
 @query("c12_ordinal_encoding", _label_sql())
 def c12_ordinal_encoding(spark, sf):
     d, m = _fit(spark, sf, encoder="ordinal")
-    exprs = []
-    for c in m.categorical:
-        exprs += m.cat_exprs(c)
-    return d.select("o_orderkey", *exprs)
+    return m.transform(d, keep=["o_orderkey"], with_label=False).select("o_orderkey", *m.categorical)
 
 
 # --- C13/C15/C16/C17/C18 -----------------------------------------------------------------------

@@ -37,14 +37,13 @@ def d1_stratified_split(spark, sf):
     return _orders_split(spark, sf)
 
 
-_C1, _C2 = S.hash_split_cuts(PLAN)
-
-
 @query("d2_hash_split", f"""
-SELECT o_orderkey, CASE WHEN substr({_ORD}, 1, 4) < '{_C1}' THEN 'train'
-  WHEN substr({_ORD}, 1, 4) < '{_C2}' THEN 'val' ELSE 'test' END AS split FROM orders""")
+SELECT o_orderkey, CASE WHEN r < nt THEN 'test' WHEN r < nt + ((n - nt) * {_VPM} + {_D - 1}) // {_D} THEN 'val'
+  ELSE 'train' END AS split
+FROM (SELECT *, (n * {_XPM} + 999) // 1000 AS nt FROM (
+  SELECT o_orderkey, row_number() OVER (ORDER BY {_ORD}) - 1 AS r, count(*) OVER () AS n FROM orders) a) b""")
 def d2_hash_split(spark, sf):
-    return S.hash_split(read_table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", PLAN, 42)
+    return S.shuffled_split(read_table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", PLAN, 42)
 
 
 @query("d3_ordered_split", f"""
@@ -86,7 +85,8 @@ def d6_stratification_check(spark, sf):
 
 
 @query("f6_stratified_folds", f"""
-SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_ORD}, o_orderkey) - 1) % 5 AS INTEGER) AS fold
+SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_ORD}, o_orderkey) - 1) * 5
+  // count(*) OVER (PARTITION BY o_orderstatus) AS INTEGER) AS fold
 FROM orders WHERE o_orderstatus IS NOT NULL""")
 def f6_stratified_folds(spark, sf):
     o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")

@@ -1,7 +1,7 @@
 """CSV/Parquet loading with delimiter sniffing and encoding fallback (A1-A5).
 
-The file is read once for data: sniffing looks only at the header line
-(``spark.read.text(...).limit``), never at the whole file.
+The delimiter comes from the header line; the encoding and whether fields hold
+line breaks from one scan of all lines.
 """
 
 from __future__ import annotations
@@ -11,13 +11,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.stats import nan_to_null
+from quarry.functions.stats import nan_to_null, number, quoted
 from quarry.operators.profile import drop_empty_rows, strip_column_names
 
 # Fixed values that must equal the reference's loader.
 DELIMITERS = [",", ";", "\t", "|", ":"]
 SUPPORTED = (".csv", ".parquet")
 REPLACEMENT_CHAR = "\ufffd"
+# What pandas reads as missing.
+NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+             "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
 class LoadError(ValueError):
@@ -49,23 +52,45 @@ def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
     return best
 
 
-def _needs_latin1(spark: SparkSession, path: str, sample_lines: int = 1000) -> bool:
-    """A2: Spark does not fail on bad UTF-8 (the CSV reader yields U+FFFD,
-    the text reader keeps the raw bytes), so test a bounded sample of lines
-    for invalid UTF-8 or replacement characters."""
-    rows = spark.read.text(path).limit(sample_lines)
+def scan_lines(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """A2: (Latin-1, multi-line) from one scan of all lines. Spark does not fail
+    on bad UTF-8 (the CSV reader yields U+FFFD, the text reader keeps the raw
+    bytes), so a line with invalid UTF-8 anywhere in the file means Latin-1. A
+    line with an odd number of quotes begins or ends a field with line breaks."""
+    lines = spark.read.text(path)
     bad = ~F.is_valid_utf8("value") | F.col("value").contains(REPLACEMENT_CHAR)
-    return rows.where(bad).limit(1).count() > 0
-
-
-def read_csv(spark: SparkSession, path: str, infer_schema: bool = True,
-             sampling_ratio: float = 1.0) -> DataFrame:
-    """A1+A2: sniff delimiter and encoding, then read with a header."""
-    enc = "ISO-8859-1" if _needs_latin1(spark, path) else "UTF-8"
-    sep = sniff_delimiter(spark, path, enc)
-    return (spark.read.option("header", True).option("sep", sep).option("encoding", enc)
-            .option("inferSchema", infer_schema).option("samplingRatio", sampling_ratio)
-            .option("multiLine", False).csv(path))
+    quotes = F.length(F.regexp_replace(F.make_valid_utf8("value"), '[^"]', ""))
+    found = lines.agg(F.bool_or(bad), F.bool_or(quotes % 2 == 1)).first()
+    return bool(found[0]), bool(found[1])
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """Columns of strings as what all their values are: whole numbers, numbers,
+    booleans, timestamps or text; NA tokens are NULL. One aggregate."""
+    df = df.select(*(F.when(~quoted(c).isin(*NA_TOKENS), quoted(c)).alias(c) for c in df.columns))
+    tests = {
+        "bigint": lambda c: c.rlike(r"^\s*[+-]?\d{1,18}\s*$"),
+        "double": lambda c: number(c).isNotNull(),
+        "boolean": lambda c: F.lower(c).isin("true", "false"),
+        "timestamp": lambda c: c.rlike("[-/:]") & c.try_cast("timestamp").isNotNull(),
+    }
+    fits = df.agg(*(F.bool_and(F.when(quoted(c).isNotNull(), test(quoted(c)))).alias(f"{kind}_{i}")
+                    for i, c in enumerate(df.columns) for kind, test in tests.items())).first()
+    kinds = [next((k for k in tests if fits[f"{k}_{i}"]), None) for i in range(len(df.columns))]
+    return df.select(*(quoted(c) if kind is None else F.trim(quoted(c)).cast(kind).alias(c)
+                       for c, kind in zip(df.columns, kinds)))
+
+
+def read_csv(spark: SparkSession, path: str, infer_schema: bool = True) -> DataFrame:
+    """A1+A2: sniff delimiter, encoding and line breaks in fields, then read
+    with a header and standard quoting (a quote in a field is doubled). Only a
+    file that has line breaks in fields is read as one piece."""
+    latin1, multi_line = scan_lines(spark, path)
+    enc = "ISO-8859-1" if latin1 else "UTF-8"
+    df = (spark.read.option("header", True).option("sep", sniff_delimiter(spark, path, enc))
+          .option("encoding", enc).option("quote", '"').option("escape", '"')
+          .option("multiLine", multi_line).csv(path))
+    return typed(df) if infer_schema else df
 
 
 def load_file(spark: SparkSession, path: str) -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8") -> str:
     """Header, no index column; one part file per task."""
     (df.write.mode("overwrite").option("header", True).option("sep", sep)
-       .option("encoding", encoding).csv(path))
+       .option("encoding", encoding).option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
@@ -30,8 +31,8 @@ def write_report(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet
     for name, df in tables.items():
         p = os.path.join(path, name)
         w = df.write.mode("overwrite")
-        (w.option("header", True).csv(p) if fmt == "csv" else w.parquet(p))
-        rd = spark.read.option("header", True).csv(p) if fmt == "csv" else spark.read.parquet(p)
+        (w.option("header", True).option("escape", '"').csv(p) if fmt == "csv" else w.parquet(p))
+        rd = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(p) if fmt == "csv" else spark.read.parquet(p)
         rows.append((name, rd.count(), p))
     return spark.createDataFrame(rows, "table string, n_rows long, path string")
 

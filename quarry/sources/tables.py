@@ -10,6 +10,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.functions.stats import nan_to_null
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -20,50 +22,9 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-# A single-file table up to this size and from this many rows on is spread
-# over the cores after the scan (see ``read_table``). Below the row floor the
-# per-task overhead of iterative ML passes outweighs the parallel scan.
-SPREAD_MAX_BYTES = 1 << 30
-SPREAD_MIN_ROWS = 100_000
-
-
-def _single_file_rows(path: str) -> int | None:
-    """Row count from the Parquet footer of a local single file, else None."""
-    if not (os.path.isfile(path) and os.path.getsize(path) <= SPREAD_MAX_BYTES):
-        return None
-    try:
-        import pyarrow.parquet as pq
-        return pq.ParquetFile(path).metadata.num_rows
-    except Exception:  # noqa: BLE001 - not a readable local parquet file
-        return None
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Lazy parquet scan of a driver table.
-
-    A Parquet file with one row group cannot be split, so a one-file table
-    scans in ONE task and everything before the first exchange runs
-    serially. For such a file (local path, <= 1 GiB, >= 100k rows) the scan is followed by
-    a hash repartition on the table's leading key column to the default
-    parallelism (deterministic under task retries, unlike round-robin, and
-    without its pre-sort); Catalyst still pushes filters and column pruning
-    into the scan below that exchange. Tables stored as many files/row
-    groups (any cluster-scale dataset) are returned as scanned – no extra
-    shuffle.
-    """
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Lazy parquet scan of a driver table, float NaN read as NULL. The plan is
+    the same at every size: no repartition, no look at files on the driver."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = table_path(sf_dir, name)
-    df = spark.read.parquet(path)
-    rows = _single_file_rows(path) if spread else None
-    if rows is not None and rows >= SPREAD_MIN_ROWS:
-        n = spark.sparkContext.defaultParallelism
-        if n > 1:
-            df = df.repartition(n, df.columns[0])
-    return df
-
-
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    """Register every driver table as a temp view (for the SQL API)."""
-    for t in TABLES:
-        read_table(spark, sf_dir, t).createOrReplaceTempView(t)
+    return nan_to_null(spark.read.parquet(table_path(sf_dir, name)))
