@@ -15,6 +15,7 @@ from quarry.operators import cluster as K
 from quarry.operators import insights as I
 from quarry.plans import derived as D
 from quarry.plans.catalog import query
+from quarry.sources.tables import read_table
 
 FEATS = D.FEATS
 PROF8 = FEATS[:8]
@@ -193,3 +194,33 @@ def e17_method_comparison(spark, sf):
     s1 = K.silhouette(a, "vec_id", FEATS).first()["silhouette"]
     s2 = K.silhouette(h, "vec_id", FEATS).first()["silhouette"]
     return K.method_comparison(float(s1), float(s2), spark)
+
+
+# --- E7/E8 on a sweep table that Spark derives from lineitem (no fit) --------------------
+
+def _line_sweep(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    return li.groupBy((F.col("l_linenumber") + 1).cast("int").alias("k")).agg(
+        F.sum("l_quantity").alias("wcss"), F.avg("l_discount").alias("silhouette"))
+
+
+_LINE_SWEEP_SQL = """s AS (SELECT CAST(l_linenumber + 1 AS INTEGER) AS k, sum(l_quantity) AS wcss,
+  avg(l_discount) AS silhouette FROM lineitem GROUP BY 1)"""
+
+
+@query("e7_elbow_of_lines", f"""WITH {_LINE_SWEEP_SQL},
+m AS (SELECT min(k) AS k0, max(k) AS k1, min(wcss) AS w0, max(wcss) AS w1, count(*) AS n FROM s),
+p AS (SELECT k, n, k0, k1, CAST(k - k0 AS DOUBLE) / (k1 - k0) AS x,
+             (wcss - w0) / CASE WHEN w1 = w0 THEN 1 ELSE w1 - w0 END AS y FROM s, m),
+c AS (SELECT max(CASE WHEN k = k0 THEN y END) AS yf, max(CASE WHEN k = k1 THEN y END) AS yl FROM p)
+SELECT CASE WHEN min(n) < 3 THEN min(k) ELSE arg_min(k, (round(-d, 12), k)) END AS elbow_k
+FROM (SELECT p.*, abs((yf - y) + x * (yl - yf)) / sqrt(1 + (yl - yf) * (yl - yf)) AS d FROM p, c) q""")
+def e7_elbow_of_lines(spark, sf):
+    return K.elbow_k(_line_sweep(spark, sf))
+
+
+@query("e8_best_k_of_lines", f"""WITH {_LINE_SWEEP_SQL}
+SELECT k AS best_k, round(silhouette, 4) AS silhouette FROM s WHERE silhouette IS NOT NULL
+ORDER BY s.silhouette DESC, k LIMIT 1""")
+def e8_best_k_of_lines(spark, sf):
+    return K.best_k_by_silhouette(_line_sweep(spark, sf))
