@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LONG = 128
-KEPT = 400_000
+KEPT = 200_000
 #: Characters of text split and encoded at a time.
 SLICE = 1 << 20
 MOST_RANKS = 500_000

@@ -129,23 +129,30 @@ def logits(texts: list, weight: np.ndarray, bias: float) -> np.ndarray:
 def fit(texts: list, labels: np.ndarray, dim: int = DIM, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Embeddings and output layer, learned jointly; returned as one weight per
     bucket (embedding times the difference of the two output columns) and a bias."""
-    rows, buckets, values = [], [], []
-    for i, text in enumerate(texts):
-        found = [b[:np.searchsorted(p, upto)] for _, _, data, upto in _runs([text]) for p, b in subwords(data)]
-        found, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
-        rows.append(np.full(len(found), i, dtype=np.int32))
-        buckets.append(found.astype(np.int32))
-        values.append((times * (GAIN / (CALM + times.sum()))).astype(np.float32))
-    row, bucket, value = map(np.concatenate, (rows, buckets, values))
+    def bags():
+        """Buckets of each text, each once, and their shares of its average."""
+        for text in texts:
+            found = [b[:np.searchsorted(p, upto)] for _, _, data, upto in _runs([text]) for p, b in subwords(data)]
+            found, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
+            yield found.astype(np.int32), times * (GAIN / (CALM + times.sum()))
+
+    # the texts are read twice, so that only the few buckets that are trained are ever held
     target = np.asarray(labels, dtype=np.float64)
     n, share = len(texts), target.mean()
-    pull = np.bincount(bucket, value * (target - share)[row], 1 << BITS)
-    error = np.sqrt(np.bincount(bucket, value**2, 1 << BITS) * share * (1 - share))
-    kept = np.flatnonzero(np.abs(pull) > CERTAIN * error)
+    pull, error = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for (found, value), label in zip(bags(), target):
+        pull[found] += value * (label - share)
+        error[found] += value * value
+    kept = np.flatnonzero(np.abs(pull) > CERTAIN * np.sqrt(error * share * (1 - share)))
     place = np.full(1 << BITS, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
-    used = place[bucket] >= 0
-    row, bucket, value = row[used], place[bucket[used]], value[used]
+    rows, buckets, values = [], [], []
+    for i, (found, value) in enumerate(bags()):
+        used = place[found] >= 0
+        rows.append(np.full(used.sum(), i, dtype=np.int32))
+        buckets.append(place[found[used]])
+        values.append(value[used])
+    row, bucket, value = map(np.concatenate, (rows, buckets, values))
     rng = np.random.default_rng(8)
     params = [rng.normal(0, 0.1, (len(kept), dim)), rng.normal(0, 0.5, (dim, 2)), np.zeros(2)]
     means, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
