@@ -57,7 +57,7 @@ FREQUENT = 32
 PER_CLASS = 8
 
 _PAIR = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25], dtype=np.uint64)
-_SIGNED = "doc_id long, n int, rare int, sid long, digest binary, sigs array<long>"
+_SIGNED = "doc_id long, th long, n int, rare int, sid long, digest binary, sigs array<long>"
 
 
 def _frequent(counts: np.ndarray) -> np.ndarray:
@@ -126,10 +126,10 @@ def _sign(bits):
             ends = np.cumsum([0, *map(len, sigs)])
             values = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(rare, pa.int32()),
+                batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int32()), pa.array(rare, pa.int32()),
                 pa.array(sid, pa.int64()), pa.array(digests, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
-                ["doc_id", "n", "rare", "sid", "digest", "sigs"])
+                ["doc_id", "th", "n", "rare", "sid", "digest", "sigs"])
     return run
 
 
@@ -210,12 +210,12 @@ _BY_PAIR = f"sig & 1 = 0 or {100 + PERCENT} * least(na - rarea, nb - rareb) >= {
 
 
 def link_sets(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, digest) of every row, and (node, component) over digests."""
+    """(doc_id, text hash, n, digest) of every row, and (node, component) over digests."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     bits = spark.sparkContext.broadcast(slot_bits(
         docs.select("text"), lambda batch: shingle_sets(batch.column(0)), _frequent))
-    signed = stage.write(docs.mapInArrow(_sign(bits), _SIGNED))
+    signed = stage.write(docs.withColumn("th", F.xxhash64("text")).mapInArrow(_sign(bits), _SIGNED))
     lists = stage.write(_lists(signed))
     sets = stage.write(signed.where("n > 0").groupBy("digest", "sid", "n", "rare").agg(F.min("doc_id").alias("doc_id")))
 
@@ -244,17 +244,21 @@ def link_sets(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
                        .join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         groups = components(links.unionByName(_linked(rest, docs, sets, stage)))
-    return signed.select("doc_id", "n", "digest"), groups
+    return signed.select("doc_id", "th", "n", "digest"), groups
+
+
+def _with_component(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, n, digest, component) of every row."""
+    rows, groups = link_sets(docs, Stage(docs.sparkSession, "jaccard"))
+    return rows.join(groups.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
+        "component", F.coalesce("component", "digest"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_texts): for each row of ``docs``
     (doc_id, text; more columns are ignored) its set's size, the smallest
     doc_id that links reach, and how many different sets its component has."""
-    stage = Stage(docs.sparkSession, "jaccard")
-    rows, groups = link_sets(docs, stage)
-    rows = rows.join(groups.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
-        "component", F.coalesce("component", "digest"))
+    rows = _with_component(docs)
     # sets without shingles are all equal, yet link with nothing
     named = rows.where("n > 0").groupBy("component").agg(
         F.min("doc_id").alias("least"), F.count_distinct("digest").alias("n_texts"))
@@ -265,14 +269,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id;
-    documents without shingles stay too. Columns are those of ``docs``. Rows
-    that repeat a doc_id are one document (one row stays); rows without a
-    doc_id all stay, for no decision can name them."""
-    found = jaccard_components(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    """One document of each component stays, the one with the smallest doc_id
+    (then text hash); documents without shingles stay too. Columns are those of
+    ``docs``. A document is a doc_id with a text: rows that repeat both are one
+    (one row stays), other texts of a doc_id are judged by themselves. Rows
+    without a doc_id all stay, for no decision can name them."""
+    rows = _with_component(docs).where("doc_id is not null")
+    keep = rows.where("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("least")).select("least.*") \
+        .unionByName(rows.where("n = 0").select("doc_id", "th").distinct())
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    first = Window.partitionBy("doc_id").orderBy("th")
-    named = hidden(docs, doc_id, F.xxhash64("text").alias("th")).join(keep, "doc_id", "left_semi") \
+    first = Window.partitionBy("doc_id", "th").orderBy("th")
+    named = hidden(docs, doc_id, F.xxhash64(F.col("text").cast("string")).alias("th")).join(keep, ["doc_id", "th"], "left_semi") \
         .withColumn("row", F.row_number().over(first)).where("row = 1")
     return shown(named, docs).unionByName(docs.where("doc_id is null"))

@@ -14,14 +14,22 @@ budget. Running sums go bucket by bucket (totals of a bounded number of buckets,
 then a window within each), so neither a hot source nor the global order ever
 meets in one task. The cut is one number: the last finish time that fits.
 
+A row is named by digests of doc_id, source and text and its number among the rows
+that share them, so that each row of the mix is taken as often as its own place in
+the queue says, whatever its doc_id.
+
 A null text has size 0; size 0 is never taken. A null source is a source of its
-own, the last. A null doc_id is queued like any id; repeated rows are documents
-of their own. An empty table gives an empty result. Same rows, same result.
+own, the last. Rows without a doc_id share one shuffle key; they are queued by
+size, then by digest, in buckets of their own. Repeated rows are documents of
+their own; rows equal in doc_id, source and text meet in one task of the mix.
+An empty table gives an empty result. Same rows, same result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import seeded_order
@@ -37,14 +45,24 @@ DIGITS = 3
 PER_UNIT = 4096
 #: Finish times from here on share a bucket (targets far below one document).
 LAST_BUCKET = 1 << 20
+#: Sizes of rows without a doc_id from here on share buckets, 64 for each doubling.
+LARGE = 1 << 12
+_NO_ID = hashlib.md5(f"{SEED}|".encode()).hexdigest()
+
+
+def identity() -> list[Column]:
+    """Two digests of doc_id, source and text."""
+    doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    return [F.xxhash64(F.lit(k), doc_id.isNull(), doc_id, source.isNull(), source, F.col("text").cast("string")).alias(f"i{k}")
+            for k in (1, 2)]
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and shuffle key of each row."""
+    """doc_id, source, size, shuffle key and identity of each row."""
     return docs.select(
         F.col("doc_id").cast("long"), F.col("source").cast("string"),
         F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long").alias("size"),
-        seeded_order(SEED, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
+        seeded_order(SEED, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"), *identity())
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -62,10 +80,20 @@ def targets(sized: DataFrame) -> DataFrame:
         F.least(F.col("source_size") * float(REPEATS), F.col("level") * F.col("weight")).alias("target"))
 
 
+def _bucket() -> Column:
+    """A prefix of the order of the queue. Rows without a doc_id have one key, so theirs is of size and digest."""
+    start = F.substring("key", 1, DIGITS)
+    large = F.lit(LARGE) + F.floor(64 * (F.log2("size") - F.log2(F.lit(LARGE))))
+    own = F.when(F.col("size") < LARGE, F.col("size") * 16 + F.shiftright("i1", 60) + 8).otherwise(large * 16)
+    beside = F.when(F.col("key") < _NO_ID, "0").when(F.col("key") > _NO_ID, "2").otherwise(
+        F.concat(F.lit("1"), F.lpad(own.cast("string"), 8, "0")))
+    return F.when(start == _NO_ID[:DIGITS], F.concat(start, beside)).otherwise(start)
+
+
 def queued(sized: DataFrame) -> DataFrame:
     """``sized`` with source_size, target and ``upto``: the words of the source
     up to and with the row, in shuffled order."""
-    sized = sized.withColumn("bucket", F.substring("key", 1, DIGITS))
+    sized = sized.withColumn("bucket", _bucket())
     per = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
@@ -73,7 +101,7 @@ def queued(sized: DataFrame) -> DataFrame:
         .select("o.source", "bucket", "offset", "source_size", "target")
     rows = sized.alias("d").join(known.alias("k"), F.expr("d.source <=> k.source and d.bucket = k.bucket")) \
         .select("d.*", "offset", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size") \
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "i1", "i2") \
         .rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("upto", F.col("offset") + F.sum("size").over(inside)).drop("bucket", "offset")
 
@@ -104,7 +132,7 @@ def cut(queue: DataFrame) -> float:
 
 
 def plan(docs: DataFrame, stage: Stage) -> DataFrame:
-    """(doc_id, source, size, key, source_size, target, upto, copies, taken):
+    """(doc_id, source, size, key, i1, i2, source_size, target, upto, copies, taken):
     for every row how often the mix takes it, and the words that makes."""
     queue = stage.write(queued(stage.write(sizes(docs))))
     last = cut(queue)
@@ -115,11 +143,16 @@ def plan(docs: DataFrame, stage: Stage) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken, range-sorted
-    by finish time. Rows that share a doc_id share the smallest count of them."""
-    per = plan(docs, Stage(docs.sparkSession, "mix")).groupBy("doc_id").agg(
-        F.min("copies").alias("copies"), *(F.min(_finish(k)).alias(f"finish{k}") for k in range(REPEATS)))
-    per = per.where("copies > 0").select("doc_id", F.slice(
-        F.array(*(f"finish{k}" for k in range(REPEATS))), F.lit(1), F.col("copies")).alias("finishes")).alias("p")
-    rows = hidden(docs, F.col("doc_id").cast("long").alias("doc_id")).alias("d")
-    taken = rows.join(per, F.expr("d.doc_id <=> p.doc_id")).select("d.*", F.explode("finishes").alias("finish"))
+    by finish time."""
+    # rows of one identity are neighbours in the queue: of n, the first c0 are taken, the first c1 of them twice
+    per = plan(docs, Stage(docs.sparkSession, "mix")).where("size > 0").groupBy("i1", "i2").agg(
+        F.min("upto").alias("first"), *(F.min(c).alias(c) for c in ("size", "source_size", "target")),
+        *(F.count_if(F.col("copies") > k).alias(f"c{k}") for k in range(REPEATS))).where("c0 > 0")
+    plain = [f.name for f in docs.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    rows = hidden(docs, *identity(), F.col("doc_id").cast("long").alias("doc_id"),
+                  F.xxhash64(*(F.col("`" + c.replace("`", "``") + "`") for c in plain)).alias("row"))
+    taken = rows.join(per, ["i1", "i2"]).withColumn(
+        "number", F.row_number().over(Window.partitionBy("i1", "i2").orderBy("row")) - 1)
+    taken = taken.withColumn("upto", F.col("first") + F.col("number") * F.col("size")).select("*", F.explode(F.array_compact(
+        F.array(*(F.when(F.col("number") < F.col(f"c{k}"), _finish(k)) for k in range(REPEATS))))).alias("finish"))
     return shown(taken.repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id"), docs)

@@ -127,6 +127,26 @@ def test_mixing(docs, none, spark):
     assert mixing.plan(none, stage).count() == 0 and mixing.mixed(none).count() == 0
 
 
+def test_rows_that_share_a_doc_id_are_mixed_and_dropped_by_themselves(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(1, 30))), rng.choice("xyz")) for i in range(60)]
+    rows += [(None, " ".join(rng.choices("abcdefgh", k=rng.randint(1, 30))), rng.choice("xyz")) for _ in range(60)]
+    rows += [(None, "", "x"), (None, None, "y"), (None, "long " * 9000, "z"), (7, "other text", "x"), *[(None, "p q r", "y")] * 9]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    planned = mixing.plan(table, Stage(spark, "test")).collect()
+    want = collections.Counter()
+    for r in planned:
+        want[r.doc_id, r.source, r.size] += r.copies
+    found = collections.Counter((r.doc_id, r.source, len(WORD.findall(r.text))) for r in mixing.mixed(table).collect())
+    assert found == +want and any(r.doc_id is None and r.copies for r in planned)
+    own = sorted((r for r in planned if r.source == "x"), key=lambda r: r.upto)
+    assert [r.upto for r in own] == [sum(q.size for q in own[:k + 1]) for k in range(len(own))]
+    again = [(1, "alpha beta gamma delta epsilon zeta", "x"), (1, "one two three four five six seven", "x"), (1, "", "x"),
+             (2, "one two three four five six seven", "x"), (1, "alpha beta gamma delta epsilon zeta", "x")]
+    kept = jaccard_join.drop_near_duplicates(spark.createDataFrame(again, "doc_id long, text string, source string"))
+    assert sorted(r[:2] for r in kept.collect()) == sorted(r[:2] for r in again[:3])
+
+
 ASSIGN = re.compile(secrets.KINDS[0][1][4:], re.I | re.A)
 
 
