@@ -9,11 +9,13 @@ name, body): kind is ``message``, ``call`` (body: arguments in JSON) or
 * Topological order: a call may name the calls it waits for in its argument
   ``after`` (one identifier or a list). Every row gets a place, at first its turn;
   a call's place is raised above those of the calls it waits for and of their
-  results, round by round, and only rows that are out of order move. A
-  transcript in order needs one round. Where rows still move after ``ROUNDS``, those that do so
-  in as many rounds more lie on a cycle or wait for one (or end a chain of more
-  than ``ROUNDS`` calls, all out of order): they get the error ``cyclic`` and keep
-  the place of their turn. The order within a conversation is
+  results. A transcript in order needs one round. Each round raises every place,
+  lets go of waits for calls whose place is final, and hands waits for a call with
+  one wait of its own on to that one, so that a chain of n calls ends in log2(n)
+  rounds (calls with several waits each: one round for each call in a row). The
+  rounds end where nothing moves, or where no further place becomes final: what
+  then still waits lies on a cycle or waits for one, gets the error ``cyclic`` and
+  keeps the place of its turn. The order within a conversation is
   (place, kind, turn, call_id): there is no window over a conversation, which may
   hold a third of all rows.
 * Arguments are checked against a schema: ``{name: {field: (type, required)}}``.
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 
 from quarry.session import cut_lineage
 
-ROUNDS = 16
+#: More than any number of calls; waits handed round a cycle stop growing here.
+FAR = 1 << 40
 _TYPES = {"integer": "BIGINT", "string": "STRING", "boolean": "BOOLEAN"}
 
 
@@ -81,23 +84,39 @@ def _waits(body: Column) -> Column:
 def places(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, place, cyclic) of calls (conv_id, call_id, turn, end,
     waits), one row per identifier; end is the turn of the call's result."""
+    by = ["conv_id", "call_id"]
     start = cut_lineage(calls.select(
-        "conv_id", "call_id", F.coalesce("turn", F.lit(0)).alias("place"), F.coalesce("end", "turn", F.lit(0)).alias("end"),
-        F.explode_outer(F.array_distinct("waits")).alias("wait")))
-    edges = start.where("wait is not null").select("conv_id", "call_id", "wait")
-    own = start.select("conv_id", "call_id", "place", "end").distinct().select(
-        "*", F.col("place").alias("turn"), F.lit(False).alias("moved"), F.lit(False).alias("cyclic"))
-    for k in range(2 * ROUNDS):
-        ready = own.select("conv_id", F.col("call_id").alias("wait"), F.greatest("place", "end").alias("after"))
-        least = edges.join(ready, ["conv_id", "wait"]).groupBy("conv_id", "call_id").agg((F.max("after") + 1).alias("least"))
-        moved = F.coalesce(F.col("least") > F.col("place"), F.lit(False))
-        own = cut_lineage(own.join(least, ["conv_id", "call_id"], "left").select(
-            "conv_id", "call_id", F.greatest("place", "least").alias("place"), "end", "turn", moved.alias("moved"),
-            (F.col("cyclic") | moved if k >= ROUNDS else F.lit(False)).alias("cyclic")))
-        if own.where("moved").isEmpty():
+        *by, F.coalesce("turn", F.lit(0)).alias("turn"), F.coalesce("end", "turn", F.lit(0)).alias("end"),
+        F.explode_outer(F.array_distinct("waits")).alias("to")))
+    own = start.select(*by, "turn", "end").distinct()
+    waits = start.where("to is not null").select(*by, "to", F.lit(1).cast("long").alias("d")).join(
+        own.select("conv_id", F.col("call_id").alias("to"), (F.col("end") + 1).alias("least")), ["conv_id", "to"])
+
+    def raised(nodes, waits):
+        """Places raised to what the waits (to: still open) ask for, and the number of open ones with the one, if it is one."""
+        per = waits.groupBy(*by).agg(F.max("least").alias("least"), F.count("to").alias("n"), F.max("to").alias("next"),
+                                     F.max(F.when(F.col("to").isNotNull(), F.col("d"))).alias("far"))
+        n = F.coalesce("n", F.lit(0))
+        return cut_lineage(nodes.join(per, by, "left").select(
+            *by, "turn", F.greatest("place", "least").alias("place"), n.alias("open"), "next", "far",
+            F.coalesce(F.col("least") > F.col("place"), F.lit(False)).alias("moved"),
+            ((F.col("open") > 0) & (n == 0)).alias("closed")))
+
+    waits = cut_lineage(waits)
+    nodes = raised(own.select(*by, "turn", F.col("turn").alias("place"), F.lit(0).alias("open")), waits)
+    while True:
+        to = nodes.select("conv_id", F.col("call_id").alias("to"), "place", "open", "next", "far")
+        met = waits.where("to is not null").select(*by, "to", "d").join(to, ["conv_id", "to"]).select(
+            *by, (F.col("place") + F.col("d")).alias("least"),
+            F.when(F.col("open") == 1, F.col("next")).when(F.col("open") > 1, F.col("to")).alias("to"),
+            F.when(F.col("open") == 1, F.least(F.col("d") + F.col("far"), F.lit(FAR))).otherwise(F.col("d")).alias("d"))
+        waits = cut_lineage(met.groupBy(*by, "to").agg(F.max("least").alias("least"), F.max("d").alias("d")))
+        nodes = raised(nodes.select(*by, "turn", "place", "open"), waits)
+        moved, closed = nodes.agg(F.bool_or("moved"), F.bool_or("closed")).first()
+        if not moved or not closed:
             break
-    return own.select("conv_id", "call_id", F.when(F.col("cyclic"), F.col("turn")).otherwise(F.col("place")).alias("place"),
-                      "cyclic")
+    cyclic = F.lit(bool(moved)) & (F.col("open") > 0)
+    return nodes.select(*by, F.when(cyclic, F.col("turn")).otherwise(F.col("place")).alias("place"), cyclic.alias("cyclic"))
 
 
 def format_chat(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:

@@ -116,6 +116,29 @@ def test_chat(spark):
     assert tool_calls.format_chat(table.limit(0), tool_calls.TOOLS).count() == 0
 
 
+def test_places_of_long_chains_and_cycles(spark):
+    rng = random.Random(3)
+    graphs = {1: {k: [k + 1] for k in range(40)} | {40: []},  # each waits for the next
+              2: {k: [k + 1] for k in range(39)} | {39: [0], 40: [39, 41], 41: [], 42: [41]},  # a cycle in turn order
+              3: {k: [k + 1, k + 2] for k in range(6)} | {6: [], 7: []}, 4: {0: [0], 1: [0], 2: [9]}}
+    for g in range(5, 30):
+        n = rng.randint(2, 12)
+        graphs[g] = {k: rng.sample(range(n), rng.choice([0, 1, 1, min(n, 2)])) for k in range(n)}
+    end, rows, want = {}, [], {}
+    for g, waits in graphs.items():
+        for k in waits:
+            end[g, k] = rng.choice([None, k, k + 1, k + 9])
+            rows.append((g, str(k), k, end[g, k], [str(w) for w in waits[k]]))
+        place, open_ = {}, dict(waits)
+        while ready := [k for k, ws in open_.items() if not any(w in open_ for w in ws)]:
+            for k in ready:
+                place[k] = max([k, *(max(place[w], w if end[g, w] is None else end[g, w]) + 1 for w in waits[k] if w in place)])
+                del open_[k]
+        want |= {(g, str(k)): (place.get(k, k), k in open_) for k in waits}
+    table = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, end long, waits array<string>")
+    assert {(r.conv_id, r.call_id): (r.place, r.cyclic) for r in tool_calls.places(table).collect()} == want
+
+
 def test_chat_of_conversations_is_in_order(spark):
     rows = REGISTRY["op2_tool_call_linking"](spark, SF).collect()
     turns = spark.read.parquet(f"{SF}/conversations.parquet").collect()
