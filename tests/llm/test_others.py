@@ -83,6 +83,25 @@ def test_main_text(body, text):
         assert html_text.main_text(PAGE.format(body=body)) == text
 
 
+LONG = "<p>A paragraph of the text itself, with quite a few words in it.</p><p>And another one, about as long as the first.</p>"
+PLAIN = "A paragraph of the text itself, with quite a few words in it.\nAnd another one, about as long as the first."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f'<div class="content has-sidebar">{LONG}</div>', PLAIN), (f'<article class="post no-comments">{LONG}</article>', PLAIN),
+    (f'<main id="search-guide">{LONG}</main><div class="site-footer">Some words below.</div>', PLAIN),
+    (f"<form><div>{LONG}</div><button>Send</button></form>", PLAIN), (f'<div class="widget">{LONG}</div><nav>Start</nav>', PLAIN),
+    (f"<main><article>{LONG}</article><article><p>A second part, shorter.</p></article><p><a href=x>Other</a></p></main>",
+     PLAIN + "\nA second part, shorter."),
+    (f"<main><h1>Head</h1><div><article>{LONG}</article></div><div><article>{LONG}</article></div></main>",
+     f"Head\n{PLAIN}\n{PLAIN}"),
+    (f"<div><article>{LONG}</article><article>{LONG}</article></div>", f"{PLAIN}\n{PLAIN}"),
+    (f'<div><div class="cookie-notice">We use cookies.</div>{LONG}<div id="comments">First!</div></div>', PLAIN),
+])
+def test_main_text_is_whole(page, text):
+    assert html_text.main_text(f"<html><body><nav><a href=/>Home</a></nav>{page}</body></html>") == text
+
+
 def test_pages(spark):
     html = ["<p>x", None, "", "no markup at all", "<p>cut <b>off</b> <a href='", "<p>" * 2000 + "deep", "<!-- c --><p>a<!--", "&amp;"]
     table = spark.createDataFrame([(i, None, h, "t") for i, h in enumerate(html)], "page_id long, url string, html string, text string")
