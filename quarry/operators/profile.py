@@ -542,7 +542,11 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None,
             "max double, skew double, kurt double"))
     wide, mom, pre = _moments(df, cols, lambda x: [skew_g1(x).alias("skew"), kurt_g2(x).alias("kurt")])
     q = quantiles(wide, cols, QUARTILES, method, pre)
-    u = distinct_counts(wide, cols).withColumnRenamed("column_name", "variable")
+    # of the values as they are: doubles do not tell integers above 2^53 apart
+    kind = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    u = distinct_counts(df.select(*(
+        F.nanvl(quoted(c).cast("double"), F.lit(None).cast("double")).alias(c) if kind.get(c) in ("float", "double", "string")
+        else quoted(c).alias(c) for c in cols)), cols).withColumnRenamed("column_name", "variable")
     j = mom.join(F.broadcast(q), "variable").join(F.broadcast(u), "variable", "left")
     n_null = F.col("n_total") - F.col("n_valid")
     return j.select(

@@ -18,6 +18,13 @@ def test_stats5_summary(spark):
     assert (o["lower"], o["upper"], o["n_outliers"]) == (-1.0, 7.0, 1)
 
 
+def test_distinct_numbers_above_doubles(spark):
+    df = spark.range(50).selectExpr("9007199254740993 + id as a", "cast(id as decimal(38, 0)) + 12345678901234567890 as b",
+                                    "if(id < 2, double('nan'), id % 7) as c")
+    rows = {r["variable"]: r for r in P.numeric_summary(df, ["a", "b", "c"]).collect()}
+    assert [rows[c]["n_unique"] for c in "abc"] == [50, 50, 7] and rows["a"]["unique_pct"] == 100.0
+
+
 @pytest.mark.parametrize("method", ["map", "rank", "bracket"])
 def test_quantile_methods_agree(spark, method):
     df = spark.range(0, 1001).select((F.col("id") * 0.37 % 17).alias("x"))
