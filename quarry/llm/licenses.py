@@ -1,6 +1,9 @@
 """Operator 1: licence scan by a trained paragraph classifier.
 
-Paragraphs are the lines of a text. Their features are hashed word n-grams
+Units are the lines of a text and, for notices wrapped over lines, the runs of
+lines within a paragraph (lines up to a blank one) that share word runs, also
+across line ends, with a family's templates. Punctuation around words does not
+count, so comment marks vanish. Their features are hashed word n-grams
 (n = 1 to 3), sparse; a softmax regression over the licence families and
 ``unknown`` is fitted in numpy. Its training rows are the templates below with
 seeded variations (words left out, neighbouring text added) and, as unknown, a
@@ -17,12 +20,13 @@ never be confirmed, so it is not classified at all; that is exact.
 Scanning is a narrow map over whole texts; the model (``2**BITS`` weights a family
 and the templates' trigrams) has a fixed size. A null or empty text has no
 paragraphs. Repeated rows each get their row; doc_id may be null; more columns are
-ignored. Words and hashes are those of ``shingles``.
+ignored. Words and hashes are those of ``shingles``, without punctuation around them.
 """
 
 from __future__ import annotations
 
 import pickle
+import re
 
 import numpy as np
 import pandas as pd
@@ -88,6 +92,16 @@ RIGHTS = [
 _WEIGHT = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
+#: Punctuation before and after words.
+AROUND = re.compile(r"(?<![^\w\s])[^\w\s]++(?=\s|\Z)|(?<!\S)[^\w\s]+")
+#: A run of lines goes on over a line without shared words.
+GAP = 2
+
+
+def _bare(lines: list[str]) -> pa.Array:
+    return pa.array(AROUND.sub("", "\n".join(lines)).split("\n") if lines else [], pa.string())
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the runs of n words."""
     count = len(hashes) - n + 1
@@ -101,7 +115,7 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def _paragraph_hashes(lines: list[str]) -> list[np.ndarray]:
     out = []
-    for _, hashes, bounds in words(pa.array(lines, pa.string())):
+    for _, hashes, bounds in words(_bare(lines)):
         out += [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
     return out
 
@@ -126,14 +140,15 @@ def fit(paragraphs: list[str]) -> dict:
     rng = np.random.default_rng(1)
     names = [*sorted(TEMPLATES), UNKNOWN]
     sharing = {k for k, _ in _sharing(paragraphs, _known(_template_grams()))}
-    plain = [p for k, p in enumerate(paragraphs) if k not in sharing and p.split()]
+    plain = [p for k, p in enumerate(paragraphs) if k not in sharing and AROUND.sub("", p).split()]
     texts, target = [], []
     for family, templates in sorted(TEMPLATES.items()):
         for text in templates:
             for k in range(VARIANTS):
                 kept = [w for w in text.split() if not k or rng.random() > 0.08]
                 beside = plain[rng.integers(len(plain))].split()[:12] if plain and k % 3 == 2 else []
-                texts.append(" ".join([*kept, *beside] if k % 2 else [*beside, *kept]) or text)
+                near = " ".join([*kept, *beside] if k % 2 else [*beside, *kept])
+                texts.append(near if AROUND.sub("", near).split() else text)
                 target.append(names.index(family))
     others = [*plain, *(s for s in RIGHTS for _ in range(VARIANTS))]
     texts += others
@@ -177,7 +192,7 @@ def fit(paragraphs: list[str]) -> dict:
 
 def _sharing(lines: list[str], known: dict[int, np.ndarray]):
     """(line, word hashes) of the lines that share a run of words with a template."""
-    for first, hashes, bounds in words(pa.array(lines, pa.string())):
+    for first, hashes, bounds in words(_bare(lines)):
         hit = set()
         for n, every in known.items():
             own = grams(hashes, n)
@@ -197,22 +212,59 @@ def _known(templates: dict[str, list[np.ndarray]]) -> dict[int, np.ndarray]:
 
 
 def classify(lines: list[str], model: dict, templates: dict[str, list[np.ndarray]],
-             known: dict[int, np.ndarray] | None = None) -> list[tuple[int, str, float, float]]:
-    """(line, family, probability, overlap) of the confirmed lines."""
+             known: dict[int, np.ndarray] | None = None, starts=()) -> list[tuple[int, str, float, float]]:
+    """(line, family, probability, overlap) of the confirmed lines and runs of
+    lines (by their first); ``starts`` are lines that begin another text."""
     known = known or _known(templates)
+    found = [(h, b) for _, h, b in words(_bare(lines))]
+    if not found:
+        return []
+    hashes = np.concatenate([h for h, _ in found])
+    ends = np.cumsum(np.concatenate([np.diff(b) for _, b in found]))
+    bounds = np.concatenate([[0], ends])
+    line_of = np.repeat(np.arange(len(lines)), np.diff(bounds))
+    new = np.diff(bounds) == 0
+    new[list(starts)] = True
+    part = np.cumsum(new)  # the paragraph of each line
+    shared = []  # first line, last line, run of words
+    for n, every in known.items():
+        own = grams(hashes, n)
+        at = np.flatnonzero(every[np.searchsorted(every, own).clip(max=len(every) - 1)] == own)
+        first, last = line_of[at], line_of[at + n - 1]
+        same = part[first] == part[last]
+        shared.append((first[same], last[same], own[at[same]]))
+    first, last, shared = (np.concatenate(x) for x in zip(*shared))
     out = []
-    for k, hashes in _sharing(lines, known):
-        found = _features(hashes)
-        z = model["weight"][found].sum(axis=0) / np.sqrt(len(found)) + model["bias"]
+
+    def judge(a, b):
+        own = hashes[bounds[a]:bounds[b + 1]]
+        seen = _features(own)
+        z = model["weight"][seen].sum(axis=0) / np.sqrt(len(seen)) + model["bias"]
         chance = _softmax(z[None, :] / model["heat"])[0]
         best = int(chance.argmax())
         if model["names"][best] == UNKNOWN or chance[best] < model["least"]:
-            continue
-        own = np.concatenate([grams(hashes, n) for n in known])
+            return False
+        own = np.concatenate([grams(own, n) for n in known])
         overlap = max(float(np.isin(g, own).mean()) for g in templates[model["names"][best]])
         if overlap >= OVERLAP:
-            out.append((k, model["names"][best], float(chance[best]), overlap))
-    return out
+            out.append((a, model["names"][best], float(chance[best]), overlap))
+        return overlap >= OVERLAP
+
+    sure = {k for k in np.unique(first[first == last]).tolist() if judge(k, k)}
+    runs = set()
+    for family in templates.values():
+        hit = np.isin(shared, np.concatenate(family))
+        rest = sorted(set(np.concatenate([first[hit], last[hit]]).tolist()) - sure)
+        run = []
+        for k in [*rest, len(lines)]:
+            if run and (k == len(lines) or k - run[-1] > GAP or part[k] != part[run[-1]] or sure & set(range(run[-1], k))):
+                if run[0] < run[-1]:
+                    runs.add((run[0], run[-1]))
+                run = []
+            run.append(k)
+    for a, b in sorted(runs):
+        judge(a, b)
+    return sorted({(k, f): (k, f, c, o) for k, f, c, o in sorted(out, key=lambda x: x[2])}.values())
 
 
 def train(docs: DataFrame) -> dict:
@@ -232,8 +284,8 @@ def train(docs: DataFrame) -> dict:
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_paragraphs, n_licensed, families, found): paragraphs that are
-    not blank, those with a confirmed licence, the sorted distinct families, and
+    """(doc_id, n_paragraphs, n_licensed, families, found): lines that are
+    not blank, lines and runs of lines with a confirmed licence, the sorted distinct families, and
     ``line:family:probability:overlap`` of each (lines from 0)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
@@ -253,7 +305,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
                 owner = np.repeat(np.arange(len(held)), list(map(len, held)))
                 start = np.cumsum([0, *map(len, held)])
                 found = [[] for _ in held]
-                for k, family, chance, overlap in classify(lines, model.value, templates, known):
+                for k, family, chance, overlap in classify(lines, model.value, templates, known, start[:-1]):
                     found[owner[k]].append((k - start[owner[k]], family, chance, overlap))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(first, len(held)),

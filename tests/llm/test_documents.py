@@ -287,3 +287,23 @@ def test_license_scan(spark, docs, none):
     assert [rows[i].families for i in range(4)] == list(notes) and [rows[i].n_paragraphs for i in range(4)] == [3] * 4
     assert not any(rows[i].n_licensed for i in range(4, len(texts)))
     assert licenses.license_scan(docs).count() == docs.count() and licenses.license_scan(none).count() == 0
+
+
+def test_license_notices_that_are_wrapped(spark):
+    rng = random.Random(2)
+    plain = [" ".join(rng.choices(["tree", "river", "stone", "walks", "blue", "the", "under", "free"], k=12)) for _ in range(200)]
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy",
+           "of this software and associated documentation files (the \"Software\"), to deal",
+           "in the Software without restriction, including without limitation the rights"]
+    bsd = ["Redistribution and use in source and binary forms, with or without",
+           "modification, are permitted provided that the following conditions are met:"]
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+           "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    texts = [("\n".join(mit), "MIT"), ("\n".join("# " + x for x in bsd), "BSD-3-Clause"), ("/*\n * " + "\n * ".join(gpl) + "\n */", "GPL-3.0"),
+             (plain[0] + "\n" + "\n".join("// " + x for x in mit) + "\n" + plain[1], "MIT"), ("Licensed under the MIT License", "MIT"),
+             ("\n".join([*mit, "", *gpl]), "GPL-3.0,MIT"), (mit[0] + "\n\n" + plain[2], None), (bsd[0], None)]
+    rows = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(
+        list(enumerate([t for t, _ in texts] + plain + ["-----", "***\n//"])), "doc_id long, text string")).collect()}
+    assert [rows[i].families for i, (_, f) in enumerate(texts) if f] == [f for _, f in texts if f]
+    assert not any(rows[i].n_licensed for i in range(len(texts), len(rows)))
+    assert not rows[7].n_licensed  # the first of two lines alone is less than half of the notice
