@@ -130,8 +130,9 @@ def kmeans(df: DataFrame, features: Sequence[str], k: int, init: str = "k-means|
 
 
 def k_sweep(df: DataFrame, features: Sequence[str], k_max: int, key: str,
-            n_init: int = 1, seed: int = 42, sil_rows: int = SILHOUETTE_MAX_ROWS) -> DataFrame:
-    """(k, wcss, silhouette) for k = 2..k_max. The feature frame is
+            n_init: int = 1, seed: int = 42, sil_rows: int | None = None) -> DataFrame:
+    """(k, wcss, silhouette) for k = 2..k_max; the silhouette is the squared
+    form over all rows, or E5's over a sample of ``sil_rows`` rows. The feature frame is
     checkpointed once (shared folder) and reused by every fit; the k values
     are fitted as concurrent jobs."""
     base = cut_lineage(df.select(key, *features))
@@ -139,7 +140,8 @@ def k_sweep(df: DataFrame, features: Sequence[str], k_max: int, key: str,
     def point(k):
         a, cents, _ = kmeans(base, features, k, n_init=n_init, seed=seed)
         w = a.agg(F.sum("sq_dist")).first()[0]
-        s = silhouette(a, key, features, "cluster", sil_rows, seed).first()["silhouette"]
+        s = (silhouette_sq_full(a, features) if sil_rows is None
+             else silhouette(a, key, features, "cluster", sil_rows, seed)).first()[0]
         return (k, float(w), None if s is None else float(s))
 
     # the sweep points are independent fits: concurrent Spark jobs
@@ -246,9 +248,13 @@ def silhouette(assigned: DataFrame, key: str, features: Sequence[str], cluster:
 
 def silhouette_sq_full(assigned: DataFrame, features: Sequence[str]) -> DataFrame:
     """Full-data squared-Euclidean silhouette (Spark ClusteringEvaluator) –
-    a different number from E5, reported under its own name."""
+    a different number from E5, reported under its own name. Fewer than two
+    clusters: 0, as in E5."""
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import VectorAssembler
+    ends = assigned.agg(F.min("cluster"), F.max("cluster")).first()
+    if ends[0] == ends[1]:
+        return assigned.sparkSession.createDataFrame([(None if ends[0] is None else 0.0,)], "silhouette_sq double")
     x = VectorAssembler(inputCols=list(features), outputCol="features").transform(
         assigned.withColumn("prediction", F.col("cluster").cast("int")))
     v = ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(x)

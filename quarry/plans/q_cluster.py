@@ -107,6 +107,39 @@ def e16_cluster_traits(spark, sf):
     return I.cluster_traits(K.cluster_profile(_fixed(spark, sf), PROF8), PROF8)
 
 
+# --- the same of all features
+
+_PROFILE_ALL_SQL = _FIXED_SQL + """,
+prof AS (SELECT cluster, count(*) AS n_members, """ + ", ".join(
+    f"round(avg({c}), 3) AS {c}, round(stddev_samp({c}), 3) AS {c}_std" for c in FEATS) + """
+  FROM asg GROUP BY cluster)"""
+
+
+@query("e14_cluster_profile_all", _PROFILE_ALL_SQL + "\nSELECT * FROM prof")
+def e14_cluster_profile_all(spark, sf):
+    return K.cluster_profile(_fixed(spark, sf), FEATS)
+
+
+@query("e15_normalised_profile_all", _PROFILE_ALL_SQL + "\nSELECT cluster, " + ", ".join(
+    f"round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER () + 1e-10), 4) + 0.0 AS {c}"
+    for c in FEATS) + " FROM prof")
+def e15_normalised_profile_all(spark, sf):
+    return K.normalised_profile(K.cluster_profile(_fixed(spark, sf), FEATS), FEATS)
+
+
+@query("e16_cluster_traits_all", _PROFILE_ALL_SQL + """,
+lg AS (""" + " UNION ALL ".join(f"SELECT cluster, {i} AS pos, '{c}' AS variable, {c} AS value FROM prof"
+                               for i, c in enumerate(FEATS)) + """),
+r AS (SELECT *, avg(value) OVER (PARTITION BY variable) AS ref FROM lg),
+t AS (SELECT *, (value - ref) / abs(ref) * 100 AS diff_pct FROM r WHERE ref <> 0),
+l AS (SELECT *, CASE WHEN diff_pct > 20 THEN 'high' WHEN diff_pct < -20 THEN 'low' END AS level FROM t)
+SELECT cluster, variable, round(value, 4) + 0.0 AS value, round(ref, 4) + 0.0 AS ref, round(diff_pct, 1) + 0.0 AS diff_pct, level,
+       CAST(k AS INTEGER) AS k FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY pos) AS k FROM l WHERE level IS NOT NULL) z WHERE k <= 4""")
+def e16_cluster_traits_all(spark, sf):
+    return I.cluster_traits(K.cluster_profile(_fixed(spark, sf), FEATS), FEATS)
+
+
 # --- E5 / E12 silhouette -----------------------------------------------------------------
 
 _SIL_SQL = _FIXED_SQL + f""",
@@ -139,6 +172,19 @@ def e12_segmentation_grade(spark, sf):
                     I.segmentation_grade(F.col("silhouette")).alias("grade"))
 
 
+# --- the squared form over all rows (no sample) ---------------------------------------------
+
+@query("e5_silhouette_full")
+def e5_silhouette_full(spark, sf):
+    return K.silhouette_sq_full(_fixed(spark, sf), FEATS)
+
+
+@query("e12_segmentation_grade_full")
+def e12_segmentation_grade_full(spark, sf):
+    return K.silhouette_sq_full(_fixed(spark, sf), FEATS).select(
+        "silhouette_sq", I.segmentation_grade(F.col("silhouette_sq")).alias("grade"))
+
+
 # --- fitted (rows-only) --------------------------------------------------------------------
 
 @query("e3_kmeans")
@@ -191,8 +237,8 @@ def e17_method_comparison(spark, sf):
     e = D.emb_features(spark, sf)
     a, _, _ = K.kmeans(e, FEATS, 10, n_init=1, seed=42)
     h, _, _ = K.micro_cluster_hierarchy(e, "vec_id", FEATS, 10, "ward", 40, 42)
-    s1 = K.silhouette(a, "vec_id", FEATS).first()["silhouette"]
-    s2 = K.silhouette(h, "vec_id", FEATS).first()["silhouette"]
+    s1 = K.silhouette_sq_full(a, FEATS).first()["silhouette_sq"]
+    s2 = K.silhouette_sq_full(h, FEATS).first()["silhouette_sq"]
     return K.method_comparison(float(s1), float(s2), spark)
 
 

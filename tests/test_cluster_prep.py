@@ -47,3 +47,16 @@ def test_kmeans_wcss_non_increasing(spark):
     sw = K.k_sweep(df, ["a", "b"], 5, "k")
     w = [r["wcss"] for r in sw.orderBy("k").collect()]
     assert all(x >= y - 1e-6 for x, y in zip(w, w[1:]))
+
+
+def test_sweep_and_comparison_take_no_sample(spark, monkeypatch):
+    def no(*a, **b):
+        raise AssertionError("sampled")
+    monkeypatch.setattr(K, "sample_rows", no)
+    df = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 3 * 10 + F.col("id") / 1000).alias("a"))
+    rows = {r["k"]: r["silhouette"] for r in K.k_sweep(df, ["a"], 3, "k").collect()}
+    assert rows[3] > rows[2] > 0
+    one = df.select("a", F.lit(0).alias("cluster"))
+    assert K.silhouette_sq_full(one, ["a"]).first()[0] == 0.0 and K.silhouette_sq_full(one.limit(0), ["a"]).first()[0] is None
+    from quarry.plans import q_cluster
+    assert q_cluster.e17_method_comparison(spark, "/root/testdata/sf0.001").count() == 2
