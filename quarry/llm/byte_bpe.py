@@ -13,7 +13,7 @@ over ``LONG`` bytes go through the same merges with a heap instead, so that one
 long run of characters costs n log n. A task keeps what it has encoded, up to
 ``KEPT`` pieces, then starts anew; that bounds memory and changes no result.
 
-Why not Spark's higher-order functions: see the README (measured).
+Why not Spark's higher-order functions: see the README (estimates, not measured).
 
 A null text is an empty one: no ids, no bytes. Lone surrogates cannot occur in
 Spark strings. Every row gets its row; more columns are ignored.
