@@ -124,3 +124,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.licenses import license_scan
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.periodic_runs import periodic_runs
+    return periodic_runs(table(spark, sf_dir, "documents"), edit=True)
