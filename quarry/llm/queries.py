@@ -130,3 +130,35 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.periodic_runs import periodic_runs
     return periodic_runs(table(spark, sf_dir, "documents"), edit=True)
+
+
+OP13_SQL = """
+WITH r AS (
+  SELECT DISTINCT CAST(vec_id AS BIGINT) AS vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+a AS (SELECT vec_id, min({'label': label, 'v': v}) AS a FROM r WHERE vec_id % 100 = 0 GROUP BY vec_id),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.a.label AS same,
+         CAST(list_inner_product(a.a.v, r.v) AS BIGINT) AS score
+  FROM a JOIN r ON r.vec_id <> a.vec_id AND len(r.v) = len(a.a.v)),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id, positive_score ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+   AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 5
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.hard_negatives import hard_negatives
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
