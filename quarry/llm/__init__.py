@@ -1,4 +1,4 @@
-"""Training-data operators: ten numbered operators, their queries and SQL.
+"""Training-data operators: thirteen numbered operators, their queries and SQL.
 
 Nothing outside this subpackage imports it; ``__spark_entry__`` adds its
 queries when it is present. Its functions travel to the executors by value,

@@ -162,3 +162,9 @@ FROM n WHERE rank <= 5
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.hard_negatives import hard_negatives
     return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_personal_data")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.personal_data import personal_spans
+    return personal_spans(table(spark, sf_dir, "documents"))
