@@ -247,25 +247,29 @@ def link_sets(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
     return signed.select("doc_id", "th", "n", "digest"), groups
 
 
-def _with_component(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, n, digest, component) of every row."""
-    rows, groups = link_sets(docs, Stage(docs.sparkSession, "jaccard"))
-    return rows.join(groups.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
-        "component", F.coalesce("component", "digest"))
+def _with_component(docs: DataFrame) -> tuple[DataFrame, DataFrame, Stage]:
+    """(doc_id, th, n, digest, component) of the rows with shingles; (doc_id, th, n)
+    of the others, which link with nothing and so meet no join."""
+    stage = Stage(docs.sparkSession, "jaccard")
+    rows, groups = link_sets(docs, stage)
+    groups = stage.write(groups.withColumnRenamed("node", "digest"))
+    found = rows.where("n > 0").join(groups, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    return found, rows.where("n = 0").select("doc_id", "th", "n"), stage
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_texts): for each row of ``docs``
     (doc_id, text; more columns are ignored) its set's size, the smallest
     doc_id that links reach, and how many different sets its component has."""
-    rows = _with_component(docs)
-    # sets without shingles are all equal, yet link with nothing
-    named = rows.where("n > 0").groupBy("component").agg(
-        F.min("doc_id").alias("least"), F.count_distinct("digest").alias("n_texts"))
-    return rows.join(named, "component", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("n_texts")).otherwise(F.lit(1)).alias("n_texts"))
+    rows, empty, stage = _with_component(docs)
+    # written, so that a component with very many rows is dealt with as a skewed join
+    rows = stage.write(rows)
+    named = stage.write(rows.groupBy("component").agg(
+        F.min("doc_id").alias("component_id"), F.count_distinct("digest").alias("n_texts")))
+    return rows.join(named, "component").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_texts").unionByName(empty.select(
+            "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+            F.lit(1).cast("long").alias("n_texts")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -274,9 +278,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     ``docs``. A document is a doc_id with a text: rows that repeat both are one
     (one row stays), other texts of a doc_id are judged by themselves. Rows
     without a doc_id all stay, for no decision can name them."""
-    rows = _with_component(docs).where("doc_id is not null")
-    keep = rows.where("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("least")).select("least.*") \
-        .unionByName(rows.where("n = 0").select("doc_id", "th").distinct())
+    rows, empty, _ = _with_component(docs)
+    keep = rows.where("doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("least")) \
+        .select("least.*").unionByName(empty.where("doc_id is not null").select("doc_id", "th").distinct())
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     first = Window.partitionBy("doc_id", "th").orderBy("th")
     named = hidden(docs, doc_id, F.xxhash64(F.col("text").cast("string")).alias("th")).join(keep, ["doc_id", "th"], "left_semi") \

@@ -17,7 +17,8 @@ broadcast is ``2**BITS`` floats and a bias, whatever the input's size.
 
 A null or empty text has no subwords and scores by the bias. Rows whose doc_id
 is null can have no label and count as held out. Repeated rows each get their
-row; repeated labels count as often as they are there; null labels are ignored.
+row; labels that repeat doc_id and value are sampled once, and count in the class
+shares as often as they are there; null labels are ignored.
 Without labelled rows every score is 0. More columns are ignored: labels, lang,
 source and doc_id are never inputs of a score.
 """
@@ -48,6 +49,8 @@ GAIN = 100.0
 #: Weightless subwords added to every average, so that a few words decide little.
 CALM = 200
 SLICE = 1 << 20
+#: Rows whose texts are Python strings at a time.
+PART = 1000
 
 _SYMBOL = np.full(256, 32, dtype=np.uint64)
 _SYMBOL[128:] = np.arange(128, 256)
@@ -183,12 +186,18 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
     """The model of a bounded sample of labelled rows that are not held out."""
     labelled = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")) \
-        .where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    shares = dict(labelled.groupBy("toxic").count().collect())
-    if not shares:
+        .where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id", "toxic").count()
+    counts = {r["toxic"]: r for r in labelled.groupBy("toxic").agg(F.sum("count").alias("rows"), F.count("*").alias("ids")).collect()}
+    if not counts:
         return None
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).drop("k")
+    # ids below a cut of the hash, some more than SAMPLE for each label, are all that is ever ranked
+    rank = F.xxhash64("doc_id")
+    below = F.lit(False)
+    for toxic, r in counts.items():
+        share = min(1.0, (SAMPLE + 10 * SAMPLE**0.5) / r["ids"])
+        below = below | ((F.col("toxic") == toxic) & (rank <= min(2**63 - 1, int(-2**63 + share * 2**64))))
+    order = Window.partitionBy("toxic").orderBy(rank, "doc_id")
+    sample = labelled.where(below).withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).drop("k", "count")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")) \
         .join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic", F.lit(0).alias("one"))
 
@@ -203,10 +212,17 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
     if model is None:
         return None
     weight, bias, in_sample = pickle.loads(bytes(model["model"]))
-    share = np.clip(shares.get(1, 0) / sum(shares.values()), 0.01, 0.99)
+    toxic = sum(r["rows"] for label, r in counts.items() if label == 1)
+    share = np.clip(toxic / sum(r["rows"] for r in counts.values()), 0.01, 0.99)
     return weight, bias + float(np.log(share / (1 - share)) - np.log(in_sample / (1 - in_sample)))
 
 
+def _probabilities(texts: pa.Array, model) -> np.ndarray:
+    if model is None:
+        return np.zeros(len(texts))
+    return 1 / (1 + np.exp(-np.clip(logits(texts.to_pylist(), *model), -50, 50)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
     """``docs`` with a column ``score`` (the last, whatever its columns)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -214,11 +230,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            if sent.value is None:
-                scores = np.zeros(len(texts))
-            else:
-                scores = 1 / (1 + np.exp(-np.clip(logits(texts, *sent.value), -50, 50)))
+            scores = _probabilities(batch.column(batch.schema.get_field_index("text")), sent.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())],
                                              [*batch.schema.names, "score"])
 
@@ -234,6 +246,17 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that score below 0.5, with the columns of ``docs``."""
-    marked = score(hidden(docs, F.col("text").cast("string").alias("text")), train(docs, labels))
-    return shown(marked.where("score < 0.5"), docs)
+    """Rows of ``docs`` that score below 0.5, with the columns of ``docs``. A task
+    sends each row once and passes on the rows it keeps, a part of a batch at a time."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    rows = hidden(docs)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, max(1, len(batch)), PART):
+                part = batch.slice(first, PART)
+                kept = _probabilities(part.column(at).cast(pa.string()), sent.value) < 0.5
+                yield part.filter(pa.array(kept))
+
+    return shown(rows.mapInArrow(run, rows.schema), docs)
