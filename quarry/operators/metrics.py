@@ -64,7 +64,7 @@ def _score_counts(long: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 def _ovr_auc(long: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Per class AUC from rows (class, pos bool, s score)."""
     sc = _score_counts(long, groups)
-    cum = running_sums(sc, [*groups, "class"], "s", ["neg"], inclusive_ties=True)
+    cum = running_sums(sc, [*groups, "class"], "s", ["neg"], inclusive_ties=False)  # one row a score
     # neg strictly below s = before_neg; ties count one half
     term = F.col("pos") * (F.col("before_neg") + F.col("neg") * 0.5)
     return cum.groupBy(*groups, "class").agg(
@@ -87,8 +87,8 @@ def multiclass_auc(df: DataFrame, label: str, score_cols: Sequence[str],
 def classification_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction",
                            score_cols: Sequence[str] | None = None,
                            classes: Sequence[float] | None = None,
-                           groups: Sequence[str] = ()) -> DataFrame:
-    """F8: one row – accuracy, precision, recall, f1, auc (4 dp) – per group.
+                           groups: Sequence[str] = (), digits: int | None = 4) -> DataFrame:
+    """F8: one row – accuracy, precision, recall, f1, auc (``digits`` dp) – per group.
 
     Two classes: values of the positive (last sorted) class and binary AUC
     on ``score_cols[-1]``. More: support-weighted averages and the
@@ -135,7 +135,7 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
             agg = agg.withColumn("_k", F.lit(1)).join(auc.withColumn("_k", F.lit(1)), "_k").drop("_k")
     else:
         agg = agg.withColumn("auc", F.lit(0.5))
-    return agg.select(*groups, *[rnd(F.col(m)).alias(m) for m in METRICS])
+    return agg.select(*groups, *[(F.col(m) if digits is None else rnd(F.col(m), digits)).alias(m) for m in METRICS])
 
 
 def metrics_long(df: DataFrame, model: str, **kw) -> DataFrame:
@@ -151,23 +151,33 @@ def result_table(long: DataFrame) -> DataFrame:
     return long.groupBy("model").pivot("metric", list(METRICS)).agg(F.first("value"))
 
 
+def cv_comparison(results: DataFrame, folds: DataFrame, metric: str = "f1") -> DataFrame:
+    """(model, cv_mean, cv_std) of every model of ``results`` (F10): mean and
+    population deviation over its rows in ``folds`` (model, fold, metric); a model
+    without folds has its single result and deviation 0."""
+    cv = folds.groupBy("model").agg(rnd(F.avg(metric)).alias("cv_mean"), rnd(F.stddev_pop(metric)).alias("cv_std"))
+    return results.select("model", metric).join(cv, "model", "left").select(
+        "model", F.coalesce("cv_mean", rnd(F.col(metric))).alias("cv_mean"), F.coalesce("cv_std", F.lit(0.0)).alias("cv_std"))
+
+
 # --- G1-G3 ------------------------------------------------------------------
 
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction",
                      classes: Sequence[float] | None = None) -> DataFrame:
-    """G1: all k x k cells (zeros included) with count and % of all rows."""
+    """G1: all k x k cells (zeros included) with count and % of all rows. The cells
+    that occur are ``confusion_counts``; this view fills up the rest."""
     cm = confusion_counts(df, label, prediction)
-    if classes is None:
-        classes = sorted({r[0] for r in cm.select("label").union(cm.select("prediction"))
-                          .distinct().collect()})  # one number per class
-    classes = [float(c) for c in classes]
-    grid = cm.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in classes]))
-                                           .alias("label")).select(
-        "label", F.explode(F.array(*[F.lit(c) for c in classes])).alias("prediction"))
-    g = grid.join(F.broadcast(cm), ["label", "prediction"], "left").fillna(0, ["n"])
+    cells = F.array(F.col("label"), F.col("prediction"))
+    known = F.array(*map(F.lit, map(float, classes))) if classes else None
+    # one row: the class list and the number of rows
+    every = cm.select(F.explode(cells).alias("c"), F.lit(0).alias("_one")).groupBy("_one").agg(
+        (known if known is not None else F.array_sort(F.collect_set("c"))).alias("classes"))
+    total = cm.groupBy(F.lit(0).alias("_one")).agg(F.sum("n").alias("total"))
+    grid = every.join(total, "_one").select("total", "classes", F.explode("classes").alias("label")).select(
+        "total", "label", F.explode("classes").alias("prediction"))
+    g = grid.join(cm, ["label", "prediction"], "left").fillna(0, ["n"])
     return g.select("label", "prediction", F.col("n").alias("count"),
-                    F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 2)
-                    .alias("pct"))
+                    F.round(F.col("n") * 100.0 / F.col("total"), 2).alias("pct"))
 
 
 def classification_report(df: DataFrame, label: str = "label",
@@ -204,14 +214,17 @@ def top_errors(df: DataFrame, label: str = "label", prediction: str = "predictio
 # --- G4-G6 ROC ------------------------------------------------------------------
 
 def roc_points(long: DataFrame) -> DataFrame:
-    """Per class ROC points (threshold desc): (class, threshold, fpr, tpr),
-    one point per distinct score plus the (0, 0) start (threshold NULL).
-    Input rows (class, pos, s)."""
+    """Per class ROC points (threshold desc): (class, threshold, fpr, tpr), the
+    start (0, 0) with threshold NULL, and the scores at which the curve turns: an
+    inner point is left out if the next score adds as many positives and as many
+    negatives as its own did. Input rows (class, pos, s)."""
     sc = _score_counts(long)
-    cum = running_sums(sc, ["class"], "s", ["pos", "neg"], descending=True, inclusive_ties=True)
+    cum = running_sums(sc, ["class"], "s", ["pos", "neg"], descending=True, inclusive_ties=False,
+                       next_cols=["pos", "neg"])
     # a class that is absent, or alone, has no curve
     tot = sc.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).where("P > 0 and N > 0")
-    pts = cum.join(F.broadcast(tot), "class").select(
+    turns = "next_pos is null or before_pos + before_neg = 0 or next_pos != pos or next_neg != neg"
+    pts = cum.where(turns).join(tot, "class").select(
         "class", F.col("s").alias("threshold"),
         F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"), F.try_divide(F.col("cum_pos"), F.col("P")).alias("tpr"))
     start = tot.select("class", F.lit(None).cast("double").alias("threshold"),
@@ -239,82 +252,51 @@ def per_class_roc(df: DataFrame, label: str, score_cols: Sequence[str],
     return long
 
 
+#: Slopes are summed as decimals, so that what is taken off again leaves nothing behind.
+SLOPE = "decimal(38,12)"
+
+
 def macro_roc(df: DataFrame, label: str, score_cols: Sequence[str],
-              classes: Sequence[float], n_buckets: int = 1024) -> tuple[DataFrame, DataFrame]:
+              classes: Sequence[float], n_buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Macro-average ROC – union grid of all classes' FPRs, each class's
     TPR linearly interpolated at every grid point (the last point at an
     equal FPR wins), averaged; AUC by the trapezoid rule over the grid.
 
-    Returns (curve(fpr, tpr), auc one row). Scale: curve points are first
-    reduced to one row per (class, FPR) (first/last TPR), then every scan
-    over the FPR order is segmented into ``n_buckets`` equal-width FPR
-    buckets – windows run per (class, bucket) and the values carried across
-    bucket borders come from a (class x bucket) summary table, bounded by
-    k * n_buckets rows. No window ever sees all points of a class.
+    Returns (curve(fpr, tpr), auc one row). Scale: a class's curve is straight
+    between its own points, so the sum over classes changes its slope and jumps
+    only there. Each point hands on what it changes; the changes are added up by
+    FPR, and two running sums over the grid give the slope after each grid point
+    and from it the sum of curves. Nothing is as large as classes x grid.
+    ``n_buckets`` is the number of ranges (shuffle partitions if None).
     """
-    k = len(classes)
-    B = n_buckets
-    bkt = lambda c: F.least(F.floor(F.col(c) * B), F.lit(B - 1)).cast("int")
-    pts = roc_points(per_class_roc(df, label, score_cols, classes))
-    cp = pts.groupBy("class", "fpr").agg(F.min("tpr").alias("t_first"),
-                                         F.max("tpr").alias("t_last")).withColumn("bkt", bkt("fpr"))
-    # the curve table (classes x distinct FPRs) feeds six branches below:
-    # written once to the shared checkpoint folder instead of recomputing
-    # the scan, score counts and running sums for each branch
-    cp = cut_lineage(cp)
-    grid = cp.select("fpr").distinct()
-    gx = grid.select("fpr", F.explode(F.array(*[F.lit(float(c)) for c in classes])).alias("class"))
-    gx = gx.withColumn("bkt", bkt("fpr"))
-    # per (class, bucket): last and first curve point -> carries (bounded table)
-    summ = cp.groupBy("class", "bkt").agg(
-        F.max_by(F.struct("fpr", "t_last"), "fpr").alias("last_pt"),
-        F.min_by(F.struct("fpr", "t_first"), "fpr").alias("first_pt"))
-    wb = Window.partitionBy("class").orderBy("bkt")
-    # carries over the union of curve and grid buckets (a grid bucket may
-    # hold no curve point of the class)
-    cb = (summ.select("class", "bkt", "last_pt", "first_pt")
-          .unionByName(gx.select("class", "bkt").distinct()
-                       .select("class", "bkt", F.lit(None).cast(summ.schema["last_pt"].dataType).alias("last_pt"),
-                               F.lit(None).cast(summ.schema["first_pt"].dataType).alias("first_pt")))
-          .groupBy("class", "bkt").agg(F.first("last_pt", ignorenulls=True).alias("last_pt"),
-                                       F.first("first_pt", ignorenulls=True).alias("first_pt")))
-    carry = cb.select(
-        "class", "bkt",
-        F.last("last_pt", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("prev_pt"),
-        F.first("first_pt", ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing))
-        .alias("next_pt"))
-    u = (cp.select("class", "bkt", "fpr", "t_first", "t_last", F.lit(0).alias("kind"))
-         .unionByName(gx.select("class", "bkt", "fpr", F.lit(None).cast("double").alias("t_first"),
-                                F.lit(None).cast("double").alias("t_last"), F.lit(1).alias("kind"))))
-    o = Window.partitionBy("class", "bkt").orderBy("fpr", "kind")
-    cf = F.when(F.col("kind") == 0, F.col("fpr"))
-    u = u.select("class", "bkt", "fpr", "kind",
-                 F.last("t_last", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, 0)).alias("t_lo"),
-                 F.last(cf, ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, 0)).alias("f_lo"),
-                 F.first("t_first", ignorenulls=True).over(o.rowsBetween(0, Window.unboundedFollowing)).alias("t_hi"),
-                 F.first(cf, ignorenulls=True).over(o.rowsBetween(0, Window.unboundedFollowing)).alias("f_hi"))
-    u = u.where(F.col("kind") == 1).join(F.broadcast(carry), ["class", "bkt"], "left")
-    u = u.select("class", "fpr",
-                 F.coalesce("t_lo", F.col("prev_pt.t_last")).alias("t_lo"),
-                 F.coalesce("f_lo", F.col("prev_pt.fpr")).alias("f_lo"),
-                 F.coalesce("t_hi", F.col("next_pt.t_first")).alias("t_hi"),
-                 F.coalesce("f_hi", F.col("next_pt.fpr")).alias("f_hi"))
-    interp = (F.when(F.col("f_hi").isNull() | (F.col("f_lo") == F.col("fpr")), F.col("t_lo"))
-               .otherwise(F.col("t_lo") + (F.col("fpr") - F.col("f_lo"))
-                          * (F.col("t_hi") - F.col("t_lo")) / (F.col("f_hi") - F.col("f_lo"))))
-    g = u.groupBy("fpr").agg((F.sum(interp) / k).alias("tpr")).withColumn("bkt", bkt("fpr"))
-    # trapezoid: previous grid point inside the bucket, else the last point
-    # of the nearest earlier bucket (bucket summary: <= n_buckets rows)
-    gs = g.groupBy("bkt").agg(F.max_by(F.struct("fpr", "tpr"), "fpr").alias("lastg"))
-    gcarry = gs.select("bkt", F.last("lastg", ignorenulls=True).over(
-        Window.orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)).alias("prevg"))
-    wg = Window.partitionBy("bkt").orderBy("fpr")
-    tr = g.select("bkt", "fpr", "tpr", F.lag("fpr").over(wg).alias("pf"),
-                  F.lag("tpr").over(wg).alias("pt")).join(F.broadcast(gcarry), "bkt", "left")
-    pf = F.coalesce("pf", F.col("prevg.fpr"))
-    pt = F.coalesce("pt", F.col("prevg.tpr"))
-    auc = tr.agg(F.sum((F.col("fpr") - pf) * (F.col("tpr") + pt) / 2).alias("auc"))
+    return macro_curve(per_class_roc(df, label, score_cols, classes), n_buckets)
+
+
+def macro_curve(long: DataFrame, n_buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``macro_roc`` of rows (class, pos, s), for any number of classes."""
+    pts = roc_points(long)
+    cp = pts.groupBy("class", "fpr").agg(F.min("tpr").alias("t_first"), F.max("tpr").alias("t_last"),
+                                         F.lit(0).alias("zero"))
+    cp = running_sums(cp, ["class"], "fpr", ["zero"], n_buckets=n_buckets, inclusive_ties=False, next_cols=["fpr", "t_first"])
+    slope = ((F.col("next_t_first") - F.col("t_last")) / (F.col("next_fpr") - F.col("fpr"))).cast(SLOPE)
+    none = F.lit(0).cast(SLOPE)
+    changes = cp.select(F.inline(F.array(
+        F.struct("fpr", F.coalesce(slope, none).alias("slope"), (F.col("t_last") - F.col("t_first")).alias("jump"),
+                 F.when(F.col("fpr") == 0, F.col("t_first")).otherwise(0.0).alias("begin"),
+                 F.when(F.col("fpr") == 0, 1).otherwise(0).alias("curves")),
+        F.struct(F.coalesce("next_fpr", "fpr").alias("fpr"), F.coalesce(-slope, none).alias("slope"), F.lit(0.0).alias("jump"),
+                 F.lit(0.0).alias("begin"), F.lit(0).alias("curves")))))
+    grid = changes.groupBy("fpr").agg(F.sum("slope").cast(SLOPE).alias("slope"), F.sum(F.col("jump") + F.col("begin")).alias("jump"),
+                                      F.sum("curves").alias("curves"))
+    grid = running_sums(grid, [], "fpr", ["slope", "curves"], n_buckets=n_buckets, inclusive_ties=False, next_cols=["fpr"])
+    grid = grid.select("fpr", "jump", "next_fpr", F.col("cum_curves").alias("k"),
+                       (F.col("cum_slope").cast("double") * (F.col("next_fpr") - F.col("fpr"))).alias("rise")).fillna(0.0, ["rise"])
+    grid = running_sums(grid, [], "fpr", ["jump", "rise"], n_buckets=n_buckets, inclusive_ties=False)
+    g = cut_lineage(grid.select("fpr", "next_fpr", ((F.col("cum_jump") + F.col("before_rise")) / F.col("k")).alias("tpr"),
+                                (F.col("rise") / F.col("k")).alias("rise"), "jump", "k"))
+    # the trapezoid from a grid point to the next one ends at that one's own (last) value
+    g2 = running_sums(g.withColumn("zero", F.lit(0)), [], "fpr", ["zero"], n_buckets=n_buckets, inclusive_ties=False, next_cols=["tpr"])
+    auc = g2.agg(F.sum((F.col("next_fpr") - F.col("fpr")) * (F.col("tpr") + F.col("next_tpr")) / 2).alias("auc"))
     return (g.select(rnd(F.col("fpr")).alias("fpr"), rnd(F.col("tpr")).alias("tpr")),
             auc.select(rnd(F.col("auc")).alias("macro_auc")))
 

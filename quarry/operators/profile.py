@@ -429,7 +429,7 @@ def bracket_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
             tgt = spark.createDataFrame(
                 [t for t in targets if t[0] in good],
                 "v int, j int, rlo long, rhi long, frac double")
-            inb = (running_sums(cand, ["v", "j"], "x", ["cnt"])
+            inb = (running_sums(cand, ["v", "j"], "x", ["cnt"], inclusive_ties=False)  # one row a value
                    .withColumnsRenamed({"cum_cnt": "cum", "before_cnt": "before"}))
             inb = inb.join(F.broadcast(tgt), ["v", "j"])
             at = lambda r: (F.col("before") <= F.col(r)) & (F.col(r) < F.col("cum"))
@@ -464,7 +464,7 @@ def rank_quantiles_long(long: DataFrame, probs: Sequence[float]) -> DataFrame:
     partial aggregation, then bucketed exact running counts."""
     long = long.where(F.col("x").isNotNull())
     counts = long.groupBy("variable", "x").agg(F.count(F.lit(1)).alias("cnt"))
-    cum = running_sums(counts, ["variable"], "x", ["cnt"], inclusive_ties=True)
+    cum = running_sums(counts, ["variable"], "x", ["cnt"], inclusive_ties=False)  # one row a value
     n = counts.groupBy("variable").agg(F.sum("cnt").alias("n"))
     targets = n.select("variable", "n", F.explode(F.array(*[
         F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p")) for j, p in enumerate(probs)]))

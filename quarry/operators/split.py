@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.hashing import seeded_order, seeded_uniform
-from quarry.functions.ranking import running_sums
+from quarry.functions.ranking import keys_at
 from quarry.session import cut_lineage
 
 SPLITS = ("train", "val", "test")
@@ -145,17 +145,25 @@ def hash_split_cuts(plan: SplitPlan = SplitPlan()) -> tuple[str, str]:
 
 def ordered_split(df: DataFrame, order_col: str, plan: SplitPlan = SplitPlan(),
                   tie_breaker: Sequence[str] = ()) -> DataFrame:
-    """D3: no shuffle – the first rows by ``order_col`` train, then val, the
-    last rows test. The global rank is exact but computed per bucket of the
-    order key (approximate-quantile boundaries), not in one task."""
-    n = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    # ~2e6 rows per bucket window, between 256 and 65 536 buckets
-    nb = int(min(65536, max(256, n // 2_000_000)))
-    d = df.withColumn("_one", F.lit(1))
-    d = running_sums(d, [], order_col, ["_one"], inclusive_ties=False,
-                     tie_breaker=list(tie_breaker), n_buckets=nb)
-    return (d.withColumn("split", _assign(F.col("before__one"), F.lit(n), plan, test_first=False))
-             .drop("_one", "cum__one", "before__one"))
+    """D3: no shuffle – the first rows by (``order_col``, ``tie_breaker``) train,
+    then val, the last rows test. Further ties go by a hash of the row, so that
+    equal order values of any number are spread over tasks; rows equal in
+    everything stay together. NULLs come first.
+
+    Only the two keys at the cuts are searched, in range-partitioned order columns;
+    the rows themselves are compared with them where they are."""
+    names = {c: f"_k{i}" for i, c in enumerate([order_col, *tie_breaker])}
+    whole = F.xxhash64(*df.columns).alias("_h")
+    order = [*names.values(), "_h"]
+    keyed = df.select(*(F.col(c).alias(n) for c, n in names.items()), whole)
+    nt = plan.n_test(F.col("n"))
+    nv = plan.n_val(F.col("n") - nt)
+    cuts = keys_at(keyed, order, [F.col("n") - nt - nv, F.col("n") - nt])
+    one = cut_lineage(cuts.groupBy(F.lit(0).alias("_one")).agg(
+        *(F.max(F.when(F.col("j") == j, F.col("key"))).alias(f"_c{j}") for j in (0, 1))))  # a single row
+    key = F.struct(*(F.col(c).alias(n) for c, n in names.items()), whole)
+    split = F.when(key <= F.col("_c0"), "train").when(key <= F.col("_c1"), "val").otherwise("test")
+    return df.withColumn("_one", F.lit(0)).join(F.broadcast(one), "_one").withColumn("split", split).select(*df.columns, "split")
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:

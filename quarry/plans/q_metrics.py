@@ -167,8 +167,9 @@ def f10_result_table(spark, sf):
 
 def _fold_sql():
     o = seeded_order_sql(42, "key")
-    return f"""fr AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY {o}, key) - 1) % 5 AS fold
-             FROM scored WHERE split = 'train')"""
+    return f"""fr AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY {o}, key) - 1) * 5
+               // count(*) OVER (PARTITION BY label) AS fold
+             FROM scored WHERE split = 'train' AND label IS NOT NULL)"""
 
 
 def _fold_f1_sql(pred: str) -> str:
@@ -193,36 +194,13 @@ SELECT 'argmax_rule', round(avg(f1), 4), round(stddev_pop(f1), 4) FROM {_fold_f1
 UNION ALL
 SELECT model, f1, 0.0 FROM results WHERE model = 'most_frequent'"""))
 def f11_cv_comparison(spark, sf):
-    tr = _scored(spark, sf, "train")
-    folds = S.stratified_folds(tr, "key", "label", 5, 42)
-    out = None
-    for name, pred in (("discount_rule", F.col("prediction")), ("argmax_rule", _argmax_col())):
-        d = folds.withColumn("prediction", pred)
-        f1s = _fold_f1(d)
-        m = f1s.agg(F.round(F.avg("f1"), 4).alias("cv_mean"),
-                    F.round(F.stddev_pop("f1"), 4).alias("cv_std")).select(
-            F.lit(name).alias("model"), "cv_mean", "cv_std")
-        out = m if out is None else out.unionByName(m)
-    base = _results(spark, sf).where(F.col("model") == "most_frequent").select(
-        "model", F.col("f1").alias("cv_mean"), F.lit(0.0).alias("cv_std"))
-    return out.unionByName(base)
-
-
-def _fold_f1(d):
-    """Weighted F1 per fold from (fold, label, prediction) counts."""
-    cm = d.groupBy("fold", "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
-    t = cm.groupBy("fold", F.col("label").alias("class")).agg(
-        F.sum("n").alias("support"),
-        F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("tp"))
-    p = cm.groupBy("fold", F.col("prediction").alias("class")).agg(F.sum("n").alias("predicted"))
-    j = t.join(p, ["fold", "class"], "full").fillna(0, ["support", "tp", "predicted"])
-    prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
-    rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
-    j = j.withColumns({"prec": prec, "rec": rec})
-    f1 = F.when(F.col("prec") + F.col("rec") > 0,
-                2 * F.col("prec") * F.col("rec") / (F.col("prec") + F.col("rec"))).otherwise(0.0)
-    return j.withColumn("f1", f1).groupBy("fold").agg(
-        (F.sum(F.col("support") * F.col("f1")) / F.sum("support")).alias("f1"))
+    """Two rules with five folds, the majority baseline with its single F1."""
+    folds = S.stratified_folds(_scored(spark, sf, "train"), "key", "label", 5, 42)
+    long = folds.select("fold", "label", F.inline(F.array(
+        F.struct(F.lit("discount_rule").alias("model"), F.col("prediction").cast("double").alias("prediction")),
+        F.struct(F.lit("argmax_rule").alias("model"), _argmax_col().alias("prediction")))))
+    per_fold = M.classification_metrics(long, "label", "prediction", None, CLASSES, ["model", "fold"], digits=None)
+    return M.cv_comparison(_results(spark, sf), per_fold)
 
 
 @query("f12_training_facts", _wsql("""t AS (SELECT * FROM scored WHERE split = 'train')
@@ -275,10 +253,15 @@ def _roc_points_sql(src: str) -> str:
     return f"""sc AS (SELECT class, s, count(CASE WHEN pos THEN 1 END) AS pos, count(CASE WHEN NOT pos THEN 1 END) AS neg
           FROM {src} GROUP BY class, s),
 tot AS (SELECT class, sum(pos) AS P, sum(neg) AS N FROM sc GROUP BY class),
-pts AS (SELECT sc.class, s AS threshold,
-          CAST(sum(neg) OVER (PARTITION BY sc.class ORDER BY s DESC) AS DOUBLE) / tot.N AS fpr,
-          CAST(sum(pos) OVER (PARTITION BY sc.class ORDER BY s DESC) AS DOUBLE) / tot.P AS tpr
-        FROM sc JOIN tot ON sc.class = tot.class
+every AS (SELECT sc.class, s AS threshold, pos, neg,
+            lag(s) OVER (PARTITION BY sc.class ORDER BY s DESC) AS above,
+            lead(pos) OVER (PARTITION BY sc.class ORDER BY s DESC) AS next_pos,
+            lead(neg) OVER (PARTITION BY sc.class ORDER BY s DESC) AS next_neg,
+            CAST(sum(neg) OVER (PARTITION BY sc.class ORDER BY s DESC) AS DOUBLE) / tot.N AS fpr,
+            CAST(sum(pos) OVER (PARTITION BY sc.class ORDER BY s DESC) AS DOUBLE) / tot.P AS tpr
+          FROM sc JOIN tot ON sc.class = tot.class),
+pts AS (SELECT class, threshold, fpr, tpr FROM every
+        WHERE above IS NULL OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
         UNION ALL SELECT class, CAST(NULL AS DOUBLE), 0.0, 0.0 FROM tot)"""
 
 
