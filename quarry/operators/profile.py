@@ -88,8 +88,10 @@ def strip_column_names(df: DataFrame) -> DataFrame:
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
-    """A4: drop rows whose every value is NULL."""
-    return df.dropna(how="all")
+    """A4: drop rows whose every value is NULL (or NaN)."""
+    there = [quoted(f.name).isNotNull() & (~F.isnan(quoted(f.name)) if f.dataType.typeName() in ("float", "double") else F.lit(True))
+             for f in df.schema.fields]
+    return df.where(F.array_contains(F.array(*there), True)) if there else df
 
 
 # --- B1 numeric-string conversion ---------------------------------------------

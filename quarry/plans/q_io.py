@@ -96,6 +96,15 @@ def a2_latin1_roundtrip(spark, sf):
     return r.select(F.col("doc_id").cast("bigint"), "lang", "source", "text")
 
 
+@query("a2_documents_roundtrip", "SELECT doc_id, lang, source, text, n_chars FROM documents")
+def a2_documents_roundtrip(spark, sf):
+    """documents with their line breaks and quotes, written as UTF-8 CSV and read
+    back block by block."""
+    d = read_table(spark, sf, "documents").select("doc_id", "lang", "source", "text", "n_chars")
+    return IO.load_file(spark, SK.write_csv(d, _out(spark, "documents-utf8"))).select(
+        F.col("doc_id").cast("bigint"), "lang", "source", "text", F.col("n_chars").cast("bigint"))
+
+
 @query("a3_strip_column_names", """
 SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def a3_strip_column_names(spark, sf):
