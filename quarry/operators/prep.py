@@ -5,19 +5,24 @@
 in two aggregate jobs – imputation values, then scaling statistics of the
 imputed columns – and keeps them as a small ``PrepModel`` (one entry per
 column, one per category). ``PrepModel.transform`` inlines the parameters as
-literals; category and class codes are joined from local tables, which Catalyst
-broadcasts by their known size or sorts beyond that. No dictionary size is refused.
+literals. Categories and classes stay tables: one dictionary (column, value, code)
+with distributed ranks, written to the shared checkpoint folder, from which codes
+are joined; no dictionary passes through the driver unless its names are asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.ranking import sorted_codes
+from quarry.functions.stats import quoted
 from quarry.operators import profile as P
+from quarry.session import cut_lineage
 
 NULL_DROP_PCT = 50.0
 DEFAULT_EXCLUDE_ROLES = ("id_like", "text", "datetime")
@@ -49,8 +54,31 @@ class PrepModel:
     cat_fill: dict[str, str]
     center: dict[str, float]
     scale: dict[str, float]
-    categories: dict[str, list[str]]
-    classes: list[str] = field(default_factory=list)
+    #: (name, value, code): categories of each column, and the target's classes under None
+    codes: DataFrame
+    #: number of codes of each name
+    sizes: dict[str | None, int] = field(default_factory=dict)
+
+    def dictionary(self, name: str | None) -> DataFrame:
+        """(value, code) of a categorical column, or of the target (None)."""
+        return self.codes.where(F.col("name").eqNullSafe(F.lit(name))).select("value", "code")
+
+    @cached_property
+    def categories(self) -> dict[str, list[str]]:
+        """Sorted values of each column, on the driver: for names and wide tables only."""
+        out: dict[str, list[str]] = {c: [] for c in self.categorical}
+        for r in self.codes.where("name is not null").orderBy("name", "code").collect():
+            out[r["name"]].append(r["value"])
+        return out
+
+    @cached_property
+    def classes(self) -> list[str]:
+        """Sorted classes of the target, on the driver."""
+        return [r["value"] for r in self.dictionary(None).orderBy("code").collect()]
+
+    @property
+    def n_classes(self) -> int:
+        return self.sizes.get(None, 0)
 
     # -- C15 ---------------------------------------------------------------------
     @property
@@ -86,25 +114,50 @@ class PrepModel:
             return [code.cast("double").alias(c)]
         return [F.coalesce(code, F.lit(-1.0)).alias(c)]
 
-    @staticmethod
-    def _coded(df: DataFrame, value: Column, dictionary: list[str], name: str) -> DataFrame:
-        """``df`` with the place of ``value`` in the sorted dictionary (NULL if it
-        is not there): a join with a local table, whose size Catalyst knows."""
-        rows = df.sparkSession.createDataFrame([(k, float(i)) for i, k in enumerate(dictionary)],
-                                               f"`{name}_v` string, `{name}` double")
+    def _coded(self, df: DataFrame, value: Column, of: str | None, name: str) -> DataFrame:
+        """``df`` with the code of ``value`` (NULL if it is unknown): a join with
+        the dictionary, broadcast or sorted by its measured size."""
+        rows = self.dictionary(of).select(F.col("value").alias(f"{name}_v"), F.col("code").cast("double").alias(name))
         return df.join(rows, value == F.col(f"{name}_v"), "left").drop(f"{name}_v")
 
+    def vectors(self, df: DataFrame, keep: Sequence[str] = (), with_label: bool = True) -> DataFrame:
+        """C10/C13 for any number of categories: kept columns, ``features`` (numeric
+        columns, then one sparse place for each category; an unknown one has none)
+        and the label. The plan does not grow with the categories: codes are joined,
+        and the encoder knows its sizes from column metadata, without a pass."""
+        from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+        t = self.spec.target if with_label else None
+        cols = [F.col(k) for k in keep] + [self.num_expr(c).alias(f"_n{i}") for i, c in enumerate(self.numeric)]
+        for i, c in enumerate(self.categorical):
+            df = self._coded(df, self.cat_value(c), c, f"_code{i}")
+            size = self.sizes.get(c, 0)
+            cols.append(F.coalesce(f"_code{i}", F.lit(float(size))).alias(
+                f"_c{i}", metadata={"ml_attr": {"type": "nominal", "num_vals": max(size, 1)}}))
+        if t:
+            df = self._coded(df, F.col(t).cast("string"), None, "_code")
+            cols.append(F.col("_code").alias("label"))
+        out = df.select(*cols)
+        out = out.where(F.col("label").isNotNull()) if t else out
+        places = range(len(self.categorical))
+        if self.categorical:
+            encoder = OneHotEncoder(inputCols=[f"_c{i}" for i in places], outputCols=[f"_v{i}" for i in places],
+                                    handleInvalid="keep", dropLast=True)
+            out = encoder.fit(out).transform(out)
+        inputs = [f"_n{i}" for i in range(len(self.numeric))] + [f"_v{i}" for i in places]
+        out = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(out)
+        return out.select(*keep, "features", *(["label"] if t else []))
+
     def transform(self, df: DataFrame, keep: Sequence[str] = (), with_label: bool = True) -> DataFrame:
         """Kept columns + features (+ encoded ``label`` unless scoring)."""
         cols = [F.col(k) for k in keep]
         cols += [self.num_expr(c).alias(c) for c in self.numeric]
         for c in self.categorical:
             if self.spec.encoder != "onehot":
-                df = self._coded(df, self.cat_value(c), self.categories[c], f"_code_{c}")
+                df = self._coded(df, self.cat_value(c), c, f"_code_{c}")
             cols += self.cat_exprs(c)
         t = self.spec.target if with_label else None
         if t:
-            df = self._coded(df, F.col(t).cast("string"), self.classes, "_code")
+            df = self._coded(df, F.col(t).cast("string"), None, "_code")
             cols.append(F.col("_code").alias("label"))
         out = df.select(*cols)
         return out.where(F.col("label").isNotNull()) if t else out
@@ -155,7 +208,6 @@ def fit_prep(df: DataFrame, spec: PrepSpec, prof: P.TableProfile | None = None,
     """
     train = df.where(train_filter) if train_filter is not None else df
     if checkpoint:
-        from quarry.session import cut_lineage
         train = cut_lineage(train)
     own_prof = prof is None
     prof = prof or P.collect_profile(train)
@@ -222,53 +274,34 @@ def fit_prep(df: DataFrame, spec: PrepSpec, prof: P.TableProfile | None = None,
                 q25, med, q75 = q[c]
                 center[c] = float(med)
                 scale[c] = float(q75 - q25) if q75 != q25 else 1.0
-    # categories of the imputed training values, sorted
-    categories: dict[str, list[str]] = {c: [] for c in categorical}
-    if categorical:
-        imp = train.select(*[F.coalesce(F.col(c).cast("string"), F.lit(cat_fill[c])).alias(c)
-                             for c in categorical])
-        vc = P.value_counts(imp, categorical)
-        for r in vc.select("variable", "value").collect():
-            categories[r["variable"]].append(r["value"])
-        categories = {c: sorted(v) for c, v in categories.items()}
-    classes: list[str] = []
+    # categories of the imputed training values and classes of all rows, with their sorted places
+    name = F.lit(None).cast("string")
+    values = [train.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.coalesce(
+        F.col(c).cast("string"), F.lit(cat_fill[c])).alias("value")) for c in categorical))))] if categorical else []
     if spec.target:
-        classes = sorted(r[0] for r in df.where(F.col(spec.target).isNotNull())
-                         .select(F.col(spec.target).cast("string")).distinct()
-                         .collect())
-    return PrepModel(spec, numeric, categorical, dropped, num_fill, cat_fill, center, scale,
-                     categories, classes)
+        values.append(df.select(name.alias("name"), F.col(spec.target).cast("string").alias("value")))
+    if not values:
+        values = [df.sparkSession.createDataFrame([], "name string, value string")]
+    codes = cut_lineage(sorted_codes(reduce(DataFrame.unionByName, values), ["name"], "value"))
+    sizes = {r["name"]: r["n"] for r in codes.groupBy("name").agg(F.count("*").alias("n")).collect()}  # a row a column
+    return PrepModel(spec, numeric, categorical, dropped, num_fill, cat_fill, center, scale, codes, sizes)
 
 
 def dictionary_encode(df: DataFrame, col: str, train: DataFrame, unknown: float = -1.0,
-                      n_buckets: int = 1024, seed: int = 42) -> DataFrame:
-    """C11 for high-cardinality columns: dictionary (value -> sorted code)
-    built with exact bucketed ranks and joined back; the join strategy is
-    left to Catalyst/AQE (broadcast only when the measured size allows).
-
-    Rank buckets are string boundaries taken from a bounded seeded sample of
-    the distinct values (about 20 a bucket), so values sharing long prefixes
-    still spread evenly over the buckets."""
-    from quarry.functions.ranking import row_rank
-    vals = train.select(F.col(col).cast("string").alias("value")).where("value IS NOT NULL").distinct()
-    n = vals.count()
-    frac = min(1.0, 20.0 * n_buckets / max(n, 1))
-    smp = sorted(r[0] for r in vals.sample(fraction=frac, seed=seed).collect())
-    step = max(1, len(smp) // n_buckets)
-    bounds = sorted(set(smp[step::step]))
-    bkt = (F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("value")))
-           if bounds else F.lit(0))
-    dic = row_rank(vals.withColumn("_g", F.lit(0)), ["_g"], "value", bucket=bkt)
-    dic = dic.select(F.col("value").alias("_v"), F.col("rank0").cast("double").alias("_code"))
+                      n_buckets: int | None = None) -> DataFrame:
+    """C11 for one column without a model: the dictionary (value -> sorted code) of
+    ``train`` is ranked over ranges and joined back; the join strategy is left to
+    Catalyst/AQE (broadcast only when the measured size allows)."""
+    dic = sorted_codes(train.select(F.col(col).cast("string").alias("_v")), [], "_v") \
+        .withColumn("_code", F.col("code").cast("double")).drop("code")
     out = df.join(dic, F.col(col).cast("string") == F.col("_v"), "left")
     return out.withColumn(col, F.coalesce("_code", F.lit(unknown))).drop("_v", "_code")
 
 
 def target_dictionary(df: DataFrame, target: str) -> DataFrame:
-    """(class, code) in sorted class order (k rows)."""
-    from pyspark.sql import Window
-    d = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("class")).distinct()
-    return d.select("class", (F.dense_rank().over(Window.orderBy("class")) - 1).alias("code"))
+    """(class, code) in sorted class order, however many classes."""
+    return sorted_codes(df.select(F.col(target).cast("string").alias("class")), [], "class").withColumn(
+        "code", F.col("code").cast("int"))
 
 
 def before_after(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def trained(spark: SparkSession, sf: str, estimator=None, seed: int = 42):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     t, m, model = trained(spark, sf)
-    k = len(m.classes)
+    k = m.n_classes
     test = CL.predict(model, t.where(F.col("split") == "test"), m.feature_names, k, keep=["doc_id"])
     met = M.classification_metrics(test, "label", "prediction", [f"p{i}" for i in range(k)],
                                    [float(i) for i in range(k)])

@@ -26,7 +26,7 @@ def f3_class_weights(spark, sf):
 
 def _val_predictions(spark, sf, est):
     t, m, model = trained(spark, sf, est)
-    k = len(m.classes)
+    k = m.n_classes
     return CL.predict(model, t.where(F.col("split") == "val"), m.feature_names, k, keep=["doc_id"])
 
 
@@ -64,7 +64,7 @@ def f5_tree_nodes(spark, sf):
 def f6_cv_scores(spark, sf):
     t, m = prepared(spark, sf)
     tr = S.stratified_folds(t.where(F.col("split") == "train"), "doc_id", "label", 5, 42)
-    classes = [float(i) for i in range(len(m.classes))]
+    classes = [float(i) for i in range(m.n_classes)]
     return CL.cross_validate(lambda: CL.decision_tree(max_depth=5), tr, m.feature_names,
                              "fold", 5, "f1", classes)
 
@@ -79,7 +79,7 @@ def f7_oob_accuracy(spark, sf):
 @query("f10_model_results_trained")
 def f10_model_results_trained(spark, sf):
     t, m = prepared(spark, sf)
-    k = len(m.classes)
+    k = m.n_classes
     classes = [float(i) for i in range(k)]
     scores = [f"p{i}" for i in range(k)]
     val = t.where(F.col("split") == "val")

@@ -221,6 +221,35 @@ def c13_column_transformer_shape(spark, sf):
                  F.count_distinct("label").alias("n_classes"))
 
 
+def _vector_values_sql():
+    scaled = "\nUNION ALL\n".join(
+        f"SELECT i.o_orderkey, {k} AS place, round((i.{c} - s.c_{c}) / s.s_{c}, 4) + 0.0 AS value FROM imp i, s"
+        for k, c in enumerate(NUM))
+    st = ", ".join(f"avg({c}) AS c_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END AS s_{c}" for c in NUM)
+    dictionary = "\nUNION ALL\n".join(f"SELECT DISTINCT {k} AS col, {c} AS v FROM ctr" for k, c in enumerate(CAT))
+    hot = "\nUNION ALL\n".join(
+        f"SELECT c.o_orderkey, p.place, 1.0 AS value FROM cimp c JOIN places p ON p.col = {k} AND p.v = c.{c}" for k, c in enumerate(CAT))
+    return _OW + _imp_sql() + _cat_imp_sql() + f""",
+s AS (SELECT {st} FROM itr),
+dic AS ({dictionary}),
+places AS (SELECT col, v, {len(NUM)} - 1 + row_number() OVER (ORDER BY col, v) AS place FROM dic),
+vals AS ({scaled}
+UNION ALL
+{hot})
+SELECT v.o_orderkey, CAST(v.place AS INTEGER) AS place, CAST(v.value AS DOUBLE) AS value
+FROM vals v JOIN ow ON ow.o_orderkey = v.o_orderkey WHERE ow.o_orderstatus IS NOT NULL AND v.value <> 0"""
+
+
+@query("c13_column_transformer_values", _vector_values_sql())
+def c13_column_transformer_values(spark, sf):
+    """Every value of the assembled vectors that is not 0: (row, place, value)."""
+    from pyspark.ml.functions import vector_to_array
+    d, m = _fit(spark, sf)
+    v = m.vectors(d, keep=["o_orderkey"])
+    return v.select("o_orderkey", F.posexplode(vector_to_array("features")).alias("place", "value")) \
+        .select("o_orderkey", "place", F.round("value", 4).alias("value")).where("value != 0")
+
+
 @query("c15_feature_names", _OW + _cat_imp_sql() + """
 SELECT CAST(row_number() OVER (ORDER BY grp, name) - 1 AS INTEGER) AS position, name FROM (
   SELECT 0 AS grp, 'c_acctbal' AS name WHERE FALSE
@@ -251,14 +280,14 @@ SELECT i.o_orderkey, round((i.o_totalprice - m0) / s0, 4) + 0.0 AS o_totalprice,
 FROM imp i JOIN cimp c ON i.o_orderkey = c.o_orderkey JOIN ow o ON o.o_orderkey = i.o_orderkey, s
 WHERE o.o_orderstatus IS NOT NULL""")
 def c17_pipeline_transform(spark, sf):
-    """Fit on train rows, transform every row: numeric features + imputed
-    categorical values (pre-encoding view) + encoded label."""
-    d, m = _fit(spark, sf)
-    cols = [F.col("o_orderkey")] + [F.round(m.num_expr(c), 4).alias(c) for c in m.numeric]
-    cols += [m.cat_value(c).alias(c) for c in m.categorical]
-    lab = F.create_map(*[e for i, k in enumerate(m.classes) for e in (F.lit(k), F.lit(float(i)))])
-    cols.append(lab[F.col("o_orderstatus")].alias("label"))
-    return d.where(F.col("o_orderstatus").isNotNull()).select(*cols)
+    """Fit on train rows, transform every row: numeric features, the imputed
+    categorical values (found again by their codes) and the encoded label."""
+    d, m = _fit(spark, sf, encoder="label")
+    t = m.transform(d, keep=["o_orderkey"])
+    for c in m.categorical:
+        t = t.join(m.dictionary(c).select(F.col("code").cast("double").alias(c), F.col("value").alias(f"{c}_value")), c, "left")
+    return t.select("o_orderkey", *(F.round(c, 4).alias(c) for c in m.numeric),
+                    *(F.col(f"{c}_value").alias(c) for c in m.categorical), "label")
 
 
 @query("c18_before_after", _OW + _imp_sql() + """

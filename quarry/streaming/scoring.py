@@ -25,7 +25,7 @@ def score(df: DataFrame, prep, model, keep=()) -> DataFrame:
     t = prep.transform(df, keep=keep, with_label=False)
     out = model.transform(assemble(t, feats))
     arr = vector_to_array("probability")
-    k = len(prep.classes) or 2
+    k = prep.n_classes or 2
     return out.select(*keep, "prediction", *[arr[i].alias(f"p{i}") for i in range(k)])
 
 
