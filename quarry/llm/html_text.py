@@ -67,6 +67,13 @@ class Page:
         self.tag, self.parent, self.text, self.out, self.inside = ["#page"], [-1], [None], [False], [False]
         self.size, self.link, soft = [0], [False], []
         stack, at = [0], 0
+        places: dict[str, list[int]] = {}  # of the open nodes of each tag in the stack
+
+        def close(k):
+            for node in stack[k:]:
+                places[self.tag[node]].pop()
+            del stack[k:]
+
         while at < len(source):
             m = TOKEN.search(source, at)
             if m is None:
@@ -80,19 +87,15 @@ class Page:
                 continue
             name = name.lower()
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        del stack[k:]
-                        break
+                if places.get(name):
+                    close(places[name][-1])
                 continue
             if name in CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    open_ = self.tag[stack[k]]
-                    if open_ in CLOSES[name]:
-                        del stack[k:]
-                        break
-                    if open_ in KEEPS.get(name, ()) or open_ in BLOCK and open_ != "p" and name not in KEEPS:
-                        break
+                # the innermost open one that this tag ends, unless something between keeps it open
+                ends = max((places[t][-1] for t in CLOSES[name] if places.get(t)), default=0)
+                keeps = KEEPS[name] if name in KEEPS else BLOCK - {"p"} - CLOSES[name]
+                if ends and ends > max((places[t][-1] for t in keeps if places.get(t)), default=0):
+                    close(ends)
             node = self._add(stack[-1], name, None, name in NO_TEXT)
             if not self.out[node] and self._is_furniture(stack[-1], name, rest):
                 soft.append(node)
@@ -102,6 +105,7 @@ class Page:
                 if at < len(source):
                     at = (source.find(">", at) + 1) or len(source)
             elif name not in VOID and not rest.endswith("/"):
+                places.setdefault(name, []).append(len(stack))
                 stack.append(node)
         if soft:
             self._leave_out(soft)
@@ -213,8 +217,8 @@ class Page:
                 k += 1
             return spans
         chosen = {best[k] for k in range(1, n) if density[k] >= least and density[k] and not self.out[k]} | {core}
-        root = core
-        while not all(root <= k <= last[root] for k in chosen):
+        first, final, root = min(chosen), max(chosen), core
+        while not root <= first <= final <= last[root]:
             root = self.parent[root]
         return [(root, last[root] + 1)]
 

@@ -14,7 +14,10 @@ which at most ``FALSE`` of the held-back unknown rows pass for a licence.
 
 A predicted family is confirmed by comparing the paragraph with the family's
 templates: the share of a template's word trigrams that the paragraph contains
-must reach ``OVERLAP``. A paragraph that shares no trigram with any template can
+must reach ``OVERLAP``. Families of nearly the same wording (versions, Affero and
+Lesser, the Creative Commons conditions, the number of clauses) are classes of
+their own, and the paragraph must also hold what tells its family from them
+(``MARKS``): a notice of a version that no class knows stays unknown. A paragraph that shares no trigram with any template can
 never be confirmed, so it is not classified at all; that is exact.
 
 Scanning is a narrow map over whole texts; the model (``2**BITS`` weights a family
@@ -38,19 +41,32 @@ from quarry.llm.shingles import mix, words
 
 BITS = 14
 SAMPLE = 2000
-VARIANTS = 40
+VARIANTS = 24
 FALSE = 0.002
 OVERLAP = 0.5
-EPOCHS = 150
+EPOCHS = 100
 UNKNOWN = "unknown"
 
 # How licences are usually named or begun in running text.
 TEMPLATES = {
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-only"],
+    "Apache-1.1": [
+        "Licensed under the Apache Software License, Version 1.1.",
+        "SPDX-License-Identifier: Apache-1.1"],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
         "compliance with the License.",
         "SPDX-License-Identifier: Apache-2.0"],
+    "BSD-2-Clause": [
+        "Released under the BSD 2-Clause License.",
+        "Released under the Simplified BSD License.",
+        "SPDX-License-Identifier: BSD-2-Clause"],
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
         "that the following conditions are met:",
@@ -64,17 +80,50 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC-BY-NC-ND": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-NC-ND-4.0"],
+    "CC-BY-NC-SA": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0"],
+    "CC-BY-ND": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-ND-4.0"],
+    "CC-BY-SA": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0"],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-only"],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-only"],
+    "LGPL-2.1": [
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-only"],
     "LGPL-3.0": [
         "This library is licensed under the GNU Lesser General Public License, version 3.",
         "SPDX-License-Identifier: LGPL-3.0-only"],
     "MIT": [
         "Released under the MIT License.",
+        "The MIT License (MIT)",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files, to deal in the Software without restriction.",
         "SPDX-License-Identifier: MIT"],
@@ -82,6 +131,30 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0"],
 }
+# What tells families of nearly the same wording apart, as patterns
+# over the lower-cased paragraph. A family needs all of the first and none of the second.
+_GNU3, _GNU2 = r"(?:version |v\. ?|v|gpl-|license )3(?:\.0)?(?![.\d])", r"(?:version |v\. ?|v|gpl-|license )2(?:\.0)?(?![.\d])"
+_NC, _ND, _SA = (r"noncommercial|non-commercial|\bnc\b", r"noderiv|no-deriv|no deriv|\bnd\b", r"sharealike|share-alike|share alike|\bsa\b")
+MARKS = {
+    "AGPL-3.0": ([r"affero|agpl", _GNU3], ["lesser"]),
+    "Apache-1.1": ([r"1\.1"], [r"2\.0"]),
+    "Apache-2.0": ([r"2\.0|version 2\b"], [r"1\.[01]"]),
+    "BSD-2-Clause": ([r"(?:2|two)[- ]clause|simplified|freebsd"], [r"(?:[34]|three|four)[- ]clause"]),
+    "BSD-3-Clause": ([], [r"(?:[0124]|one|two|four|zero)[- ]clause|simplified|freebsd|original"]),
+    "CC-BY": ([], [_NC, _ND, _SA]),
+    "CC-BY-NC": ([_NC], [_ND, _SA]),
+    "CC-BY-NC-ND": ([_NC, _ND], [_SA]),
+    "CC-BY-NC-SA": ([_NC, _SA], [_ND]),
+    "CC-BY-ND": ([_ND], [_NC, _SA]),
+    "CC-BY-SA": ([_SA], [_NC, _ND]),
+    "EPL-2.0": ([r"eclipse|epl", r"2\.0"], [r"1\.0"]),
+    "GPL-2.0": ([_GNU2], ["affero|agpl", "lesser|lgpl|library general"]),
+    "GPL-3.0": ([_GNU3], ["affero|agpl", "lesser|lgpl|library general"]),
+    "LGPL-2.1": ([r"lesser|lgpl", r"2\.1"], ["affero"]),
+    "LGPL-3.0": ([r"lesser|lgpl", _GNU3], ["affero"]),
+    "MIT": ([], [r"\bmit-0\b|no attribution"]),
+    "MPL-2.0": ([r"mozilla|mpl", r"2\.0"], [r"1\.[01]"]),
+}
 # Sentences about rights that name no licence.
 RIGHTS = [
     "All rights reserved.", "Copyright by the authors.", "Please read the terms of use before you continue.",
@@ -203,6 +276,13 @@ def _sharing(lines: list[str], known: dict[int, np.ndarray]):
             yield first + k, hashes[bounds[k]:bounds[k + 1]]
 
 
+def _marked(family: str, lines: list[str]) -> bool:
+    """Whether the lines hold what tells the family from its like."""
+    text = " ".join(AROUND.sub("", "\n".join(lines)).lower().split())
+    needs, never = MARKS[family]
+    return all(re.search(p, text) for p in needs) and not any(re.search(p, text) for p in never)
+
+
 def _known(templates: dict[str, list[np.ndarray]]) -> dict[int, np.ndarray]:
     sizes: dict[int, list[np.ndarray]] = {}
     for family, texts in TEMPLATES.items():
@@ -246,9 +326,10 @@ def classify(lines: list[str], model: dict, templates: dict[str, list[np.ndarray
             return False
         own = np.concatenate([grams(own, n) for n in known])
         overlap = max(float(np.isin(g, own).mean()) for g in templates[model["names"][best]])
-        if overlap >= OVERLAP:
+        confirmed = overlap >= OVERLAP and _marked(model["names"][best], lines[a:b + 1])
+        if confirmed:
             out.append((a, model["names"][best], float(chance[best]), overlap))
-        return overlap >= OVERLAP
+        return confirmed
 
     sure = {k for k in np.unique(first[first == last]).tolist() if judge(k, k)}
     runs = set()
@@ -275,8 +356,8 @@ def train(docs: DataFrame) -> dict:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(2)
         lines = sorted({line for text in frame["text"].dropna() for line in text.split("\n") if line.strip()})
-        # as many as the templates' rows, twice over; long ones weigh no more than short ones
-        lines = [lines[k] for k in rng.permutation(len(lines))[:4 * VARIANTS * sum(map(len, TEMPLATES.values()))]]
+        # three times as many as the templates' rows; long ones weigh no more than short ones
+        lines = [lines[k] for k in rng.permutation(len(lines))[:3 * VARIANTS * sum(map(len, TEMPLATES.values()))]]
         return pd.DataFrame({"model": [pickle.dumps(fit(lines))]})
 
     found = rows.groupBy("one").applyInPandas(run, "model binary").first()

@@ -44,6 +44,8 @@ PER_PAIR = 0.6
 #: Pairs back off to single characters, and those to equal chances.
 BACKOFF, SMOOTHING = 20.0, 0.5
 MASK = "[SECRET]"
+#: Characters of the pieces that texts with spans are taken from.
+PIECE = 2048
 
 _FIRST, _WIDTH = 43, 80  # '+' to 'z'
 
@@ -96,7 +98,7 @@ def samples(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array(
         F.struct(F.array_distinct(secret).alias("strings"), F.lit(1).alias("label")),
         F.struct(F.array_distinct(plain).alias("strings"), F.lit(0).alias("label")))).alias("s")) \
-        .select(F.explode("s.strings").alias("string"), "s.label")
+        .select("s.strings", "s.label").select(F.explode("strings").alias("string"), "label")  # rows without the array
 
 
 def _codes(string: Column) -> Column:
@@ -157,20 +159,32 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of the text replaced by ``MASK`` (overlapping
     spans by one) and ``n_chars``, if there is one, set to the new length."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = find(hidden(docs, F.col("text").cast("string").alias("text")), train(samples(docs)))
-
-    def cut(acc, s):
-        begin = F.greatest(acc["at"], s["start"])
-        return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
-            s["end"].alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(
-                F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.lit(MASK))).alias("out")))
-
-    spans = F.array_sort(F.concat("base", "added"))
-    folded = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut,
-                         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.size(spans) > 0, folded)
+    # spans without overlaps, then the text between them; parts of the text are taken from pieces
+    # of PIECE characters, so that a place far into a long text costs no more than one at its begin
+    pair = "array<struct<start:int,end:int>>"
+
+    def join(acc, s):
+        last = F.element_at(acc, -1)
+        own = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        return F.when((F.size(acc) == 0) | (s["start"] >= F.try_element_at(acc, F.lit(-1))["end"]), F.concat(acc, own)).when(
+            s["end"] <= last["end"], acc).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
+                last["start"].alias("start"), s["end"].alias("end")))))
+
+    spans = F.aggregate(F.array_sort(F.concat("base", "added")), F.array().cast(pair), join)
+    found = found.withColumn("_spans", F.when(F.size("base") + F.size("added") > 0, spans))
+    found = found.withColumn("_parts", F.when(F.isnotnull("_spans"), F.regexp_extract_all(
+        "text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+    new = F.expr(f"""array_join(transform(
+        zip_with(concat(array(0), transform(_spans, s -> s.end)),
+                 concat(transform(_spans, s -> s.start), array(char_length(text))), (a, b) -> named_struct('a', a, 'b', b)),
+        g -> if(g.a = g.b, '', if(g.a div {PIECE} = (g.b - 1) div {PIECE},
+            substring(_parts[cast(g.a div {PIECE} as int)], g.a % {PIECE} + 1, g.b - g.a),
+            concat(substring(_parts[cast(g.a div {PIECE} as int)], g.a % {PIECE} + 1, {PIECE}),
+                   array_join(slice(_parts, cast(g.a div {PIECE} as int) + 2,
+                                    cast((g.b - 1) div {PIECE} - g.a div {PIECE} as int) - 1), ''),
+                   substring(_parts[cast((g.b - 1) div {PIECE} as int)], 1, (g.b - 1) % {PIECE} + 1))))), '{MASK}')""")
+    new = F.when(F.isnotnull("_spans"), new)
     found = found.withColumn("new", new)
     columns = {"text": F.coalesce("new", "text")}
     if "n_chars" in docs.columns:

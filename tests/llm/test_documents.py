@@ -307,3 +307,57 @@ def test_license_notices_that_are_wrapped(spark):
     assert [rows[i].families for i, (_, f) in enumerate(texts) if f] == [f for _, f in texts if f]
     assert not any(rows[i].n_licensed for i in range(len(texts), len(rows)))
     assert not rows[7].n_licensed  # the first of two lines alone is less than half of the notice
+
+
+NEAR_MISSES = [
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+     "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+     "later version.", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("Licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("This library is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+     "CC-BY-NC-ND"),
+    ("Released under the BSD 2-Clause License.", "BSD-2-Clause"), ("Released under the BSD 4-Clause License.", ""),
+    ("Licensed under the Apache Software License, Version 1.1.", "Apache-1.1"),
+    ("This program is made available under the terms of the Eclipse Public License 2.0", "EPL-2.0"),
+    ("The MIT License (MIT)", "MIT"), ("This work is licensed under the GNU General Public License.", ""),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", "")]
+
+
+def test_near_miss_licenses_are_right_or_unknown(spark):
+    plain = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts = [t for t, _ in NEAR_MISSES]
+    rows = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(
+        list(enumerate(texts + plain)), "doc_id long, text string")).collect()}
+    found = [rows[i].families for i in range(len(texts))]
+    assert all(f in ("", w) for f, (_, w) in zip(found, NEAR_MISSES))
+    assert sum(f == w for f, (_, w) in zip(found, NEAR_MISSES)) >= 9
+    # overlaps again, trigram by trigram
+    bare = lambda t: [x for x in (re.sub(r"^[^\w\s]+|[^\w\s]+$", "", w) for w in t.translate(LOWER).split()) if x]
+    tri = lambda t, n: {tuple(bare(t)[i:i + n]) for i in range(len(bare(t)) - n + 1)}
+    checked = 0
+    for i, (text, _) in enumerate(NEAR_MISSES):
+        for entry in filter(None, rows[i].found.split(",")):
+            _, family, _, overlap = entry.split(":")
+            sizes = [(t, min(3, len(bare(t)))) for t in licenses.TEMPLATES[family]]
+            assert float(overlap) == pytest.approx(max(len(tri(t, n) & tri(text, n)) / len(tri(t, n)) for t, n in sizes), abs=1e-3)
+            checked += 1
+    assert checked >= 9
+
+
+def test_redacted_texts_against_their_spans(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice([f'é token = "{rng.randrange(16**12):012x}" x ', "日本 ", f"{rng.randrange(16**32):032x} "]) for _ in range(n))
+             for n in (0, 1, 2, 30, 400)] + ["password=AKIA" + "A" * 20 + "0" * 30 + " end", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_chars", F.lit(-1).cast("long"))
+    found = {r.doc_id: r for r in secrets.find(table, secrets.train(secrets.samples(table))).collect()}
+    for r in secrets.redact(table).collect():
+        text, out, at = texts[r.doc_id], "", 0
+        for start, end in sorted((s.start, s.end) for s in [*found[r.doc_id].base, *found[r.doc_id].added]):
+            if start >= at:
+                out += text[at:start] + secrets.MASK
+            at = max(at, end)
+        assert r.text == (text if text is None else out + text[at:])
+        assert r.n_chars == (len(r.text) if at else -1)

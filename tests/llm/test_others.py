@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -209,3 +210,10 @@ def test_pipeline_stages_on_hard_cases(spark, docs, none):
             if name != "byte_bpe":
                 assert table.columns == docs.columns
         table.collect()
+
+
+def test_pages_with_many_open_tags_take_linear_time():
+    began = time.time()
+    assert html_text.main_text("<b><p>x</p>" * 90_000).count("\n") == 89_999
+    assert html_text.main_text("<div><span>" * 50_000 + "text") == "text"
+    assert time.time() - began < 60
