@@ -19,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.hashing import seeded_uniform
 from quarry.functions.stats import rnd
 from quarry.operators import metrics as M
 from quarry.session import FIT_PARALLELISM, checkpoint_dir, cut_lineage
@@ -193,31 +194,40 @@ def _poisson1(u):
     return w.cast("double")
 
 
-def oob_accuracy(df: DataFrame, key: str, features: Sequence[str], n_trees: int = OOB_DEFAULT_TREES,
-                 max_depth: int = 10, seed: int = 42, max_features="sqrt") -> DataFrame:
-    """out-of-bag accuracy of our own bagging. Each tree t draws a
-    Poisson(1) weight per row from xxhash64(key, t) (reproducible, no row
-    movement), trains on weight > 0 rows with that weight, and votes on its
-    weight = 0 rows; the majority OOB vote per row is scored."""
-    base = cut_lineage(df.select(key, "label", *features))
-
-    def tree_votes(t):
-        u = (F.abs(F.xxhash64(F.col(key).cast("string"), F.lit(seed), F.lit(t))) % 1_000_003) / 1_000_003.0
-        b = base.withColumn("weight", _poisson1(u))
+def oob_votes(df: DataFrame, key: str, features: Sequence[str], n_trees: int = OOB_DEFAULT_TREES,
+              max_depth: int = 10, seed: int = 42, max_features="sqrt") -> DataFrame:
+    """(key, label, votes): for each row the class votes of the trees that did
+    not see it. Tree t draws a Poisson(1) weight per row from md5(seed|key|t)
+    (reproducible, no row movement); a row's weights are one array column. Trees
+    are trained on the rows of weight above 0, concurrently; then one scan passes
+    the rows through all of them, and each row keeps the votes of its 0 weights."""
+    weights = F.array(*(_poisson1(seeded_uniform(seed, F.col(key), F.lit(t))) for t in range(n_trees)))
+    base = cut_lineage(assemble(df.select(key, "label", weights.alias("weights"), *features), features)
+                       .select(key, "label", "weights", "features"))
+
+    def tree(t):
         est = decision_tree(max_depth=max_depth, max_features=max_features, seed=seed + t)
         est.setWeightCol("weight")
-        m = est.fit(assemble(b.where(F.col("weight") > 0), features))
-        return m.transform(assemble(b.where(F.col("weight") == 0), features)).select(
-            key, "label", F.col("prediction"))
+        m = est.fit(base.select("label", "features", F.col("weights")[t].alias("weight")).where("weight > 0"))
+        return m.setPredictionCol(f"_p{t}").setProbabilityCol("").setRawPredictionCol("")
 
-    # independent tree fits run as concurrent Spark jobs; the votes stay lazy
     with ThreadPoolExecutor(max_workers=FIT_PARALLELISM) as ex:
-        parts = list(ex.map(tree_votes, range(n_trees)))
-    votes = parts[0]
-    for p in parts[1:]:
-        votes = votes.unionByName(p)
-    v = votes.groupBy(key, "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
-    top = v.groupBy(key, "label").agg(
-        F.min(F.struct((-F.col("n")).alias("k"), F.col("prediction").alias("p")))["p"].alias("vote"))
+        trees = list(ex.map(tree, range(n_trees)))
+    out = base
+    for m in trees:
+        out = m.transform(out)
+    votes = F.array_compact(F.array(*(F.when(F.col("weights")[t] == 0, F.col(f"_p{t}")) for t in range(n_trees))))
+    return out.select(key, "label", votes.alias("votes"))
+
+
+def oob_accuracy(df: DataFrame, key: str, features: Sequence[str], n_trees: int = OOB_DEFAULT_TREES,
+                 max_depth: int = 10, seed: int = 42, max_features="sqrt") -> DataFrame:
+    """out-of-bag accuracy of our own bagging: the majority of each row's
+    ``oob_votes`` (the smaller class on ties) against its label; rows that every
+    tree saw do not count."""
+    v = oob_votes(df, key, features, n_trees, max_depth, seed, max_features).where(F.size("votes") > 0)
+    counts = F.transform(F.array_distinct("votes"), lambda c: F.struct(
+        (-F.size(F.filter("votes", lambda x: x == c))).alias("k"), c.alias("p")))
+    top = v.select("label", F.array_min(counts)["p"].alias("vote"))
     return top.agg(rnd(F.avg((F.col("vote") == F.col("label")).cast("double"))).alias("oob_accuracy"),
                    F.count(F.lit(1)).alias("n_oob_rows"))

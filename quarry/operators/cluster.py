@@ -299,8 +299,7 @@ def bisecting(df: DataFrame, features: Sequence[str], k: int, seed: int = 42) ->
 
 
 def _linkage(points: np.ndarray, weights: np.ndarray, method: str):
-    """Agglomerate m (<= 300) weighted points – the micro-cluster centroids –
-    with Lance-Williams updates on an m x m distance matrix (O(m^2) memory,
+    """``merge_table`` in numpy, merging one nearest pair after the other. Agglomerates m (<= 300) weighted points with Lance-Williams updates on an m x m distance matrix (O(m^2) memory,
     O(m^3) vectorised time). Masses act as cluster sizes, so 'average' is
     UPGMA over the rows behind each centroid and 'ward' starts from
     sqrt(2 w_i w_j / (w_i + w_j)) * ||c_i - c_j||. Returns merge rows
@@ -348,15 +347,83 @@ def _linkage(points: np.ndarray, weights: np.ndarray, method: str):
     return merges
 
 
+def _combined(method: str, d: str, own: str, other: str, h: str) -> Column:
+    """Lance-Williams as one aggregate: the distance from a cluster of ``own`` rows
+    joined of one or two parts, ``h`` apart, to another cluster of ``other`` rows."""
+    if method == "single":
+        return F.min(d)
+    if method == "complete":
+        return F.max(d)
+    if method == "average":
+        return F.sum(F.col(own) * F.col(d)) / F.sum(own)
+    if method == "ward":
+        far = F.sum((F.col(own) + F.col(other)) * F.col(d) * F.col(d))
+        near = F.max(other) * F.coalesce(F.max(h) * F.max(h), F.lit(0.0))
+        return F.sqrt(F.greatest(far - near, F.lit(0.0)) / (F.max(other) + F.sum(own)))
+    raise ValueError(f"unknown linkage {method!r}")
+
+
+def merge_table(points: DataFrame, method: str = "ward") -> DataFrame:
+    """(step, left, right, height, size) of the agglomeration of ``points`` (id from
+    0, weight, x), in the usual convention: merge ``step`` makes cluster n + step.
+
+    Rounds of mutual nearest neighbours: every pair of clusters that are each other's
+    nearest is merged at once, which gives the same tree as merging the nearest pair
+    again and again, because joining clusters never brings them nearer to a third
+    (true of these four linkages). A round is one aggregate for the neighbours and
+    two for the new distances; about log n rounds. A cluster is named by its smallest
+    point; equal distances go to the smaller name."""
+    n = points.count()
+    # at most MOST_MICRO centroids, whose distances are what is agglomerated
+    pair = points.agg(F.collect_list(F.struct("id", "weight", "x")).alias("all")) \
+        .select("all", F.explode("all").alias("p")).select("p", F.explode("all").alias("q")).where("p.id < q.id")
+    dist = F.sqrt(F.aggregate(F.zip_with("p.x", "q.x", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
+    if method == "ward":
+        dist = dist * F.sqrt(2 * F.col("p.weight") * F.col("q.weight") / (F.col("p.weight") + F.col("q.weight")))
+    open_ = cut_lineage(pair.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), dist.alias("d"),
+                                    F.col("p.weight").alias("wa"), F.col("q.weight").alias("wb")))
+    merges = None
+    while not open_.isEmpty():
+        both = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b"), "d",
+                                              F.col("wb").alias("wa"), F.col("wa").alias("wb")))
+        near = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("n"), F.first("wa").alias("wa")) \
+            .select("a", "n.b", "n.d", "wa")
+        met = near.alias("u").join(near.alias("v"), F.expr("u.b = v.a and v.b = u.a and u.a < v.a")).select(
+            "u.a", "u.b", F.col("u.d").alias("height"), (F.col("u.wa") + F.col("v.wa")).alias("size"))
+        met = cut_lineage(met)
+        merges = met if merges is None else merges.unionByName(met)
+        into = met.select(F.explode(F.array("a", "b")).alias("part"), F.col("a").alias("whole"), F.col("height").alias("h"))
+        left = both.join(into, F.col("a") == F.col("part"), "left").select(
+            F.coalesce("whole", "a").alias("a"), "b", "d", "wa", "wb", "h")
+        left = left.groupBy("a", "b").agg(_combined(method, "d", "wa", "wb", "h").alias("d"),
+                                          F.sum("wa").alias("wa"), F.max("wb").alias("wb"))
+        right = left.join(into, F.col("b") == F.col("part"), "left").select(
+            "a", F.coalesce("whole", "b").alias("b"), "d", "wa", "wb", "h").where("a < b")
+        open_ = cut_lineage(right.groupBy("a", "b").agg(_combined(method, "d", "wb", "wa", "h").alias("d"),
+                                                        F.max("wa").alias("wa"), F.sum("wb").alias("wb")))
+    if merges is None:
+        return points.sparkSession.createDataFrame([], "step long, left long, right long, height double, size long")
+    # n - 1 rows: steps by height, a part before the whole; rounding must not turn them round
+    order = Window.partitionBy(F.lit(0)).orderBy(F.round("height", 9), "size", "a")
+    steps = merges.withColumn("step", F.row_number().over(order) - 1)
+    before = F.lag("step").over(Window.partitionBy("a").orderBy("step"))
+    last = steps.groupBy(F.col("a").alias("c")).agg(F.max("step").alias("made"))
+    return steps.withColumn("before", before).join(last, F.col("b") == F.col("c"), "left").select(
+        F.col("step").cast("long").alias("step"), F.coalesce(F.col("before") + n, "a").cast("long").alias("left"),
+        F.coalesce(F.col("made") + n, "b").cast("long").alias("right"), "height", F.col("size").cast("long").alias("size"))
+
+
 def micro_cluster_hierarchy(df: DataFrame, key: str, features: Sequence[str], k: int,
                             method: str = "ward", m: int = 50, seed: int = 42):
     """E9(b)/E10: K-Means to m <= 300 weighted micro-clusters on Spark, exact
-    agglomeration of the m centroids only, cut into k groups; the centroid ->
-    group map (m rows) is inlined back onto every row. Returns (assigned
+    agglomeration of the m centroids only (in numpy: ``merge_table`` gives the same
+    merges as Spark jobs, in more time for so few points), cut into k groups; the
+    centroid -> group map (m rows) is inlined back onto every row. Returns (assigned
     frame with ``cluster``, merge table, cut height)."""
     if not 1 <= m <= MOST_MICRO:
         raise ValueError(f"m must be between 1 and {MOST_MICRO}: the centroids are agglomerated pairwise")
     a, cents, _ = kmeans(df, features, m, n_init=1, seed=seed)
+    spark = df.sparkSession
     sizes = {r["cluster"]: r["n"] for r in a.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
     ids = sorted(sizes)
     pts = np.array([cents[i] for i in ids])
@@ -379,11 +446,17 @@ def micro_cluster_hierarchy(df: DataFrame, key: str, features: Sequence[str], k:
     expr = F.lit(None).cast("int")
     for mc, g in group.items():
         expr = F.when(F.col("cluster") == mc, F.lit(g)).otherwise(expr)
-    out = a.withColumn("cluster", expr)
-    spark = df.sparkSession
     mt = spark.createDataFrame([(int(x), int(y), float(h), int(s)) for x, y, h, s in merges],
                                "left long, right long, height double, size long")
-    return out, mt, float(cut)
+    return a.withColumn("cluster", expr), mt, float(cut)
+
+
+def projected_centroids(projection: DataFrame, assigned: DataFrame, key: str, cluster: str = "cluster") -> DataFrame:
+    """Where each cluster's centre lies in the projection, and its size. The
+    projection is linear, so that is the projection of the centroid."""
+    pcs = [c for c in projection.columns if c.startswith("PC")]
+    return projection.join(assigned.select(key, cluster), key).groupBy(cluster).agg(
+        F.count("*").alias("n"), *(F.avg(c).alias(c) for c in pcs))
 
 
 def method_comparison(sil_kmeans: float, sil_hier: float, spark) -> DataFrame:

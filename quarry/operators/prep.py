@@ -314,6 +314,14 @@ def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+def dtype_counts(df: DataFrame, stage: str) -> DataFrame:
+    """(stage, dtype, n_columns): how many columns have each type. Types are
+    metadata, so this reads no rows."""
+    kinds = [t for _, t in df.dtypes]
+    return df.sparkSession.createDataFrame([(stage, t, kinds.count(t)) for t in sorted(set(kinds))],
+                                           "stage string, dtype string, n_columns long")
+
+
 def pca_fit_transform(df: DataFrame, features: Sequence[str], k: int, keep: Sequence[str] = ()):
     """PCA on explicitly centred features (Spark's PCA does not
     centre); each component's sign is fixed so its largest-magnitude

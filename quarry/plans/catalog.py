@@ -27,5 +27,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from quarry.plans import (q_cluster, q_distrib, q_io, q_metrics, q_ml,  # noqa: F401
+    from quarry.plans import (q_checks, q_cluster, q_distrib, q_io, q_metrics, q_ml,  # noqa: F401
                               q_prep, q_profile, q_split)

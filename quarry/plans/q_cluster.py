@@ -174,15 +174,32 @@ def e12_segmentation_grade(spark, sf):
 
 # --- the squared form over all rows (no sample) ---------------------------------------------
 
-@query("e5_silhouette_full")
+# The mean squared distance of a row to a cluster follows from the cluster's sums of x and |x|^2.
+_SQ_SQL = _FIXED_SQL + """,
+lc AS (SELECT a.vec_id, a.cluster, lf.dim, lf.v FROM asg a JOIN lf ON lf.vec_id = a.vec_id),
+y AS (SELECT cluster, dim, sum(v) AS y FROM lc GROUP BY cluster, dim),
+c AS (SELECT cluster, count(DISTINCT vec_id) AS n, sum(v * v) AS psi FROM lc GROUP BY cluster),
+x AS (SELECT vec_id, cluster, sum(v * v) AS xi FROM lc GROUP BY vec_id, cluster),
+xy AS (SELECT lc.vec_id, y.cluster AS other, sum(lc.v * y.y) AS dot FROM lc JOIN y ON y.dim = lc.dim GROUP BY lc.vec_id, y.cluster),
+far AS (SELECT x.vec_id, x.cluster, xy.other, c.n, x.xi + c.psi / c.n - 2 * xy.dot / c.n AS d
+        FROM x JOIN xy ON xy.vec_id = x.vec_id JOIN c ON c.cluster = xy.other),
+ab AS (SELECT vec_id, max(CASE WHEN other = cluster THEN n END) AS n,
+              max(CASE WHEN other = cluster AND n > 1 THEN d * n / (n - 1) ELSE NULL END) AS a,
+              min(CASE WHEN other <> cluster THEN d END) AS b FROM far GROUP BY vec_id),
+s AS (SELECT CASE WHEN n = 1 OR b IS NULL OR a = b THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s FROM ab)"""
+
+
+@query("e5_silhouette_full", _SQ_SQL + "\nSELECT round(avg(s), 4) AS silhouette_sq FROM s")
 def e5_silhouette_full(spark, sf):
-    return K.silhouette_sq_full(_fixed(spark, sf), FEATS)
+    return K.silhouette_sq_full(_fixed(spark, sf), FEATS).select(F.round("silhouette_sq", 4).alias("silhouette_sq"))
 
 
-@query("e12_segmentation_grade_full")
+@query("e12_segmentation_grade_full", _SQ_SQL + """
+SELECT round(avg(s), 4) AS silhouette_sq,
+  CASE WHEN avg(s) > 0.5 THEN 'good' WHEN avg(s) > 0.3 THEN 'acceptable' ELSE 'poor' END AS grade FROM s""")
 def e12_segmentation_grade_full(spark, sf):
     return K.silhouette_sq_full(_fixed(spark, sf), FEATS).select(
-        "silhouette_sq", I.segmentation_grade(F.col("silhouette_sq")).alias("grade"))
+        F.round("silhouette_sq", 4).alias("silhouette_sq"), I.segmentation_grade(F.col("silhouette_sq")).alias("grade"))
 
 
 # --- fitted (rows-only) --------------------------------------------------------------------
