@@ -13,7 +13,7 @@ from quarry.operators import split as S
 from quarry.plans import derived as D
 from quarry.plans.catalog import query
 from quarry.plans.flagship import flagship, prepared, trained
-from quarry.sources.tables import read_table
+from quarry.sources.tables import read_table, stream_table
 
 
 @query("f3_class_weights", """
@@ -111,13 +111,10 @@ def g16_stream_scoring(spark, sf):
     pipeline fitted on the labelled training rows."""
     from quarry.streaming.scoring import score_stream
     t, m, model = trained(spark, sf)
-    docs = read_table(spark, sf, "documents")
-    src = (spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet")
-           .parquet(sf))
 
     def prep_docs(s):
         return s.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"),
                         F.size(F.split(F.trim("text"), r"\s+")).cast("double").alias("words"),
                         F.size(F.split("text", "\n")).cast("double").alias("lines"),
                         "lang", "source")
-    return score_stream(spark, src, m, model, keep=["doc_id"], prepare=prep_docs)
+    return score_stream(spark, stream_table(spark, sf, "documents"), m, model, keep=["doc_id"], prepare=prep_docs)

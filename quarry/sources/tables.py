@@ -28,3 +28,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return nan_to_null(spark.read.parquet(table_path(sf_dir, name)))
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a streaming source with ``read_table``'s schema. The table
+    may be one file or a folder of part files, also partitioned ones: the path is
+    a glob for its very name, since a stream takes no plain path of a file, and
+    partition values are looked for below ``sf_dir``."""
+    schema = read_table(spark, sf_dir, name).schema
+    return nan_to_null(spark.readStream.schema(schema).option("basePath", sf_dir).parquet(
+        os.path.join(sf_dir, f"{{{name}.parquet}}")))
