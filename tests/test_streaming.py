@@ -21,3 +21,16 @@ def test_stream_table_reads_every_row(spark, tmp_path, parts):
         "checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "text", "lang", "source", "n_chars")
     assert sorted(map(tuple, got.collect())) == rows
+
+
+def test_scored_documents_of_part_files(spark, tmp_path):
+    from quarry.plans.q_checks import g16_scored_documents
+    docs = [(i, "word " * (1 + i % 7) + "end\n" * (i % 3), "en" if i % 2 else "es", f"s{i % 3}", 10 + i % 50)
+            for i in range(120)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long") \
+        .repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 120, 3)], "doc_id long, quality int, toxic int") \
+        .write.parquet(str(tmp_path / "labels.parquet"))
+    got = g16_scored_documents(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(120))
+    assert all(r["sums_to_one"] and r["is_argmax"] for r in got)
