@@ -214,21 +214,40 @@ def read_records(spark: SparkSession, path: str, sep: str) -> DataFrame:
     return one.unionByName(several)
 
 
+def _one_line_records(spark: SparkSession, path: str, header: str) -> DataFrame | None:
+    """The records below the header if each line is one: no line holds a quote, all
+    are UTF-8, and every file begins with ``header`` and has no such line again in its
+    first block, so that the header is known by its value. None if not. One aggregate
+    without Python; the records are then the lines as Spark reads them."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    first_block = F.col("_metadata.file_block_start") == 0
+    is_head, pos = first_block & (F.col("value") == header), F.monotonically_increasing_id()
+    files = text.select(F.when(first_block, F.col("_metadata.file_path")).alias("file"), is_head.alias("head"), pos.alias("pos"),
+                        (F.is_valid_utf8("value") & ~F.contains("value", F.lit('"'))).alias("plain")).groupBy("file").agg(
+        F.bool_and("plain").alias("plain"), F.count(F.when(F.col("head"), 1)).alias("heads"),
+        F.min("pos").alias("first"), F.min(F.when(F.col("head"), F.col("pos"))).alias("head"))
+    same = F.col("file").isNull() | ((F.col("heads") == 1) & (F.col("head") == F.col("first")))
+    if not files.agg(F.bool_and(F.col("plain") & F.coalesce(same, F.lit(False)))).first()[0]:
+        return None
+    return text.where(~is_head).select(F.col("value").alias("record"))
+
+
 def typed(df: DataFrame) -> DataFrame:
     """Columns of strings as what all their values are: whole numbers, numbers,
     booleans, timestamps or text; NA tokens are NULL. One aggregate."""
     df = df.select(*(F.when(~quoted(c).isin(*NA_TOKENS), quoted(c)).alias(c) for c in df.columns))
-    whole = r"^\s*[+-]?\d+\s*$"
-    tests = {
-        "bigint": lambda c: c.rlike(whole) & F.trim(c).try_cast("bigint").isNotNull(),
+    tests = ("bigint", "double", "boolean", "timestamp")  # a value's bit i says whether it is a tests[i]
+
+    def bits(c):
+        whole = c.rlike(r"^\s*[+-]?\d+\s*$")
         # a whole number beyond 64 bits would lose digits: such a column stays text
-        "double": lambda c: number(c).isNotNull() & (~c.rlike(whole) | F.trim(c).try_cast("bigint").isNotNull()),
-        "boolean": lambda c: F.lower(c).isin("true", "false"),
-        "timestamp": lambda c: c.rlike("[-/:]") & c.try_cast("timestamp").isNotNull(),
-    }
-    fits = df.agg(*(F.bool_and(F.when(quoted(c).isNotNull(), test(quoted(c)))).alias(f"{kind}_{i}")
-                    for i, c in enumerate(df.columns) for kind, test in tests.items())).first()
-    kinds = [next((k for k in tests if fits[f"{k}_{i}"]), None) for i in range(len(df.columns))]
+        kind = (F.when(whole, F.when(F.trim(c).try_cast("bigint").isNotNull(), 3).otherwise(0))
+                .when(number(c).isNotNull(), 2).when(F.lower(c).isin("true", "false"), 4).otherwise(0))
+        dated = F.contains(c, F.lit("-")) | F.contains(c, F.lit("/")) | F.contains(c, F.lit(":"))
+        return F.when(c.isNotNull(), kind + F.when(dated & c.try_cast("timestamp").isNotNull(), 8).otherwise(0))
+
+    fits = df.agg(*(F.bit_and(bits(quoted(c))).alias(f"_{i}") for i, c in enumerate(df.columns))).first()
+    kinds = [next((k for j, k in enumerate(tests) if (fits[i] or 0) >> j & 1), None) for i in range(len(df.columns))]
     return df.select(*(quoted(c) if kind is None else F.trim(quoted(c)).cast(kind).alias(c)
                        for c, kind in zip(df.columns, kinds)))
 
@@ -242,16 +261,31 @@ def read_csv(spark: SparkSession, path: str, infer_schema: bool = True) -> DataF
     if not first:
         raise LoadError("empty file")
     sep = _delimiter(bytes(first[0]["value"]).decode("latin-1"))
-    rows = read_records(spark, path, sep).withColumn("record", F.regexp_replace("record", "\r$", ""))
-    head = rows.where("head").orderBy("file").select(F.regexp_replace("record", "^\ufeff", "")).first()
-    names = _names(next(csv.reader(io.StringIO(head[0], newline=""), delimiter=sep), []))
+    head, rows = _decoded(bytes(first[0]["value"])), None
+    if head is not None:
+        rows = _one_line_records(spark, path, head)
+    if rows is None:
+        rows = read_records(spark, path, sep)
+        head = rows.where("head").orderBy("file").select("record").first()[0]
+        rows = rows.where(~F.col("head"))
+    head = re.sub("^\ufeff", "", re.sub("\r$", "", head))
+    names = _names(next(csv.reader(io.StringIO(head, newline=""), delimiter=sep), []))
     options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1", "maxColumns": str(max(20480, len(names)))}
     schema = ", ".join(f"_{i} string" for i in range(len(names)))
-    fields = rows.where(~F.col("head") & (F.trim("record") != "")).select(F.from_csv("record", schema, options).alias("r"))
-    df = fields.select(*(F.col(f"r._{i}").alias(n) for i, n in enumerate(names)))
+    rows = rows.select(F.when(F.contains("record", F.lit("\r")), F.regexp_replace("record", "\r$", "")).otherwise(
+        F.col("record")).alias("record")).where(F.trim("record") != "")
+    # generated rows are parsed once; later filters on a projected struct would parse them again for each column
+    df = rows.select(F.inline(F.array(F.from_csv("record", schema, options)))).toDF(*names)
     return typed(df) if infer_schema else df
 
 
+def _decoded(line: bytes) -> str | None:
+    try:
+        return line.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 def _names(header: list[str]) -> list[str]:
     """Column names: blank ones by their place, repeated ones with a number."""
     out: list[str] = []

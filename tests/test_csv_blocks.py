@@ -87,3 +87,35 @@ def test_names_blank_lines_short_rows_and_errors(spark, tmp_path):
     path.write_text("")
     with pytest.raises(IO.LoadError):
         IO.load_file(spark, str(path))
+
+
+def _written(tmp_path, **files):
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode() if isinstance(text, str) else text)
+    return str(tmp_path)
+
+
+def test_plain_lines_need_no_python_and_are_parsed_once(spark, tmp_path):
+    from quarry.sources import csv as IO
+    at = _written(tmp_path, a="k,v\r\n1,x\r\n\r\n2,\r\n", b="k,v\r\n3,k\r\n")
+    d = IO.drop_empty_rows(IO.read_csv(spark, at))
+    assert d.dtypes == [("k", "bigint"), ("v", "string")]
+    assert sorted(map(tuple, d.collect())) == [(1, "x"), (2, None), (3, "k")]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("from_csv") == 1
+
+
+def test_header_line_as_data_and_other_headers(spark, tmp_path):
+    from quarry.sources import csv as IO
+    for i, files in enumerate((dict(a="k,v\n1,x\nk,v\n"), dict(a="k,v\n1,x\n", b="x,y\nk,v\n"),
+                               dict(a="k,v\n1,x\n", b='k,v\nk,"v"\n'), dict(a="k,v\n1,x\n", b=b"k,v\nk,\xf1\n"))):
+        (tmp_path / str(i)).mkdir()
+        got = sorted(map(tuple, IO.read_csv(spark, _written(tmp_path / str(i), **files)).collect()))
+        assert got == [("1", "x"), ("k", "ñ" if i == 3 else "v")]
+
+
+def test_types_of_columns(spark, tmp_path):
+    from quarry.sources import csv as IO
+    at = _written(tmp_path, a="a,b,c,d,e,f,g\n1,1,true,2020-01-02,99999999999999999999,,-2020\n 2,.5,FALSE,2021/03/04,1,NA,2020-01-01\n")
+    kinds = dict(IO.read_csv(spark, at).dtypes)
+    assert [kinds[c] for c in "abcef"] == ["bigint", "double", "boolean", "string", "string"]
