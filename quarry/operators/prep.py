@@ -25,6 +25,8 @@ from quarry.operators import profile as P
 from quarry.session import cut_lineage
 
 NULL_DROP_PCT = 50.0
+#: Dictionaries of at most so many codes are broadcast; larger ones are joined by size.
+FEW_CODES = 1000
 DEFAULT_EXCLUDE_ROLES = ("id_like", "text", "datetime")
 DEFAULT_EXCLUDE_MAX = 5
 NUM_IMPUTE = ("median", "mean", "most_frequent", "constant")
@@ -116,8 +118,10 @@ class PrepModel:
 
     def _coded(self, df: DataFrame, value: Column, of: str | None, name: str) -> DataFrame:
         """``df`` with the code of ``value`` (NULL if it is unknown): a join with
-        the dictionary, broadcast or sorted by its measured size."""
+        the dictionary. One of few codes is broadcast: by so few keys the rows would
+        be exchanged into as few tasks, however many they are."""
         rows = self.dictionary(of).select(F.col("value").alias(f"{name}_v"), F.col("code").cast("double").alias(name))
+        rows = F.broadcast(rows) if self.sizes.get(of, 0) <= FEW_CODES else rows
         return df.join(rows, value == F.col(f"{name}_v"), "left").drop(f"{name}_v")
 
     def vectors(self, df: DataFrame, keep: Sequence[str] = (), with_label: bool = True) -> DataFrame:

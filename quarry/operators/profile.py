@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,7 +140,9 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
         if isinstance(dtype_of(df, c), T.StringType):
             aggs.append(F.count(F.when(_date_ok(col), 1)).alias(f"_d{i}"))
             aggs.append(F.count(F.when(_num_ok(col), 1)).alias(f"_u{i}"))
-    wide = df.agg(*aggs)
+    wide = df.agg(*aggs, *_estimates(df, cols))
+    facts = wide.first()  # the estimates say how distinct values are counted
+    wide = spark.createDataFrame([facts], wide.schema)
     rows = []
     for i, c in enumerate(cols):
         dt = dtype_of(df, c)
@@ -157,7 +160,7 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
             F.lit(any(h in c.lower() for h in DATE_NAME_HINTS)).alias("name_hint"),
         ))
     long = wide.select(_stack(rows))
-    uniq = distinct_counts(df, cols)
+    uniq = distinct_counts(df, cols, facts)
     p = long.join(F.broadcast(uniq), "column_name", "left").fillna(0, ["n_unique"])
     date_ratio = F.when(F.col("is_str") & (F.col("n_valid") > 0),
                         F.col("n_date") / F.col("n_valid"))
@@ -184,23 +187,49 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
         role.alias("role"))
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+#: A column of more distinct values than this (estimated) is not deduplicated before
+#: its exchange; after it, a task holds at most about so many values.
+FEW_DISTINCT = 100_000
+VALUES_A_TASK = 500_000
+
+
+def _estimates(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """Sketches (a few hundred bytes each) of the distinct values, and exact counts."""
+    def plain(c):
+        return quoted(c) if isinstance(dtype_of(df, c), T.AtomicType) else quoted(c).cast("string")
+    return [a for i, c in enumerate(cols) for a in (F.approx_count_distinct(plain(c)).alias(f"_e{i}"),
+                                                    F.count(quoted(c)).alias(f"_c{i}"))]
+
+
+def distinct_counts(df: DataFrame, cols: Sequence[str], facts=None) -> DataFrame:
     """Exact non-null distinct count per column: (column, n_unique).
 
-    Unpivot to (column, md5(value)) and count distinct pairs: a single
-    exchange hash-partitioned on (column, hash) with map-side dedup, instead
-    of one Expand per ``count(distinct)``. md5 keeps shuffle rows small for
-    long text values.
+    Unpivot to (column, md5(value)) and count distinct pairs, instead of one Expand
+    per ``count(distinct)``. md5 keeps shuffle rows small for long text values. Columns
+    of few values are deduplicated before the exchange. For the others that would
+    only hold a task's every value in memory: they are exchanged as they are, into as
+    many tasks as they have ``VALUES_A_TASK``. ``facts``: a row of ``_estimates``.
     """
     cols = list(cols)
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, n_unique bigint")
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"),
-                 F.md5(quoted(c).cast("string")).alias("h")) for c in cols])).alias("p")
-    ).select("p.column_name", "p.h").where(F.col("h").isNotNull())
-    return (pairs.distinct().groupBy("column_name")
-            .agg(F.count(F.lit(1)).alias("n_unique")))
+    if facts is None:
+        facts = df.agg(*_estimates(df, cols)).first()
+    many = [i for i in range(len(cols)) if facts[f"_e{i}"] > FEW_DISTINCT]
+
+    def pairs(of):
+        return df.select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("i"), F.unhex(F.md5(quoted(cols[i]).cast("string"))).alias("h")) for i in of])).alias("p")
+        ).select("p.i", "p.h").where(F.col("h").isNotNull())
+
+    few = [i for i in range(len(cols)) if i not in many]
+    sets = [pairs(few).distinct()] if few else []
+    if many:
+        tasks = -(-sum(facts[f"_c{i}"] for i in many) // VALUES_A_TASK)
+        sets.append(pairs(many).repartition(tasks, "i", "h").distinct())
+    names = F.array(*map(F.lit, cols))
+    return reduce(DataFrame.unionByName, (s.groupBy("i").agg(F.count(F.lit(1)).alias("n_unique")) for s in sets)) \
+        .select(F.get(names, "i").alias("column_name"), "n_unique")
 
 
 @dataclass(frozen=True)

@@ -82,3 +82,28 @@ def test_bracket_quantiles_equal_percentile(spark):
     assert set(got) == set(exp)
     for c in exp:
         assert got[c] == pytest.approx(exp[c], abs=1e-9)
+
+
+def test_distinct_counts_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(P, "FEW_DISTINCT", 50)
+    monkeypatch.setattr(P, "VALUES_A_TASK", 300)
+    df = spark.range(2000).select("id", (F.col("id") % 3).alias("few"), F.when(F.col("id") % 2 == 0, F.col("id") % 700).alias("x"),
+                                  F.lit(None).cast("string").alias("none"))
+    d = P.distinct_counts(df, df.columns)
+    assert {r[0]: r[1] for r in d.collect()} == {"id": 2000, "few": 3, "x": 350}
+    # columns of many values are exchanged by value before any aggregate, into tasks by their number
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and f", {-(-3000 // 300)})" in plan
+
+
+def test_few_codes_are_joined_without_an_exchange(spark):
+    from quarry.operators import prep as C
+    df = spark.createDataFrame([(i, float(i % 11), "abc"[i % 3] if i % 7 else None) for i in range(200)], "k long, x double, t string")
+    m = C.fit_prep(df, C.PrepSpec(target="t", exclude=("k",), encoder="label"))
+    out = m.transform(df, keep=["k"])
+    assert sorted((r["k"], r["label"]) for r in out.collect()) == [(i, float(i % 3)) for i in range(200) if i % 7]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in m.transform(df, keep=["k"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
