@@ -16,7 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import seeded_uniform
@@ -48,8 +48,19 @@ def with_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features",
-                           handleInvalid="keep").transform(df)
+    """``df`` with ``features``. One-hot names hold categories as they are (dots,
+    backticks, two that differ in case), so the feature columns are taken by place
+    and are named by it in the result."""
+    at = {c: f"_x{i}" for i, c in enumerate(features)}
+    return VectorAssembler(inputCols=list(at.values()), outputCol="features",
+                           handleInvalid="keep").transform(df.toDF(*[at.get(c, c) for c in df.columns]))
+
+
+def class_scores(n_classes: int) -> list[Column]:
+    """p0..p{k-1} of a scored frame. The model knows classes up to the last one among
+    its training rows; later ones, of other rows only, have probability 0."""
+    arr = vector_to_array("probability")
+    return [F.coalesce(F.get(arr, F.lit(i)), F.lit(0.0)).alias(f"p{i}") for i in range(n_classes)]
 
 
 def _min_instances(min_split: int, min_leaf: int) -> int:
@@ -100,9 +111,7 @@ def predict(model, df: DataFrame, features: Sequence[str], n_classes: int,
             keep: Sequence[str] = ()) -> DataFrame:
     """Rows with label, prediction and p0..p{k-1} class probabilities."""
     out = model.transform(assemble(df, features))
-    arr = vector_to_array("probability")
-    return out.select(*keep, "label", "prediction",
-                      *[arr[i].alias(f"p{i}") for i in range(n_classes)])
+    return out.select(*keep, "label", "prediction", *class_scores(n_classes))
 
 
 def feature_importance(model, names: Sequence[str], top: int = 20) -> DataFrame:
@@ -202,8 +211,7 @@ def oob_votes(df: DataFrame, key: str, features: Sequence[str], n_trees: int = O
     are trained on the rows of weight above 0, concurrently; then one scan passes
     the rows through all of them, and each row keeps the votes of its 0 weights."""
     weights = F.array(*(_poisson1(seeded_uniform(seed, F.col(key), F.lit(t))) for t in range(n_trees)))
-    base = cut_lineage(assemble(df.select(key, "label", weights.alias("weights"), *features), features)
-                       .select(key, "label", "weights", "features"))
+    base = cut_lineage(assemble(df, features).select(key, "label", weights.alias("weights"), "features"))
 
     def tree(t):
         est = decision_tree(max_depth=max_depth, max_features=max_features, seed=seed + t)

@@ -95,7 +95,8 @@ class PrepModel:
 
     # -- C4-C13 ----------------------------------------------------------------------
     def num_expr(self, c: str) -> Column:
-        x = F.coalesce(F.col(c).cast("double"), F.lit(self.num_fill[c]))
+        # new rows of a column recast by C3 may hold what is no number: imputed like NULL
+        x = F.coalesce(F.col(c).try_cast("double"), F.lit(self.num_fill[c]))
         if self.spec.scaler == "none":
             return x
         return (x - F.lit(self.center[c])) / F.lit(self.scale[c])

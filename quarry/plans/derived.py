@@ -132,15 +132,13 @@ def customer_rfm(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Numeric/categorical facts of labelled documents, target ``quality``."""
-    docs = read_table(spark, sf, "documents")
-    labels = read_table(spark, sf, "labels").select("doc_id", "quality")
-    return (docs.join(labels, "doc_id")
-            .select("doc_id",
-                    F.col("n_chars").cast("double").alias("n_chars"),
-                    F.size(F.split(F.trim("text"), r"\s+")).cast("double").alias("words"),
-                    F.size(F.split("text", "\n")).cast("double").alias("lines"),
-                    "lang", "source",
-                    F.col("quality").cast("string").alias("quality")))
+    # the facts come before the join: texts would be exchanged with it
+    docs = read_table(spark, sf, "documents").select(
+        "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
+        F.size(F.split(F.trim("text"), r"\s+")).cast("double").alias("words"),
+        F.size(F.split("text", "\n")).cast("double").alias("lines"), "lang", "source")
+    labels = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
+    return docs.join(labels, "doc_id")
 
 
 BUILDERS = {

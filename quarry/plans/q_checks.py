@@ -186,7 +186,7 @@ FROM q QUALIFY split = 'val'"""
 
 
 def _predictions_hold(p):
-    scores = sorted(c for c in p.columns if c.startswith("p") and c[1:].isdigit())
+    scores = sorted((c for c in p.columns if c.startswith("p") and c[1:].isdigit()), key=lambda c: int(c[1:]))
     every = F.array(*scores)
     at = F.element_at(every, F.col("prediction").cast("int") + 1)
     return p.select("doc_id", "label", (F.abs(sum(F.col(c) for c in scores) - 1) < 1e-9).alias("sums_to_one"),

@@ -32,9 +32,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a streaming source with ``read_table``'s schema. The table
-    may be one file or a folder of part files, also partitioned ones: the path is
-    a glob for its very name, since a stream takes no plain path of a file, and
-    partition values are looked for below ``sf_dir``."""
-    schema = read_table(spark, sf_dir, name).schema
-    return nan_to_null(spark.readStream.schema(schema).option("basePath", sf_dir).parquet(
-        os.path.join(sf_dir, f"{{{name}.parquet}}")))
+    may be a folder of part files, also partitioned ones, or one file: a stream
+    takes no plain path of a file, so that one is filtered by name in ``sf_dir``.
+    No path is a glob: Hadoop's globs take no colon in the names around them."""
+    source = spark.readStream.schema(read_table(spark, sf_dir, name).schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return nan_to_null(source.parquet(table_path(sf_dir, name)))
+    return nan_to_null(source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))

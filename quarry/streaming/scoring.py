@@ -11,11 +11,9 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quarry.operators.classify import assemble
+from quarry.operators.classify import assemble, class_scores
 from quarry.session import checkpoint_dir
 
 
@@ -24,9 +22,7 @@ def score(df: DataFrame, prep, model, keep=()) -> DataFrame:
     feats = prep.feature_names
     t = prep.transform(df, keep=keep, with_label=False)
     out = model.transform(assemble(t, feats))
-    arr = vector_to_array("probability")
-    k = prep.n_classes or 2
-    return out.select(*keep, "prediction", *[arr[i].alias(f"p{i}") for i in range(k)])
+    return out.select(*keep, "prediction", *class_scores(prep.n_classes or 2))
 
 
 def score_stream(spark: SparkSession, source: DataFrame, prep, model, keep=(),
@@ -34,10 +30,10 @@ def score_stream(spark: SparkSession, source: DataFrame, prep, model, keep=(),
     """Run an availableNow stream over ``source`` (a streaming DataFrame),
     write predictions to parquet in the shared folder and return them."""
     base = os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
-    s = prepare(source) if prepare else source
-    q = (score(s, prep, model, keep).writeStream.format("parquet")
+    scored = score(prepare(source) if prepare else source, prep, model, keep)
+    q = (scored.writeStream.format("parquet")
          .option("path", os.path.join(base, "out"))
          .option("checkpointLocation", os.path.join(base, "_ckpt"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(base, "out"))
+    return spark.read.schema(scored.schema).parquet(os.path.join(base, "out"))
