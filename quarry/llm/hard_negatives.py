@@ -8,7 +8,9 @@ many planes as its largest component needs. Packed blocks go to a table in the
 shared folder.
 
 Anchors (rows whose vec_id is divisible by ``every``) meet every packed block in
-blocks of ``ANCHORS``: a stated query set against all rows. For each anchor and
+blocks of ``ANCHORS``: a stated query set against all rows. Blocks of anchors are
+written once for each pass; tasks that hold packed blocks read them. Neither side
+is broadcast, and anchors are not copied for each packed block. For each anchor and
 group, a table of 256 entries holds the sums of the anchor's eight components
 over all subsets. A row's byte picks its entry; the entries of a plane are added
 over the groups, and planes are shifted and added from the highest down (the sign
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import Stage
+from quarry.llm.storage import Stage, every_pair
 
 SCALE = 256
 BLOCK = 4096
@@ -174,12 +176,11 @@ def _scored(k: int, same: bool):
     return run
 
 
-def _met(anchors: DataFrame, packed: DataFrame, blocks: int, anchor_blocks: int, k: int, same: bool) -> DataFrame:
+def _met(stage: Stage, anchors: DataFrame, packed: DataFrame, blocks: int, anchor_blocks: int, k: int, same: bool) -> DataFrame:
     """The best rows of every pair of an anchor block and a packed block."""
-    asked = anchors.groupBy("width", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(anchor_blocks)).alias("asked")).agg(
-        F.collect_list(F.struct(*(c for c in anchors.columns if c != "width"))).alias("anchors"))  # about ANCHORS
-    met = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, ["width", "block"])
-    return met.select("width", "n_planes", "ids", "labels", "planes", "anchors").mapInArrow(
+    asked = stage.write(anchors.groupBy("width", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(anchor_blocks)).alias("asked")).agg(
+        F.collect_list(F.struct(*(c for c in anchors.columns if c != "width"))).alias("anchors")))  # about ANCHORS
+    return every_pair(packed, blocks, "block", asked).select("width", "n_planes", "ids", "labels", "planes", "anchors").mapInArrow(
         _scored(k, same), "anchor_id long, positive_id long, positive_score long, vec_id long, score long")
 
 
@@ -197,12 +198,12 @@ def mine(rows: DataFrame, every: int = 100, k: int = 5) -> DataFrame:
     anchor_blocks = max(1, -(-anchors.count() // ANCHORS))
 
     best = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id")
-    positives = _met(anchors, packed, blocks, anchor_blocks, k, True) \
+    positives = _met(stage, anchors, packed, blocks, anchor_blocks, k, True) \
         .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
         .groupBy("anchor_id").agg(F.collect_list(F.struct("vec_id", "score")).alias("positives"))  # k at most
-    with_positives = stage.write(anchors.join(positives.withColumnRenamed("anchor_id", "vec_id"), "vec_id"))
+    with_positives = anchors.join(positives.withColumnRenamed("anchor_id", "vec_id"), "vec_id")
     best = Window.partitionBy("anchor_id", "positive_id", "positive_score").orderBy(F.desc("score"), "vec_id")
-    return _met(with_positives, packed, blocks, anchor_blocks, k, False) \
+    return _met(stage, with_positives, packed, blocks, anchor_blocks, k, False) \
         .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
         .select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score",
                 F.col("score").alias("negative_score"))

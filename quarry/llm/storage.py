@@ -3,6 +3,8 @@
 A written table cuts the lineage like ``checkpoint()`` does, but keeps its
 columns apart, so later steps read only the ones they need. Every executor
 sees the folder; losing one loses nothing.
+
+``every_pair`` sets all rows of such a table beside all rows of another one.
 """
 
 from __future__ import annotations
@@ -33,3 +35,17 @@ class Stage:
         """Delete the tables; call it only when no result reads them."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def every_pair(kept: DataFrame, n: int, number: str, asked: DataFrame) -> DataFrame:
+    """Each row of ``kept`` (``n`` numbers, ``number`` and ``width`` name a row)
+    beside each row of ``asked`` of its width; both are written tables.
+
+    A task streams a part of ``kept`` and reads a split of ``asked`` for itself.
+    Rows that are large but few are told as small by Spark's estimates; so the
+    hint keeps both sides from being broadcast through the driver, and ``asked``
+    is neither copied for each row of ``kept`` nor exchanged. The rows of ``asked``
+    that meet one row of ``kept`` come one after the other.
+    """
+    parts = min(n, int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return kept.repartition(parts, "width", number).hint("shuffle_replicate_nl").join(asked, "width")

@@ -71,3 +71,16 @@ def test_query_against_plain_products(spark):
     assert found.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
     assert sorted(map(tuple, found.collect())) == plain(rows) != []
     assert "op13_hard_negatives" in ORACLE
+
+
+def test_anchors_meet_blocks_without_a_broadcast(spark, monkeypatch):
+    """Blocks of anchors are few and large: Spark takes them for small ones, and
+    one copy for each packed block filled the driver's memory."""
+    monkeypatch.setattr(hard_negatives, "BLOCK", 40)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 3)
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 4, np.abs(rng.normal(size=6 if i % 5 else 3)).round(2).tolist()) for i in range(400)]
+    found = hard_negatives.hard_negatives(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), every=20, k=3)
+    assert sorted(map(tuple, found.collect())) == plain(rows, 20, 3) != []
+    plan = found._jdf.queryExecution().executedPlan().toString()  # after the run: as it ran
+    assert "Broadcast" not in plan and "Generate" not in plan
