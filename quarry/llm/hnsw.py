@@ -7,8 +7,9 @@ arrays: vectors, and for each level a table of neighbour numbers, M wide (2 M on
 the ground level). Graphs go to a table in the shared folder, one row a shard.
 
 Queries (rows whose vec_id is divisible by the given number) meet every shard in
-blocks: a block and a shard's graph come together by an equi-join key, and a task
-searches one block in one graph, all its queries step by step at once. A shard
+blocks: blocks are a written table too, a task holds some shards' graphs, reads
+blocks and searches one block in one graph, all its queries step by step at once.
+Neither side is broadcast, and blocks are not copied for each shard. A shard
 returns the best found for each query; these are merged by score, ties to the
 smaller vec_id. Scores are cosines of the original vectors in double precision.
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import Stage
+from quarry.llm.storage import Stage, every_pair
 
 SHARD_ROWS = 6000
 M = 16
@@ -265,10 +266,9 @@ def nearest(table: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("width", "v")).alias("q")) \
         .select("vec_id", "q.*")
     blocks = max(1, -(-asked.count() // BLOCK))
-    asked = asked.groupBy("width", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("block")).agg(
-        F.collect_list(F.struct("vec_id", "v")).alias("queries"))  # about BLOCK of them
-    met = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, ["width", "shard"])
-    found = met.select("width", "shard", "queries", "graph").mapInArrow(
+    asked = stage.write(asked.groupBy("width", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("block")).agg(
+        F.collect_list(F.struct("vec_id", "v")).alias("queries")))  # about BLOCK of them
+    found = every_pair(graphs, shards, "shard", asked).select("width", "shard", "queries", "graph").mapInArrow(
         _search(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \

@@ -61,6 +61,25 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     assert hnsw.nearest(few, every=50).count() == 2 and hnsw.nearest(few.limit(0)).count() == 0
 
 
+def test_queries_meet_shards_without_a_broadcast(spark, monkeypatch):
+    """Blocks of queries are few and large: Spark takes them for small ones, and
+    one copy for each shard filled the driver's memory."""
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 60)
+    monkeypatch.setattr(hnsw, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    x = [rng.normal(size=8 if i % 5 else 3).round(3) for i in range(400)]
+    found = hnsw.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=20, k=3)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()  # after the run: as it ran
+    assert "Broadcast" not in plan and "Generate" not in plan
+    assert set(got) == {(q, k) for q in range(0, 400, 20) for k in (1, 2, 3)}
+    for q in range(0, 400, 20):  # graphs of so few vectors are searched whole
+        cos = {i: v @ x[q] / np.linalg.norm(v) / np.linalg.norm(x[q]) for i, v in enumerate(x) if len(v) == len(x[q]) and i != q}
+        order = sorted(cos, key=lambda i: (-cos[i], i))[:3]
+        assert [got[q, k][0] for k in (1, 2, 3)] == order
+        assert all(got[q, k][1] == pytest.approx(cos[i], abs=1e-12) for k, i in enumerate(order, 1))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "<p>no</p>";</script><style>p{{}}</style></head><body>
 <header><h1>Site</h1></header><nav><a href="/">Home</a> <a href="/x">Other things to read</a></nav>
 <div class="cookie-notice">We use cookies on this site, as everybody does nowadays.</div>{body}
