@@ -227,27 +227,45 @@ def _build(kept: int):
         raw, ids = raw[mixed], [ids[k] for k in mixed]
         graph = Graph.build(_unit(raw).astype(np.float32))
         return pd.DataFrame({"width": [raw.shape[1]], "shard": [rows["shard"].iloc[0]],
-                             "graph": [pickle.dumps((raw, ids, graph.levels, graph.members))]})
+                             "graph": [_packed(raw, ids, graph.levels, graph.members)]})
     return run
 
 
+def _packed(raw, ids, levels, members) -> bytes:
+    """A shard's graph in few bytes, as they are sent with each block: vectors in
+    single precision if that is exact, ids in one array, short numbers."""
+    with np.errstate(over="ignore"):
+        short = raw.astype(np.float32)
+    ends = np.cumsum([len(i) for i in ids])
+    least = np.int16 if len(raw) <= np.iinfo(np.int16).max else np.int32
+    return pickle.dumps((short if (short == raw).all() else raw, np.concatenate(ids), ends,
+                         [x.astype(least) for x in levels], [x.astype(least) for x in members]))
+
+
+def _unpacked(graph) -> tuple:
+    """(unit vectors in double precision, ids of each, the graph)."""
+    raw, ids, ends, levels, members = pickle.loads(graph)
+    unit = _unit(raw.astype(np.float64))
+    return unit, np.split(ids, ends[:-1]), Graph(unit.astype(np.float32), [x.astype(np.int32) for x in levels],
+                                                 [x.astype(np.int32) for x in members])
+
+
 def _search(k: int):
     def run(batches):
         last, held = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                if (key := (row["width"], row["shard"])) != last:
-                    raw, ids, levels, members = pickle.loads(row["graph"])
-                    unit = _unit(raw)
-                    last, held = key, (unit, ids, Graph(unit.astype(np.float32), levels, members))
+            graphs, queries = batch.column("graph"), batch.column("queries")
+            for i, key in enumerate(zip(batch.column("width").to_pylist(), batch.column("shard").to_pylist())):
+                if key != last:
+                    last, held = key, _unpacked(graphs[i].as_buffer())
                 unit, ids, graph = held
-                own = _unit(np.array([q["v"] for q in row["queries"]], dtype=np.float64))
+                asking = queries[i].values  # one at a time and without copies: rows are large
+                own = _unit(asking.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(asking), key[0]))
                 found, _ = graph.search(own.astype(np.float32), k + 1)
                 out = []
-                for q, v, nodes in zip(row["queries"], own, found):
+                for q, v, nodes in zip(asking.field("vec_id").to_pylist(), own, found):
                     score = np.clip((unit[nodes] * v).sum(axis=1), -1.0, 1.0)
-                    out += [(q["vec_id"], int(i), float(s)) for node, s in zip(nodes, score)
-                            for i in ids[node] if i != q["vec_id"]]
+                    out += [(q, int(i), float(s)) for node, s in zip(nodes, score) for i in ids[node] if i != q]
                 asked, ids_, scores = zip(*out) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(ids_, pa.int64()),
                                                   pa.array(scores, pa.float64())], ["query_id", "vec_id", "score"])
